@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from beaconry.functions import box_area_km2, in_box, ratio
+from beaconry.functions import box_area_km2, in_box
+from beaconry.operators.sizes import is_small
 from beaconry.schemas import ZONE
 
 # The five zones and their bounding boxes, in degrees.
@@ -34,18 +35,13 @@ def zone_area(zones: DataFrame) -> DataFrame:
     return zones.select("zone_id", "name", box_area_km2(*map(F.col, BOX)).alias("area_km2"))
 
 
-def _is_small(zones: DataFrame) -> bool:
-    """Whether the zone table is proven to fit the map-side comparison."""
-    return zones.limit(MAX_BROADCAST_ZONES + 1).count() <= MAX_BROADCAST_ZONES
-
-
 def assign_zones(buildings: DataFrame, zones: DataFrame) -> DataFrame:
     """Every building once per zone that contains it, with ``zone_id``.
 
     A short zone table is broadcast after its size has been checked; a longer
     one goes through the grid, with the same result.
     """
-    if not _is_small(zones):
+    if not is_small(zones, MAX_BROADCAST_ZONES):
         return assign_zones_grid(buildings, zones)
     boxes = F.broadcast(zones.select("zone_id", *BOX))
     inside = in_box(F.col("latitude"), F.col("longitude"), *map(F.col, BOX))
@@ -93,7 +89,7 @@ def filter_to_zones(buildings: DataFrame, zones: DataFrame, keep_multiplicity: b
     """
     if keep_multiplicity:
         return assign_zones(buildings, zones).drop("zone_id")
-    if _is_small(zones):
+    if is_small(zones, MAX_BROADCAST_ZONES):
         boxes = F.broadcast(zones.select(*BOX))
         inside = in_box(F.col("latitude"), F.col("longitude"), *map(F.col, BOX))
         return buildings.join(boxes, inside, "left_semi")

@@ -56,6 +56,7 @@ QUERIES = {
         assign_zones_grid,
         filter_to_zones,
         filter_to_zones_dedup,
+        zone_area,
         zone_stats,
         q1_count,
         q2_area,
