@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beaconry.functions import epoch_seconds_to_timestamp, iso_utc, query_type_name
 from beaconry.schemas import METRIC_EVENT
@@ -59,8 +60,16 @@ def decode_events(messages: DataFrame) -> DataFrame:
     A message that does not parse, or has no usable ``ts``, is dropped. Works on
     batch and streaming input alike.
     """
-    parsed = messages.select(F.from_json(F.col("value").cast("string"), METRIC_EVENT).alias("message"))
-    return with_event_time(parsed.select("message.*"))
+    return with_event_time(parse_json(messages, METRIC_EVENT))
+
+
+def parse_json(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of JSON documents in ``value``; all null where one does not parse.
+
+    The generator keeps later filters above it: pushed below a plain projection
+    they would parse every message again.
+    """
+    return messages.select(F.inline(F.array(F.from_json(F.col("value").cast("string"), schema))))
 
 
 def with_event_time(events: DataFrame) -> DataFrame:

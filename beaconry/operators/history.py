@@ -18,37 +18,52 @@ def _slice_of(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
-def _cutoff(rows: DataFrame, n: int, seq: str, by: tuple[str, ...], width: int) -> DataFrame:
+def slice_counts(rows: DataFrame, by: tuple[str, ...], seq: str = "seq", width: int = SLICE) -> DataFrame:
+    """Rows per group and slice of the sequence: what cut-offs are found from."""
+    return rows.groupBy(*by, _slice_of(seq, width).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _cutoff(slices: DataFrame, n: int, by: tuple[str, ...], width: int) -> DataFrame:
     """Per group, the start of the newest slices that together hold ``n`` rows."""
-    slices = rows.groupBy(*by, _slice_of(seq, width).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
+    grouped = slices.groupBy(*by, "_slice").agg(F.sum("_rows").alias("_rows"))
     newer = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = slices.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+    counted = grouped.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
     needed = counted.where(F.col("_newer") < n)
     return needed.groupBy(*by).agg((F.min("_slice") * width).alias("_from"))
 
 
-def last_n(rows: DataFrame, n: int, seq: str = "seq", width: int = SLICE) -> DataFrame:
+def last_n(rows: DataFrame, n: int, seq: str = "seq", width: int = SLICE, slices: DataFrame | None = None) -> DataFrame:
     """The ``n`` rows with the highest ``seq`` (unique integers).
 
-    Rows are counted per slice of the sequence first; only the newest slices are
-    then read in full. The cut-off reaches the scan as a pushed-down filter. It
-    leaves at most ``n + width`` rows to sort.
+    Rows are counted per slice of the sequence first (or taken from ``slices``,
+    which may be finer); only the newest slices are then read in full. The
+    cut-off reaches the scan as a pushed-down filter. It leaves at most
+    ``n + width`` rows to sort.
     """
-    cutoff = _cutoff(rows, n, seq, (), width).select(F.min("_from")).scalar()
+    counted = slice_counts(rows, (), seq, width) if slices is None else slices
+    cutoff = _cutoff(counted, n, (), width).select("_from").scalar()
     return rows.where(F.col(seq) >= cutoff).orderBy(F.desc(seq)).limit(n)
 
 
 def last_n_per_class(
-    rows: DataFrame, n: int, by: str, classes: tuple[str, ...], seq: str = "seq", width: int = SLICE
+    rows: DataFrame,
+    n: int,
+    by: str,
+    classes: tuple[str, ...],
+    seq: str = "seq",
+    width: int = SLICE,
+    slices: DataFrame | None = None,
 ) -> DataFrame:
     """The ``n`` newest rows of each of the named classes.
 
     The cut-offs are one row per named class, which is what makes them safe to
-    broadcast. At most ``n + width`` rows per class reach the window.
+    broadcast. At most ``n + width`` rows per class reach the window. ``slices``
+    may bring the counts, with ``by`` among their groups.
     """
-    named = rows.where(F.col(by).isin(*classes))
-    cutoffs = _cutoff(named, n, seq, (by,), width)
-    recent = named.join(F.broadcast(cutoffs), by).where(F.col(seq) >= F.col("_from")).drop("_from")
+    named = F.col(by).isin(*classes)
+    counted = slice_counts(rows, (by,), seq, width) if slices is None else slices
+    cutoffs = _cutoff(counted.where(named), n, (by,), width)
+    recent = rows.where(named).join(F.broadcast(cutoffs), by).where(F.col(seq) >= F.col("_from")).drop("_from")
     newest = Window.partitionBy(by).orderBy(F.desc(seq))
     return recent.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
 

@@ -38,25 +38,11 @@ _NEVER = np.iinfo(np.int64).max  # no fill runs out this late: the entry is kept
 _EMPTY = np.iinfo(np.int64).min  # nothing is cached
 
 
-def _pieces(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, bool, pd.DataFrame]]:
-    """Runs of equal ``by`` values in sorted batches; a run may arrive in several pieces.
-
-    The flag tells whether the piece opens a new run.
-    """
-    last = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        changed = np.zeros(len(batch), dtype=bool)
-        for name in by:
-            values = batch[name].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(changed)
-        for low, high in zip([0, *starts], [*starts, len(batch)]):
-            piece = batch.iloc[low:high]
-            run = tuple(piece[name].iloc[0] for name in by)
-            yield run, run != last, piece
-            last = run
+def _runs(keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal (key, span) in one sorted batch."""
+    changed = (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])
+    starts = np.flatnonzero(changed) + 1
+    return zip([0, *starts], [*starts, len(keys)])
 
 
 def _advance(expires: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
@@ -70,76 +56,111 @@ def _advance(expires: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
         expires[filled] = times[at[filled]] + ttl if ttl > 0 else _NEVER
 
 
-def _span_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1. Input: key, ttl_us, span, at; sorted by key, span, at."""
-    run, ttl, upto, leaves, first_after = None, 0, None, None, False
-
-    def table() -> pd.DataFrame:
-        key, span = run
-        return pd.DataFrame({"key": key, "ttl_us": ttl, "span": span, "upto": upto, "leaves": leaves})
-
-    for piece_run, opens, piece in _pieces(batches, ["key", "span"]):
-        times = piece["at"].to_numpy()
-        if opens:
-            if run is not None:
-                yield table()
-            run, ttl = piece_run, int(piece["ttl_us"].iloc[0])
-            upto = leaves = np.empty(0, dtype=np.int64)
-            first_after = False
-            # The last fill before the span has run out by this time.
-            limit = int(times[0]) + ttl if ttl > 0 else _EMPTY
-        leaves = _advance(leaves, times, ttl)
-        if not first_after:
+class _Steps:
+    """Step table of one span while its requests pass by."""
+
+    def __init__(self, key: str, span: int, ttl: int, first: int) -> None:
+        self.key, self.span, self.ttl = key, span, ttl
+        # The last fill before the span has run out by this time.
+        self.limit = first + ttl if ttl > 0 else _EMPTY
+        self.past_limit = False
+        self.upto = self.leaves = np.empty(0, dtype=np.int64)
+
+    def add(self, times: np.ndarray) -> None:
+        self.leaves = _advance(self.leaves, times, self.ttl)
+        if not self.past_limit:
             # Each request up to the limit, and the next one, may be the first fill.
-            count = int(np.searchsorted(times, limit, side="left"))
-            first_after = count < len(times)
+            count = int(np.searchsorted(times, self.limit, side="left"))
+            self.past_limit = count < len(times)
             starts = times[: count + 1]
-            fresh = starts + ttl if ttl > 0 else np.full(len(starts), _NEVER)
-            upto = np.concatenate([upto, starts])
-            leaves = np.concatenate([leaves, _advance(fresh, times, ttl)])
+            fresh = starts + self.ttl if self.ttl > 0 else np.full(len(starts), _NEVER)
+            self.upto = np.concatenate([self.upto, starts])
+            self.leaves = np.concatenate([self.leaves, _advance(fresh, times, self.ttl)])
         # Later starts never leave earlier: equal results are neighbours.
-        last_of_equal = np.append(leaves[1:] != leaves[:-1], True)
-        upto, leaves = upto[last_of_equal], leaves[last_of_equal]
-    if run is not None:
-        yield table()
+        last_of_equal = np.append(self.leaves[1:] != self.leaves[:-1], True)
+        self.upto, self.leaves = self.upto[last_of_equal], self.leaves[last_of_equal]
+
+
+def _step_table(spans: list[_Steps]) -> pd.DataFrame:
+    rows = [len(s.upto) for s in spans]
+    return pd.DataFrame(
+        {
+            "key": np.repeat(np.array([s.key for s in spans], dtype=object), rows),
+            "ttl_us": np.repeat(np.array([s.ttl for s in spans], dtype=np.int64), rows),
+            "span": np.repeat(np.array([s.span for s in spans], dtype=np.int64), rows),
+            "upto": np.concatenate([s.upto for s in spans]),
+            "leaves": np.concatenate([s.leaves for s in spans]),
+        }
+    )
+
+
+def _span_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 1. Input: key, ttl_us, span, at; sorted by key, span, at."""
+    current = None
+    for batch in batches:
+        keys, ttls, spans, times = (batch[c].to_numpy() for c in ("key", "ttl_us", "span", "at"))
+        finished = []
+        for low, high in _runs(keys, spans):
+            if current is None or (current.key, current.span) != (keys[low], spans[low]):
+                if current is not None:
+                    finished.append(current)
+                current = _Steps(keys[low], int(spans[low]), int(ttls[low]), int(times[low]))
+            current.add(times[low:high])
+        if finished:
+            yield _step_table(finished)
+    if current is not None:
+        yield _step_table([current])
 
 
 def _span_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 2. Input: step tables sorted by key, span, upto."""
-    key, state, stepped = None, _EMPTY, False
-    for (piece_key, span), opens, piece in _pieces(batches, ["key", "span"]):
-        if piece_key != key:
-            key, state = piece_key, _EMPTY
-        if opens:
-            stepped = False
-            yield pd.DataFrame(
-                {"key": [key], "ttl_us": [int(piece["ttl_us"].iloc[0])], "span": [span], "enters": [state]}
-            )
-        if not stepped:
-            at = int(np.searchsorted(piece["upto"].to_numpy(), state, side="left"))
-            if at < len(piece):
-                state, stepped = int(piece["leaves"].iloc[at]), True
+    key, span, state, stepped = None, None, _EMPTY, False
+    for batch in batches:
+        keys, ttls, spans, upto, leaves = (
+            batch[c].to_numpy() for c in ("key", "ttl_us", "span", "upto", "leaves")
+        )
+        opened, enters = [], []
+        for low, high in _runs(keys, spans):
+            if keys[low] != key:
+                key, span, state = keys[low], None, _EMPTY
+            if span is None or spans[low] != span:
+                span, stepped = spans[low], False
+                opened.append(low)
+                enters.append(state)
+            if not stepped:
+                at = low + int(np.searchsorted(upto[low:high], state, side="left"))
+                if at < high:
+                    state, stepped = int(leaves[at]), True
+        yield pd.DataFrame(
+            {
+                "key": keys[opened],
+                "ttl_us": ttls[opened],
+                "span": spans[opened],
+                "enters": np.array(enters, dtype=np.int64),
+            }
+        )
 
 
 def _span_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 3. Input: as in step 1 with first_id, each span opened by a row that holds ``enters``."""
     state = _EMPTY
-    for _, opens, piece in _pieces(batches, ["key", "span"]):
-        if opens:
-            state = int(piece["enters"].iloc[0])
-            piece = piece.iloc[1:]
-        if piece.empty:
-            continue
-        times, ttl = piece["at"].to_numpy(), int(piece["ttl_us"].iloc[0])
+    for batch in batches:
+        keys, ttls, spans, times, enters = (
+            batch[c].to_numpy() for c in ("key", "ttl_us", "span", "at", "enters")
+        )
         filled = []
-        while state != _NEVER:
-            at = int(np.searchsorted(times, state, side="left"))
-            if at == len(times):
-                break
-            filled.append(at)
-            state = int(times[at]) + ttl if ttl > 0 else _NEVER
+        for low, high in _runs(keys, spans):
+            if times[low] == _EMPTY:
+                state, low = int(enters[low]), low + 1
+            ttl = int(ttls[high - 1])
+            while state != _NEVER:
+                low += int(np.searchsorted(times[low:high], state, side="left"))
+                if low == high:
+                    break
+                filled.append(low)
+                state = int(times[low]) + ttl if ttl > 0 else _NEVER
         if filled:
-            yield piece.iloc[filled][["key", "ttl_us", "at", "first_id"]].rename(columns={"at": "fill_us"})
+            yield batch.iloc[filled][["key", "ttl_us", "at", "first_id"]].rename(columns={"at": "fill_us"})
 
 
 def _per_span(rows: DataFrame, order: str, keys: list[str], fold: Callable, schema: str) -> DataFrame:

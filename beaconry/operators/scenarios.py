@@ -18,7 +18,8 @@ def _elements(name: str, fields: list[str]) -> Column:
 def _span(events: DataFrame, runs: tuple[str, ...]) -> DataFrame:
     """Per run, the time between the oldest and the newest of its last answers."""
     answered = events.where(F.col("event_type").isin(*SUCCESS_EVENTS)).select("label", "seq", "ts")
-    recent = last_n_per_class(answered, summary.TIME_SAMPLE, "label", runs)
+    slices = summary.answered_slices(events, runs)
+    recent = last_n_per_class(answered, summary.TIME_SAMPLE, "label", runs, slices=slices)
     return recent.groupBy("label").agg(
         (F.max_by("ts", "seq") - F.min_by("ts", "seq")).alias("span"), F.count(F.lit(1)).alias("sample")
     )

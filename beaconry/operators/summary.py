@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import ratio
 from beaconry.operators.events import SUCCESS_EVENTS
-from beaconry.operators.history import last_n, last_n_per_class
+from beaconry.operators.history import last_n, last_n_per_class, slice_counts
 
 QUERY_TYPES = ("Q1", "Q2", "Q3", "Q4", "Q5")
 LATENCY_SAMPLE = 5_000
@@ -26,10 +26,6 @@ COUNTERS = {"hits": "hit", "misses": "miss", "recoveries": "recovery", "retries"
 _POINTS = (0.5, 0.95, 0.99)
 
 
-def _counters(names=tuple(COUNTERS)) -> list[Column]:
-    return [F.count_if(F.col("event_type") == COUNTERS[name]).alias(name) for name in names]
-
-
 def _answered() -> Column:
     return F.col("event_type").isin(*SUCCESS_EVENTS)
 
@@ -38,19 +34,49 @@ def _keys(runs) -> list[str]:
     return [] if runs is None else ["label"]
 
 
+def _wanted(events: DataFrame, runs, name: str, values: tuple[str, ...]) -> DataFrame:
+    """One row per named value (and run)."""
+    spark = events.sparkSession
+    if runs is None:
+        return spark.createDataFrame([(v,) for v in values], f"{name} string")
+    return spark.createDataFrame([(run, v) for run in runs for v in values], f"label string, {name} string")
+
+
 def _points(latency: str, names: tuple[str, str, str]) -> list[Column]:
     values = F.percentile(latency, F.array(*[F.lit(p) for p in _POINTS]))
     return [F.round(values.getItem(i), 3).alias(name) for i, name in enumerate(names)]
 
 
+def event_counts(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataFrame:
+    """Events by event and query type (and run). All counters are sums over these few rows."""
+    return events.groupBy(*_keys(runs), "event_type", "query_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counters(names=tuple(COUNTERS)) -> list[Column]:
+    """Counters from ``event_counts``."""
+    counted = {name: F.when(F.col("event_type") == COUNTERS[name], F.col("n")) for name in names}
+    return [F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in counted.items()]
+
+
+def answered_slices(events: DataFrame, runs) -> DataFrame:
+    """Answered requests per slice of arrival, fine enough for every cut-off of a summary."""
+    keys = (*_keys(runs), "event_type", "query_type")
+    return slice_counts(events.where(_answered()).select(*keys, "seq"), keys)
+
+
 def _recent(events: DataFrame, n: int, kind: str, kinds: tuple[str, ...], runs) -> DataFrame:
     """The newest ``n`` answered requests per kind (and run); a missing latency counts as zero."""
-    answered = events.where(_answered()).withColumn("latency", F.coalesce("latency_ms", F.lit(0.0)))
+    latency = F.coalesce("latency_ms", F.lit(0.0)).alias("latency")
+    answered = events.where(_answered()).select(*_keys(runs), kind, "seq", latency)
+    slices = answered_slices(events, runs)
     if runs is None:
-        return last_n_per_class(answered, n, kind, kinds)
+        return last_n_per_class(answered, n, kind, kinds, slices=slices)
     classes = tuple(f"{run}/{k}" for run in runs for k in kinds)
-    labelled = answered.withColumn("_class", F.concat_ws("/", "label", kind))
-    return last_n_per_class(labelled, n, "_class", classes).drop("_class")
+    by = F.concat_ws("/", "label", kind)
+    recent = last_n_per_class(
+        answered.withColumn("_class", by), n, "_class", classes, slices=slices.withColumn("_class", by)
+    )
+    return recent.drop("_class")
 
 
 def event_counters(events: DataFrame) -> DataFrame:
@@ -58,16 +84,15 @@ def event_counters(events: DataFrame) -> DataFrame:
 
     Errors are counted in total only. Unknown events are not counted.
     """
-    per_type = events.groupBy("query_type").agg(*_counters())
-    # The rollup runs over one row per query type.
-    total_only = F.when(F.grouping("query_type") == 1, F.sum("errors")).alias("errors")
-    named = [F.sum(name).alias(name) for name in COUNTERS if name != "errors"]
-    return per_type.rollup("query_type").agg(*named, total_only)
+    named = [name for name in COUNTERS if name != "errors"]
+    # The rollup runs over one row per event and query type.
+    errors = F.when(F.grouping("query_type") == 1, _counters(("errors",))[0]).alias("errors")
+    return event_counts(events).rollup("query_type").agg(*_counters(tuple(named)), errors)
 
 
 def run_summary(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataFrame:
     """Totals and rates. Hit and miss rate are null where nothing was answered."""
-    counted = events.groupBy(*_keys(runs)).agg(*_counters())
+    counted = event_counts(events, runs).groupBy(*_keys(runs)).agg(*_counters())
     total = F.col("hits") + F.col("misses") + F.col("recoveries")
     rescued = F.col("recoveries") + F.col("dlq")
     return counted.withColumn("total_requests", total).select(
@@ -82,6 +107,22 @@ def run_summary(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataF
     )
 
 
+def class_latency(
+    events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Percentiles, sum and number of the newest latencies per class and over all classes together."""
+    recent = _recent(events, n, "event_type", SUCCESS_EVENTS, runs)
+    # At most n rows per class are left, so doubling them for "all" is cheap.
+    both = recent.select(
+        *_keys(runs), "latency", F.explode(F.array("event_type", F.lit("all"))).alias("class")
+    )
+    return both.groupBy(*_keys(runs), "class").agg(
+        *_points("latency", ("p50", "p95", "p99")),
+        F.sum("latency").alias("latency_sum"),
+        F.count("latency").alias("latency_n"),
+    )
+
+
 def summary_latency(
     events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
 ) -> DataFrame:
@@ -89,17 +130,8 @@ def summary_latency(
 
     Every class has its row; percentiles of a class without requests are null.
     """
-    recent = _recent(events, n, "event_type", SUCCESS_EVENTS, runs)
-    both = recent.select(
-        *_keys(runs), "latency", F.explode(F.array("event_type", F.lit("all"))).alias("class")
-    )
-    found = both.groupBy(*_keys(runs), "class").agg(*_points("latency", ("p50", "p95", "p99")))
-    spark = events.sparkSession
-    if runs is None:
-        wanted = spark.createDataFrame([(c,) for c in (*SUCCESS_EVENTS, "all")], "class string")
-    else:
-        rows = [(run, c) for run in runs for c in (*SUCCESS_EVENTS, "all")]
-        wanted = spark.createDataFrame(rows, "label string, class string")
+    wanted = _wanted(events, runs, "class", (*SUCCESS_EVENTS, "all"))
+    found = class_latency(events, n, runs).drop("latency_sum", "latency_n")
     return wanted.join(found, wanted.columns, "left")
 
 
@@ -110,9 +142,10 @@ def throughput(events: DataFrame, since: float, as_of: float, n: int = TIME_SAMP
     order of arrival; with fewer than two answers by the elapsed time.
     """
     elapsed = float(as_of) - float(since)
-    run = events.where((F.col("ts") >= float(since)) & (F.col("ts") <= float(as_of)) & _answered())
-    total = run.agg(F.count(F.lit(1))).scalar()
-    recent = last_n(run.select("seq", "ts"), n)
+    run = events.where((F.col("ts") >= float(since)) & (F.col("ts") <= float(as_of)) & _answered()).select("seq", "ts")
+    slices = slice_counts(run, ())
+    total = slices.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    recent = last_n(run, n, slices=slices)
     spans = recent.agg(
         total.alias("total_requests"),
         F.count(F.lit(1)).alias("sample"),
@@ -137,19 +170,23 @@ def cache_efficiency(
 ) -> DataFrame:
     """Mean latency with and without the cache, and the time it saved per request."""
     keys = _keys(runs)
-    recent = _recent(events, n, "event_type", SUCCESS_EVENTS, runs)
-    from_cache = F.col("event_type") == "hit"
-    means = recent.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.when(from_cache, F.col("latency"))), F.lit(0.0)).alias("mean_cache"),
-        F.coalesce(F.avg(F.when(~from_cache, F.col("latency"))), F.lit(0.0)).alias("mean_db"),
-    )
-    totals = events.groupBy(*keys).agg(
-        F.count_if(F.col("event_type") == "hit").alias("hits"), F.count_if(_answered()).alias("total")
+    classes = class_latency(events, n, runs)
+    kind, total, size = F.col("class"), F.col("latency_sum"), F.col("latency_n")
+
+    def mean(names: tuple[str, ...]) -> Column:
+        in_class = kind.isin(*names)
+        summed, counted = F.sum(F.when(in_class, total)), F.sum(F.when(in_class, size))
+        return F.when(counted > 0, summed / counted)
+
+    means = classes.groupBy(*keys).agg(
+        F.coalesce(mean(("hit",)), F.lit(0.0)).alias("mean_cache"),
+        F.coalesce(mean(("miss", "recovery")), F.lit(0.0)).alias("mean_db"),
     )
+    answered = run_summary(events, runs).select(*keys, "hits", F.col("total_requests").alias("total"))
     if keys:
-        joined = totals.join(means, keys, "left")  # one row per run on both sides
+        joined = answered.join(means, keys, "left")  # one row per run on both sides
     else:
-        joined = totals.withColumns({c: means.select(c).scalar() for c in ("mean_cache", "mean_db")})
+        joined = answered.withColumns({c: means.select(c).scalar() for c in ("mean_cache", "mean_db")})
     saved = F.col("hits") * (F.col("mean_db") - F.col("mean_cache"))
     worth = (F.col("total") > 0) & (F.col("mean_db") > 0)
     return joined.select(
@@ -165,17 +202,12 @@ def by_query_summary(
 ) -> DataFrame:
     """Counters, hit rate and exact percentiles for each of Q1 to Q5, also the unused ones."""
     keys = [*_keys(runs), "query_type"]
-    known = events.where(F.col("query_type").isin(*QUERY_TYPES))
-    counts = known.groupBy(*keys).agg(*_counters(("hits", "misses", "recoveries", "retries", "dlq")))
-    recent = _recent(known, n, "query_type", QUERY_TYPES, runs)
+    counts = (
+        event_counts(events, runs).groupBy(*keys).agg(*_counters(("hits", "misses", "recoveries", "retries", "dlq")))
+    )
+    recent = _recent(events, n, "query_type", QUERY_TYPES, runs)
     latencies = recent.groupBy(*keys).agg(*_points("latency", ("p50_ms", "p95_ms", "p99_ms")))
-    spark = events.sparkSession
-    if runs is None:
-        wanted = spark.createDataFrame([(q,) for q in QUERY_TYPES], "query_type string")
-    else:
-        wanted = spark.createDataFrame(
-            [(run, q) for run in runs for q in QUERY_TYPES], "label string, query_type string"
-        )
+    wanted = _wanted(events, runs, "query_type", QUERY_TYPES)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "misses", "recoveries", "retries", "dlq")]
     filled = wanted.join(counts, keys, "left").join(latencies, keys, "left").select(
         *keys, *zero, "p50_ms", "p95_ms", "p99_ms"

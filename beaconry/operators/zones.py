@@ -123,41 +123,47 @@ SLICES = 1024
 
 
 def zone_profile(zoned: DataFrame, cuts: tuple[float, ...] | None = None) -> DataFrame:
-    """Buildings and areas per (zone, confidence); null and NaN share the null row.
+    """Buildings and areas per (zone, confidence); missing confidences (null, NaN) count at minus infinity.
 
     ``cuts`` names the only confidences that will be asked for. Each building
     then counts at the largest cut at or below its own confidence, which bounds
     the profile by the number of cuts whatever the data holds.
     """
-    confidence = F.when(~F.isnan("confidence"), F.col("confidence"))
-    if cuts is not None:
-        below = F.when(confidence.isNotNull(), F.lit(float("-inf")))
-        for cut in sorted(set(cuts)):
-            below = F.when(confidence >= cut, F.lit(float(cut))).otherwise(below)
-        confidence = below
-    return zoned.groupBy("zone_id", confidence.alias("confidence")).agg(
+    confidence = F.col("confidence")
+    level = F.when(confidence.isNull() | F.isnan(confidence), F.lit(float("-inf")))
+    for cut in sorted(set(cuts or ()), reverse=True):
+        level = level.when(confidence >= cut, F.lit(float(cut)))
+    level = level.otherwise(confidence if cuts is None else F.lit(float("-inf")))
+    return zoned.groupBy("zone_id", level.alias("confidence")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("area_in_meters").alias("area"),
         F.count("area_in_meters").alias("area_n"),
     )
 
 
-def tail_totals(profile: DataFrame, points: DataFrame) -> DataFrame:
-    """Totals of a zone at or above a confidence, for every (zone_id, point) row.
+def tail_totals(profile: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question with the totals ``n``, ``area`` and ``area_n`` of its zone from a confidence up.
 
-    ``points`` holds distinct ``zone_id``, ``point`` and ``strict`` (true asks for
-    confidences above the point only). Adds ``n``, ``area`` and ``area_n``.
+    ``questions`` has ``zone_id``, ``point`` and ``strict`` (true asks for
+    confidences above the point only) beside any other columns.
     """
     sums = ("n", "area", "area_n")
-    # From the top: strict points before buildings of the same value, others after.
-    held = profile.where(F.col("confidence").isNotNull()).select(
-        "zone_id", F.col("confidence").alias("at"), F.lit(1).alias("turn"), F.lit(False).alias("asks"), *sums
+    payload = F.struct(*questions.columns)
+    # From the top: strict questions before buildings of the same value, others after.
+    held = profile.select(
+        "zone_id",
+        F.coalesce("confidence", F.lit(float("-inf"))).alias("at"),
+        F.lit(1).alias("turn"),
+        F.lit(None).cast(questions.select(payload.alias("q")).schema["q"].dataType).alias("question"),
+        "n",
+        F.coalesce("area", F.lit(0.0)).alias("area"),
+        "area_n",
     )
-    asked = points.select(
+    asked = questions.select(
         "zone_id",
         F.col("point").alias("at"),
         F.when(F.col("strict"), 0).otherwise(2).alias("turn"),
-        F.lit(True).alias("asks"),
+        payload.alias("question"),
         *[F.lit(0).cast("double" if c == "area" else "long").alias(c) for c in sums],
     )
     slice_no = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("at"))) * SLICES).cast("int")
@@ -170,20 +176,10 @@ def tail_totals(profile: DataFrame, points: DataFrame) -> DataFrame:
         "zone_id", "slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in sums]
     )
     within = Window.partitionBy("zone_id", "slice").orderBy(F.desc("at"), "turn")
-    running = line.select(
-        "zone_id",
-        "slice",
-        "at",
-        "turn",
-        "asks",
-        *[F.sum(F.coalesce(c, F.lit(0))).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums],
-    ).where("asks")
-    return running.join(carried, ["zone_id", "slice"]).select(
-        "zone_id",
-        F.col("at").alias("point"),
-        (F.col("turn") == 0).alias("strict"),
-        *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in sums],
-    )
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    running = line.select("zone_id", "slice", "question", *[F.sum(c).over(so_far).alias(c) for c in sums])
+    totals = running.where(F.col("question").isNotNull()).join(carried, ["zone_id", "slice"])
+    return totals.select("question.*", *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in sums])
 
 
 def threshold_totals(profile: DataFrame, asked: DataFrame) -> DataFrame:
@@ -193,10 +189,10 @@ def threshold_totals(profile: DataFrame, asked: DataFrame) -> DataFrame:
     without a confidence. Zones without buildings give zeros.
     """
     sums = ("n", "area", "area_n")
-    points = asked.where(F.col("confidence_min") > 0).select(
-        "zone_id", F.col("confidence_min").alias("point"), F.lit(False).alias("strict")
+    questions = asked.where(F.col("confidence_min") > 0).select(
+        "zone_id", "confidence_min", F.col("confidence_min").alias("point"), F.lit(False).alias("strict")
     )
-    above = tail_totals(profile, points).select("zone_id", F.col("point").alias("confidence_min"), *sums)
+    above = tail_totals(profile, questions).select("zone_id", "confidence_min", *sums)
     whole = profile.groupBy("zone_id").agg(*[F.sum(c).alias(c) for c in sums])
     everything = asked.where(F.col("confidence_min") <= 0).join(whole, "zone_id", "left")
     found = above.unionByName(everything.select("zone_id", "confidence_min", *sums))
@@ -279,25 +275,17 @@ def histogram(profile: DataFrame, asked: DataFrame) -> DataFrame:
     Bins are half open, the last one closed; values outside [0, 1] and missing
     ones fall in no bin. A bin is the difference of two running totals.
     """
-    buckets = asked.select("zone_id", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bucket"))
-    edged = buckets.select(
-        "*",
-        _edge(F.col("bucket"), F.col("bins")).alias("min"),
-        _edge(F.col("bucket") + 1, F.col("bins")).alias("max"),
-        (F.col("bucket") + 1 == F.col("bins")).alias("last"),
+    bucket, bins = F.col("bucket"), F.col("bins")
+    buckets = asked.select("zone_id", "bins", F.explode(F.sequence(F.lit(0), bins - 1)).alias("bucket")).select(
+        "*", _edge(bucket, bins).alias("min"), _edge(bucket + 1, bins).alias("max")
     )
-    lower = edged.select("zone_id", F.col("min").alias("point"), F.lit(False).alias("strict"))
-    upper = edged.select("zone_id", F.col("max").alias("point"), F.col("last").alias("strict"))
-    points = lower.unionByName(upper).distinct()
-    totals = tail_totals(profile, points).select("zone_id", "point", "strict", "n")
-    from_min = totals.where(~F.col("strict")).select("zone_id", F.col("point").alias("min"), F.col("n").alias("n_min"))
-    from_max = totals.select(
-        "zone_id", F.col("point").alias("max"), F.col("strict").alias("last"), F.col("n").alias("n_max")
+    at_edges = F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("min").alias("point"), F.lit(False).alias("strict")),
+        F.struct(F.lit(-1).alias("sign"), F.col("max").alias("point"), (bucket + 1 == bins).alias("strict")),
     )
-    return (
-        edged.join(from_min, ["zone_id", "min"])
-        .join(from_max, ["zone_id", "max", "last"])
-        .select("zone_id", "bins", "bucket", "min", "max", (F.col("n_min") - F.col("n_max")).alias("count"))
+    totals = tail_totals(profile, buckets.select("*", F.inline(at_edges)))
+    return totals.groupBy("zone_id", "bins", "bucket", "min", "max").agg(
+        F.sum(F.col("sign") * F.col("n")).alias("count")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from beaconry import sinks
 from beaconry.operators import replay, requests, windows
-from beaconry.operators.events import decode_events
+from beaconry.operators.events import decode_events, parse_json
 from beaconry.schemas import ATTEMPT, WINDOW_DOCUMENT
 from beaconry.streaming.upsert import UpsertTable
 
@@ -102,8 +102,7 @@ def start_window_job(
 
 
 def decode_attempts(messages: DataFrame) -> DataFrame:
-    parsed = messages.select(F.from_json(F.col("value").cast("string"), ATTEMPT).alias("attempt"))
-    return parsed.select("attempt.*").where(F.col("query_id").isNotNull())
+    return parse_json(messages, ATTEMPT).where(F.col("query_id").isNotNull())
 
 
 def route_batch(routed: DataFrame, batch_id: int, path: str) -> None:
