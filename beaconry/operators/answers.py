@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beaconry.operators import zones as Z
 from beaconry.operators.requests import DEFAULT_BINS, DEFAULT_CONFIDENCE, param, validate_requests
+from beaconry.session import materialize
 
 # Result columns and their types; each request fills those of its query type.
 RESULT = {
@@ -23,43 +24,45 @@ RESULT = {
     "winner": "string",
     "bucket_counts": "string",
 }
+# What tells questions apart. A column that a query type does not use is null.
+QUESTION = ("query_type", "zone_id", "zone_b", "confidence_min", "bins")
+
+
+def with_question(requests: DataFrame) -> DataFrame:
+    """Replaces type and parameters by the question columns, defaults filled in."""
+    kind = F.upper("query_type")
+    columns = {
+        "query_type": kind,
+        "zone_id": F.when(kind == "Q4", param("zone_a")).otherwise(param("zone_id")),
+        "zone_b": F.when(kind == "Q4", param("zone_b")),
+        "confidence_min": F.when(kind != "Q5", F.coalesce(param("confidence_min"), F.lit(DEFAULT_CONFIDENCE))),
+        "bins": F.when(kind == "Q5", F.coalesce(param("bins"), F.lit(DEFAULT_BINS))),
+    }
+    others = [c for c in requests.columns if c not in ("query_type", "params")]
+    return requests.select(*others, *[column.alias(name) for name, column in columns.items()])
+
+
+def _validated(questions: DataFrame, zones: DataFrame) -> DataFrame:
+    as_params = F.struct("zone_id", F.col("zone_id").alias("zone_a"), "zone_b", "confidence_min", "bins")
+    return validate_requests(questions.withColumn("params", as_params), zones).drop("params")
 
 
 def _result(values: dict[str, Column]) -> list[Column]:
     return [values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in RESULT.items()]
 
 
-def answer_requests(requests: DataFrame, buildings: DataFrame, zones: DataFrame) -> DataFrame:
-    """Every request with its answer, or with the reason why it has none.
-
-    The distinct (zone, threshold) and (zone, bins) questions are collected from
-    the requests, answered from one zone profile, and joined back. Requests are
-    split by kind first, so that no join sees rows without a key.
-    """
-    kind = F.upper("query_type")
-    checked = validate_requests(requests, zones).select(
-        "query_id",
-        kind.alias("query_type"),
-        "error_reason",
-        F.when(kind == "Q4", param("zone_a")).otherwise(param("zone_id")).alias("zone_id"),
-        param("zone_b").alias("zone_b"),
-        F.coalesce(param("confidence_min"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence_min"),
-        F.coalesce(param("bins"), F.lit(DEFAULT_BINS)).alias("bins"),
-    )
-    common = ["query_id", "query_type", "error_reason"]
+def answer_questions(questions: DataFrame, profile: DataFrame, zones: DataFrame) -> DataFrame:
+    """Distinct questions with their answers, or with the reason why there is none."""
+    checked = _validated(questions, zones)
     valid = checked.where(F.col("error_reason").isNull())
     single = valid.where(F.col("query_type").isin("Q1", "Q2", "Q3"))
     pair = valid.where(F.col("query_type") == "Q4")
     spread = valid.where(F.col("query_type") == "Q5")
+    common = [*QUESTION, "error_reason"]
 
-    asked_zones = F.when(F.col("query_type") == "Q4", F.array("zone_id", "zone_b")).otherwise(F.array("zone_id"))
-    thresholds = (
-        valid.where(F.col("query_type") != "Q5")
-        .select(F.explode(asked_zones).alias("zone_id"), "confidence_min")
-        .distinct()
-    )
-    profile = Z.zone_profile(Z.assign_zones(buildings, zones))
-    totals = Z.threshold_totals(profile, thresholds).join(Z.zone_area(zones), "zone_id")
+    both = F.when(F.col("query_type") == "Q4", F.array("zone_id", "zone_b")).otherwise(F.array("zone_id"))
+    asked = valid.where(F.col("query_type") != "Q5").select(F.explode(both).alias("zone_id"), "confidence_min")
+    totals = Z.threshold_totals(profile, asked.distinct()).join(Z.zone_area(zones), "zone_id")
     facts = totals.select(
         "zone_id",
         "confidence_min",
@@ -68,47 +71,58 @@ def answer_requests(requests: DataFrame, buildings: DataFrame, zones: DataFrame)
         Z.density(F.col("n"), F.col("area_km2")).alias("density_per_km2"),
     )
 
-    is_type = {q: F.col("query_type") == q for q in ("Q1", "Q2", "Q3")}
+    def of(kind: str, name: str) -> Column:
+        return F.when(F.col("query_type") == kind, F.col(name))
+
     singles = single.join(facts, ["zone_id", "confidence_min"]).select(
         *common,
         *_result(
             {
-                "count": F.when(~is_type["Q2"], F.col("n")),
-                "avg_area": F.when(is_type["Q2"], F.col("avg_area")),
-                "total_area": F.when(is_type["Q2"], F.col("total_area")),
-                "n": F.when(is_type["Q2"], F.col("n")),
-                "area_km2": F.when(is_type["Q3"], F.col("area_km2")),
-                "density_per_km2": F.when(is_type["Q3"], F.col("density_per_km2")),
+                "count": F.coalesce(of("Q1", "n"), of("Q3", "n")),
+                "avg_area": of("Q2", "avg_area"),
+                "total_area": of("Q2", "total_area"),
+                "n": of("Q2", "n"),
+                "area_km2": of("Q3", "area_km2"),
+                "density_per_km2": of("Q3", "density_per_km2"),
             }
         ),
     )
-    compared = Z.q4_compare(facts, pair.withColumnRenamed("zone_id", "zone_a"))
+    compared = Z.q4_compare(facts, pair.withColumnRenamed("zone_id", "zone_a")).withColumnRenamed("zone_a", "zone_id")
     pairs = compared.select(*common, *_result({c: F.col(c) for c in ("density_a", "density_b", "winner")}))
-    bins = Z.bucket_text(Z.histogram(profile, spread.select("zone_id", "bins").distinct()))
-    spreads = spread.join(bins, ["zone_id", "bins"]).select(
+    buckets = Z.bucket_text(Z.histogram(profile, spread.select("zone_id", "bins")))
+    spreads = spread.join(buckets, ["zone_id", "bins"]).select(
         *common, *_result({"bucket_counts": F.col("bucket_counts")})
     )
     refused = checked.where(F.col("error_reason").isNotNull()).select(*common, *_result({}))
     return reduce(DataFrame.unionByName, (singles, pairs, spreads, refused))
 
 
+def answer_requests(requests: DataFrame, buildings: DataFrame, zones: DataFrame) -> DataFrame:
+    """Every request with its answer, or with the reason why it has none.
+
+    The requests are read twice, for their distinct questions and for the join
+    with the answers, the buildings once, for the profile of the zones. Both
+    small tables, and the answers, are written in between (eagerly).
+    """
+    asked = with_question(requests)
+    questions = materialize(asked.select(*QUESTION).distinct(), "questions")
+    profile = materialize(Z.zone_profile(Z.assign_zones(buildings, zones)), "profile")
+    answers = materialize(answer_questions(questions, profile, zones), "answers")
+    same = reduce(Column.__and__, [asked[c].eqNullSafe(answers[c]) for c in QUESTION])
+    return asked.join(answers, same).select(
+        *[asked[c] for c in asked.columns], *[answers[c] for c in ("error_reason", *RESULT)]
+    )
+
+
 def compare_requests(requests: DataFrame, buildings: DataFrame, zones: DataFrame) -> DataFrame:
     """The valid two-zone requests with their densities and the denser zone."""
-    pairs = (
-        validate_requests(requests.where(F.upper("query_type") == "Q4"), zones)
-        .where(F.col("error_reason").isNull())
-        .select(
-            "query_id",
-            param("zone_a").alias("zone_a"),
-            param("zone_b").alias("zone_b"),
-            F.coalesce(param("confidence_min"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence_min"),
-        )
-    )
-    asked = pairs.select(F.explode(F.array("zone_a", "zone_b")).alias("zone_id"), "confidence_min").distinct()
-    profile = Z.zone_profile(Z.assign_zones(buildings, zones))
-    densities = (
-        Z.threshold_totals(profile, asked)
-        .join(Z.zone_area(zones), "zone_id")
-        .select("zone_id", "confidence_min", Z.density(F.col("n"), F.col("area_km2")).alias("density_per_km2"))
+    pairs = answer_requests(requests.where(F.upper("query_type") == "Q4"), buildings, zones)
+    return pairs.where(F.col("error_reason").isNull()).select(
+        "query_id",
+        F.col("zone_id").alias("zone_a"),
+        "zone_b",
+        "confidence_min",
+        "density_a",
+        "density_b",
+        "winner",
     )
-    return Z.q4_compare(densities, pairs)

@@ -95,7 +95,7 @@ def _step_table(spans: list[_Steps]) -> pd.DataFrame:
 
 
 def _span_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1. Input: key, ttl_us, span, at; sorted by key, span, at."""
+    """Step 1. Input: key, ttl_us, span, at, first_id; sorted by key, span, at."""
     current = None
     for batch in batches:
         keys, ttls, spans, times = (batch[c].to_numpy() for c in ("key", "ttl_us", "span", "at"))
@@ -142,7 +142,7 @@ def _span_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _span_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 3. Input: as in step 1 with first_id, each span opened by a row that holds ``enters``."""
+    """Step 3. Input: as in step 1, each span opened by a row that holds ``enters``."""
     state = _EMPTY
     for batch in batches:
         keys, ttls, spans, times, enters = (
@@ -182,7 +182,7 @@ def cache_fills(requests: DataFrame, cached: DataFrame | None = None) -> DataFra
         .agg(F.min("query_id").alias("first_id"))
     )
     steps = _per_span(
-        times.drop("first_id"),
+        times,  # with first_id, so that step 3 reuses the same shuffle
         "at",
         ["key", "span"],
         _span_steps,

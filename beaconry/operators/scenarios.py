@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.operators import summary
@@ -15,6 +17,14 @@ def _elements(name: str, fields: list[str]) -> Column:
     return F.struct(*fields).alias(name)
 
 
+def _one_row_per_label(parts: list[DataFrame]) -> DataFrame:
+    """Frames with one row per label side by side, in one shuffle instead of a chain of joins."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    values = [c for c in stacked.columns if c != "label"]
+    merged = stacked.groupBy("label").agg(*[F.any_value(c, ignoreNulls=F.lit(True)).alias(c) for c in values])
+    return merged.where(F.col(parts[0].columns[1]).isNotNull())
+
+
 def _span(events: DataFrame, runs: tuple[str, ...]) -> DataFrame:
     """Per run, the time between the oldest and the newest of its last answers."""
     answered = events.where(F.col("event_type").isin(*SUCCESS_EVENTS)).select("label", "seq", "ts")
@@ -59,23 +69,18 @@ def run_snapshots(
     by_query = per_type.groupBy("label").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_type", value)))).alias("by_query")
     )
-    joined = (
-        totals.join(_span(events, runs), "label", "left")
-        .join(latency, "label", "left")
-        .join(recent, "label", "left")
-        .join(summary.cache_efficiency(events, n, runs), "label", "left")
-        .join(by_query, "label", "left")
-    )
-    extra_type = SNAPSHOT["extra"].dataType
-    optional = (
-        (extras, "extra", F.lit(None).cast(extra_type)),
-        (lags, "backlog_size", F.lit(None).cast("long")),
-        (evictions, "total_evicted", F.lit(None).cast("long")),
-    )
-    for frame, column, missing in optional:
-        joined = joined.withColumn(column, missing) if frame is None else joined.join(frame, "label", "left")
-    if evictions is None:
-        joined = joined.withColumn("rate_per_min", F.lit(None).cast("double"))
+    parts = [totals, _span(events, runs), latency, recent, summary.cache_efficiency(events, n, runs), by_query]
+    parts += [frame for frame in (extras, lags, evictions) if frame is not None]
+    joined = _one_row_per_label(parts)
+    optional = {
+        "extra": SNAPSHOT["extra"].dataType,
+        "backlog_size": SNAPSHOT["backlog_size"].dataType,
+        "total_evicted": SNAPSHOT["eviction"].dataType["total_evicted"].dataType,
+        "rate_per_min": SNAPSHOT["eviction"].dataType["rate_per_min"].dataType,
+    }
+    for name, kind in optional.items():
+        if name not in joined.columns:
+            joined = joined.withColumn(name, F.lit(None).cast(kind))
 
     total = F.col("total_requests")
     overall = total / elapsed if elapsed > 0 else F.lit(0.0)
@@ -109,8 +114,9 @@ def _or_zero(path: str) -> Column:
 
 def scenario_comparison(snapshots: DataFrame, baseline: str) -> DataFrame:
     """One row per run: throughput, latencies, rates in percent, and throughput against a baseline run."""
-    base = snapshots.where(F.col("label") == baseline).agg(F.max("throughput_qps_total")).scalar()
     rate = _or_zero("throughput_qps_total")
+    # All snapshots in one window: there is one row per run.
+    base = F.max(F.when(F.col("label") == baseline, rate)).over(Window.partitionBy(F.lit(0)))
     return snapshots.select(
         "label",
         F.col("extra.scale").alias("consumers"),

@@ -154,7 +154,7 @@ def tail_totals(profile: DataFrame, questions: DataFrame) -> DataFrame:
         "zone_id",
         F.coalesce("confidence", F.lit(float("-inf"))).alias("at"),
         F.lit(1).alias("turn"),
-        F.lit(None).cast(questions.select(payload.alias("q")).schema["q"].dataType).alias("question"),
+        F.lit(None).cast(questions.select(payload.alias("question")).schema["question"].dataType).alias("question"),
         "n",
         F.coalesce("area", F.lit(0.0)).alias("area"),
         "area_n",
@@ -183,20 +183,16 @@ def tail_totals(profile: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def threshold_totals(profile: DataFrame, asked: DataFrame) -> DataFrame:
-    """``n``, ``area`` and ``area_n`` for distinct (zone_id, confidence_min) rows.
+    """``n``, ``area`` and ``area_n`` for (zone_id, confidence_min) rows.
 
     A threshold of zero or less counts every building of the zone, also those
     without a confidence. Zones without buildings give zeros.
     """
-    sums = ("n", "area", "area_n")
-    questions = asked.where(F.col("confidence_min") > 0).select(
-        "zone_id", "confidence_min", F.col("confidence_min").alias("point"), F.lit(False).alias("strict")
-    )
-    above = tail_totals(profile, questions).select("zone_id", "confidence_min", *sums)
-    whole = profile.groupBy("zone_id").agg(*[F.sum(c).alias(c) for c in sums])
-    everything = asked.where(F.col("confidence_min") <= 0).join(whole, "zone_id", "left")
-    found = above.unionByName(everything.select("zone_id", "confidence_min", *sums))
-    return found.select("zone_id", "confidence_min", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
+    minimum = F.col("confidence_min")
+    # Missing confidences stand at minus infinity, so asking from there finds them too.
+    point = F.when(minimum > 0, minimum).otherwise(F.lit(float("-inf")))
+    questions = asked.select("zone_id", "confidence_min", point.alias("point"), F.lit(False).alias("strict"))
+    return tail_totals(profile, questions).select("zone_id", "confidence_min", "n", "area", "area_n")
 
 
 def _ask(zones: DataFrame, thresholds) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set when a session is built here; a cluster's own settings win over them.
 BUILD_CONF = {
@@ -56,3 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{tempfile.mkdtemp(prefix='beaconry-')}/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read from there.
+
+    For small results that several branches of a plan use: each branch would
+    otherwise prune and compute its own copy. The files survive lost executors,
+    and their size tells the optimizer when a broadcast is safe.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
