@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions import box_area_km2, in_box
-from beaconry.operators.sizes import is_small
+from beaconry.operators.sizes import dimension, is_small
 from beaconry.schemas import ZONE
 
 # The five zones and their bounding boxes, in degrees.
@@ -57,7 +57,8 @@ def assign_zones_grid(buildings: DataFrame, zones: DataFrame) -> DataFrame:
 
     A zone sits on the grid level where it spans only a few cells, so wide zones
     stay as cheap as narrow ones. A building looks up one cell per level in use.
-    A crowded cell is left to the skew handling of the adaptive join.
+    Past the broadcast size a crowded cell is left to the skew handling of the
+    adaptive join.
     """
     extent = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
     cells_long = F.greatest(extent * CELLS_PER_DEGREE / CELLS_PER_SIDE, F.lit(1.0))
@@ -78,7 +79,9 @@ def assign_zones_grid(buildings: DataFrame, zones: DataFrame) -> DataFrame:
         .withColumn("column", _cell(F.col("longitude"), F.col("level")))
     )
     inside = in_box(F.col("latitude"), F.col("longitude"), *map(F.col, BOX))
-    return placed.join(covered, ["level", "row", "column"]).where(inside).drop("level", "row", "column", *BOX)
+    # Up to MAX_BROADCAST_ROWS cells the buildings stay where they are.
+    joined = placed.join(dimension(covered), ["level", "row", "column"])
+    return joined.where(inside).drop("level", "row", "column", *BOX)
 
 
 def filter_to_zones(buildings: DataFrame, zones: DataFrame, keep_multiplicity: bool = True) -> DataFrame:

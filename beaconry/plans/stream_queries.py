@@ -30,7 +30,8 @@ def stream_window_metrics(spark, sf_dir):
         f"{folder}/table",
         f"{folder}/checkpoint",
         trigger=jobs.UNTIL_DONE,
-        partitions=spark.sparkContext.defaultParallelism,
+        # The state is one row per window, whatever the traffic.
+        partitions=min(spark.sparkContext.defaultParallelism, 32),
     )
     query.awaitTermination()
     return rounded(plain(jobs.window_table(spark, f"{folder}/table").latest()), latency_avg=9)

@@ -28,12 +28,12 @@ def window_latency(spark, sf_dir):
     return rounded(plain(open_window(windows.window_latency(inputs.metric_events(spark, sf_dir)))), latency_avg=9)
 
 
-def documents(spark, sf_dir):
-    return rounded(windows.window_metrics(inputs.metric_events(spark, sf_dir)), latency_avg=9)
+def window_metrics(spark, sf_dir):
+    return rounded(plain(windows.window_metrics(inputs.metric_events(spark, sf_dir))), latency_avg=9)
 
 
-def window_metrics(spark, sf_dir):
-    return plain(documents(spark, sf_dir))
+def _documents(spark, sf_dir):
+    return rounded(windows.window_metrics_panes(inputs.metric_events(spark, sf_dir)), latency_avg=9)
 
 
 def window_metrics_panes(spark, sf_dir):
@@ -46,12 +46,12 @@ def tumbling_window_metrics(spark, sf_dir):
 
 
 def dashboard_rollup(spark, sf_dir):
-    series = dashboards.dashboard_rollup(documents(spark, sf_dir))
+    series = dashboards.dashboard_rollup(_documents(spark, sf_dir))
     return rounded(plain(series), **{name: 9 for name in dashboards.PANEL_MEANS})
 
 
 def dashboard_recent(spark, sf_dir):
-    return plain(dashboards.dashboard_recent(documents(spark, sf_dir), inputs.END_SECONDS))
+    return plain(dashboards.dashboard_recent(_documents(spark, sf_dir), inputs.END_SECONDS))
 
 
 QUERIES = {

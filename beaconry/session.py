@@ -7,24 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The registered queries put these on any session they are given.
+QUERY_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    # Last-N per class keeps thousands of rows: let the limit run before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # A task meets some hundred windows. Their sketches fit in memory; the default
+    # of 128 groups makes it sort every event instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
+}
+
 # Set when a session is built here; a cluster's own settings win over them.
 BUILD_CONF = {
-    "spark.sql.session.timeZone": "UTC",
+    **QUERY_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Last-N per class keeps thousands of rows: let the limit run before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     "spark.ui.enabled": "false",
 }
 
-# Results depend on these, so the registered queries put them on any session.
-RESULT_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
-}
-
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -38,8 +40,8 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put the settings that results depend on onto an existing session."""
-    for key, value in RESULT_CONF.items():
+    """Put the settings of the registered queries onto an existing session."""
+    for key, value in QUERY_CONF.items():
         spark.conf.set(key, value)
     return spark
 
