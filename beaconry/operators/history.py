@@ -18,9 +18,12 @@ def _slice_of(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
-def slice_counts(rows: DataFrame, by: tuple[str, ...], seq: str = "seq", width: int = SLICE) -> DataFrame:
+def slice_counts(
+    rows: DataFrame, by: tuple[str, ...], seq: str = "seq", width: int = SLICE, more: list[Column] | None = None
+) -> DataFrame:
     """Rows per group and slice of the sequence: what cut-offs are found from."""
-    return rows.groupBy(*by, _slice_of(seq, width).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = [F.count(F.lit(1)).alias("_rows"), *(more or [])]
+    return rows.groupBy(*by, _slice_of(seq, width).alias("_slice")).agg(*counted)
 
 
 def _cutoff(slices: DataFrame, n: int, by: tuple[str, ...], width: int) -> DataFrame:
@@ -148,21 +151,22 @@ def previous_row(rows: DataFrame, by: str, order: str, columns: tuple[str, ...],
     ``order`` is unique within a group. Slices of ``width`` are read apart; the
     first row of a slice takes the last row of the slice before it.
     """
-    carried = F.struct(*columns)
     sliced = rows.withColumn("_slice", _slice_of(order, width))
     before = Window.partitionBy(by).orderBy("_slice")
     # One row per (group, slice).
-    entering = (
-        sliced.groupBy(by, "_slice")
-        .agg(F.max_by(carried, F.col(order)).alias("_last"))
-        .select(by, "_slice", F.lag("_last").over(before).alias("_entering"))
-    )
+    last = sliced.groupBy(by, "_slice").agg(*[F.max_by(c, order).alias(c) for c in columns])
+    entering = last.select(by, "_slice", *[F.lag(c).over(before).alias(f"_entering_{c}") for c in columns])
     within = Window.partitionBy(by, "_slice").orderBy(order)
-    lagged = sliced.withColumn("_before", F.lag(carried).over(within)).join(entering, [by, "_slice"])
-    previous = F.coalesce("_before", "_entering")
-    return lagged.select(
-        *rows.columns, *[previous.getField(c).alias(f"previous_{c}") for c in columns]
-    )
+    lagged = sliced.select(
+        "*",
+        (F.row_number().over(within) == 1).alias("_opens"),
+        *[F.lag(c).over(within).alias(f"_before_{c}") for c in columns],
+    ).join(entering, [by, "_slice"])
+
+    def previous(name: str) -> Column:
+        return F.when(F.col("_opens"), F.col(f"_entering_{name}")).otherwise(F.col(f"_before_{name}"))
+
+    return lagged.select(*rows.columns, *[previous(c).alias(f"previous_{c}") for c in columns])
 
 
 def eviction_rate(samples: DataFrame, start_us: int, by: str = "policy", width_us: int = 86_400_000_000) -> DataFrame:

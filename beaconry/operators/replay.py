@@ -48,16 +48,20 @@ def _runs(keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int]]:
 def _advance(expires: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
     """Expiry times after the requests at ``times`` (sorted), from expiry times before them."""
     expires = expires.copy()
-    while True:
-        at = np.searchsorted(times, expires, side="left")
-        filled = (at < len(times)) & (expires != _NEVER)
-        if not filled.any():
-            return expires
-        expires[filled] = times[at[filled]] + ttl if ttl > 0 else _NEVER
+    due = np.flatnonzero(expires <= times[-1])
+    while len(due):
+        filled_at = times[np.searchsorted(times, expires[due], side="left")]
+        expires[due] = filled_at + ttl if ttl > 0 else _NEVER
+        due = due[expires[due] <= times[-1]]
+    return expires
 
 
 class _Steps:
-    """Step table of one span while its requests pass by."""
+    """Step table of one span while its requests pass by.
+
+    Requests wait until there are as many as there are states, so that the work
+    stays in proportion to the requests however many states are open.
+    """
 
     def __init__(self, key: str, span: int, ttl: int, first: int) -> None:
         self.key, self.span, self.ttl = key, span, ttl
@@ -65,8 +69,17 @@ class _Steps:
         self.limit = first + ttl if ttl > 0 else _EMPTY
         self.past_limit = False
         self.upto = self.leaves = np.empty(0, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
 
     def add(self, times: np.ndarray) -> None:
+        self.waiting.append(times)
+        if sum(map(len, self.waiting)) >= len(self.leaves):
+            self.follow()
+
+    def follow(self) -> None:
+        if not self.waiting:
+            return
+        times, self.waiting = np.concatenate(self.waiting), []
         self.leaves = _advance(self.leaves, times, self.ttl)
         if not self.past_limit:
             # Each request up to the limit, and the next one, may be the first fill.
@@ -76,12 +89,14 @@ class _Steps:
             fresh = starts + self.ttl if self.ttl > 0 else np.full(len(starts), _NEVER)
             self.upto = np.concatenate([self.upto, starts])
             self.leaves = np.concatenate([self.leaves, _advance(fresh, times, self.ttl)])
-        # Later starts never leave earlier: equal results are neighbours.
+        # Neighbours that filled at the same request go on as one.
         last_of_equal = np.append(self.leaves[1:] != self.leaves[:-1], True)
         self.upto, self.leaves = self.upto[last_of_equal], self.leaves[last_of_equal]
 
 
 def _step_table(spans: list[_Steps]) -> pd.DataFrame:
+    for span in spans:
+        span.follow()
     rows = [len(s.upto) for s in spans]
     return pd.DataFrame(
         {

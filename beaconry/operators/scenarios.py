@@ -11,6 +11,7 @@ from beaconry.operators import summary
 from beaconry.operators.events import SUCCESS_EVENTS
 from beaconry.operators.history import last_n_per_class
 from beaconry.schemas import SNAPSHOT
+from beaconry.session import materialize
 
 
 def _elements(name: str, fields: list[str]) -> Column:
@@ -25,11 +26,16 @@ def _one_row_per_label(parts: list[DataFrame]) -> DataFrame:
     return merged.where(F.col(parts[0].columns[1]).isNotNull())
 
 
-def _span(events: DataFrame, runs: tuple[str, ...]) -> DataFrame:
+def _span(events: DataFrame, runs: tuple[str, ...], counted: DataFrame) -> DataFrame:
     """Per run, the time between the oldest and the newest of its last answers."""
-    answered = events.where(F.col("event_type").isin(*SUCCESS_EVENTS)).select("label", "seq", "ts")
-    slices = summary.answered_slices(events, runs)
-    recent = last_n_per_class(answered, summary.TIME_SAMPLE, "label", runs, slices=slices)
+    answered = F.col("event_type").isin(*SUCCESS_EVENTS)
+    recent = last_n_per_class(
+        events.where(answered).select("label", "seq", "ts"),
+        summary.TIME_SAMPLE,
+        "label",
+        runs,
+        slices=counted.where(answered),
+    )
     return recent.groupBy("label").agg(
         (F.max_by("ts", "seq") - F.min_by("ts", "seq")).alias("span"), F.count(F.lit(1)).alias("sample")
     )
@@ -48,28 +54,30 @@ def run_snapshots(
     """One nested snapshot document per named run, all runs in one plan.
 
     ``extras`` adds (label, extra), ``lags`` (label, backlog_size) and
-    ``evictions`` (label, total_evicted, rate_per_min). Everything joined here
-    has one row per run.
+    ``evictions`` (label, total_evicted, rate_per_min). Everything put together
+    here has one row per run. The counts that all parts start from, and the
+    class latencies, are small and written out first (eagerly).
     """
     elapsed = float(as_of) - float(since)
-    totals = summary.run_summary(events, runs).where(F.col("label").isin(*runs))
-    classes = summary.summary_latency(events, n, runs)
-    latency = classes.groupBy("label").agg(
+    events = events.where(F.col("label").isin(*runs))
+    in_last_10s = F.col("event_type").isin(*SUCCESS_EVENTS) & F.col("ts").between(float(as_of) - 10, float(as_of))
+    counted = summary.activity(events, runs, last_10s=F.count_if(in_last_10s))
+    classes = materialize(summary.class_latency(events, n, runs, counted), "classes")
+    totals = summary.run_summary(events, runs, counted)
+    latency = summary.summary_latency(events, n, runs, classes).groupBy("label").agg(
         *[
             F.max_by(F.struct("p50", "p95", "p99"), F.when(F.col("class") == c, 1)).alias(f"latency_ms_{c}")
             for c in (*SUCCESS_EVENTS, "all")
         ]
     )
-    recent_10s = events.where(
-        F.col("event_type").isin(*SUCCESS_EVENTS) & (F.col("ts") >= float(as_of) - 10) & (F.col("ts") <= float(as_of))
-    )
-    recent = recent_10s.groupBy("label").agg(F.count(F.lit(1)).alias("last_10s"))
-    per_type = summary.by_query_summary(events, n, runs)
+    recent = counted.groupBy("label").agg(F.sum("last_10s").alias("last_10s"))
+    per_type = summary.by_query_summary(events, n, runs, counted)
     value = F.struct(*[f.name for f in SNAPSHOT["by_query"].dataType.valueType.fields])
     by_query = per_type.groupBy("label").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_type", value)))).alias("by_query")
     )
-    parts = [totals, _span(events, runs), latency, recent, summary.cache_efficiency(events, n, runs), by_query]
+    efficiency = summary.cache_efficiency(events, n, runs, counted, classes)
+    parts = [totals, _span(events, runs, counted), latency, recent, efficiency, by_query]
     parts += [frame for frame in (extras, lags, evictions) if frame is not None]
     joined = _one_row_per_label(parts)
     optional = {

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from beaconry.functions import ratio
 from beaconry.operators.events import SUCCESS_EVENTS
 from beaconry.operators.history import last_n, last_n_per_class, slice_counts
+from beaconry.session import materialize
 
 QUERY_TYPES = ("Q1", "Q2", "Q3", "Q4", "Q5")
 LATENCY_SAMPLE = 5_000
@@ -49,26 +50,32 @@ def _points(latency: str, names: tuple[str, str, str]) -> list[Column]:
 
 def event_counts(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataFrame:
     """Events by event and query type (and run). All counters are sums over these few rows."""
-    return events.groupBy(*_keys(runs), "event_type", "query_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.groupBy(*_keys(runs), "event_type", "query_type").agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def _counters(names=tuple(COUNTERS)) -> list[Column]:
-    """Counters from ``event_counts``."""
-    counted = {name: F.when(F.col("event_type") == COUNTERS[name], F.col("n")) for name in names}
-    return [F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in counted.items()]
+def activity(events: DataFrame, runs: tuple[str, ...] | None = None, **more: Column) -> DataFrame:
+    """``event_counts`` per slice of arrival, written out: counters and cut-offs in one pass.
 
-
-def answered_slices(events: DataFrame, runs) -> DataFrame:
-    """Answered requests per slice of arrival, fine enough for every cut-off of a summary."""
+    ``more`` adds aggregates to the same pass.
+    """
     keys = (*_keys(runs), "event_type", "query_type")
-    return slice_counts(events.where(_answered()).select(*keys, "seq"), keys)
+    added = [column.alias(name) for name, column in more.items()]
+    return materialize(slice_counts(events, keys, more=added), "activity")
 
 
-def _recent(events: DataFrame, n: int, kind: str, kinds: tuple[str, ...], runs) -> DataFrame:
+def _counters(names=tuple(COUNTERS)) -> list[Column]:
+    """Counters from ``event_counts`` or ``activity``."""
+    counted = {name: F.when(F.col("event_type") == COUNTERS[name], F.col("_rows")) for name in names}
+    return [F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in counted.items()]
+
+
+def _recent(
+    events: DataFrame, n: int, kind: str, kinds: tuple[str, ...], runs, counted: DataFrame | None
+) -> DataFrame:
     """The newest ``n`` answered requests per kind (and run); a missing latency counts as zero."""
     latency = F.coalesce("latency_ms", F.lit(0.0)).alias("latency")
     answered = events.where(_answered()).select(*_keys(runs), kind, "seq", latency)
-    slices = answered_slices(events, runs)
+    slices = slice_counts(answered, (*_keys(runs), kind)) if counted is None else counted.where(_answered())
     if runs is None:
         return last_n_per_class(answered, n, kind, kinds, slices=slices)
     classes = tuple(f"{run}/{k}" for run in runs for k in kinds)
@@ -90,9 +97,15 @@ def event_counters(events: DataFrame) -> DataFrame:
     return event_counts(events).rollup("query_type").agg(*_counters(tuple(named)), errors)
 
 
-def run_summary(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataFrame:
-    """Totals and rates. Hit and miss rate are null where nothing was answered."""
-    counted = event_counts(events, runs).groupBy(*_keys(runs)).agg(*_counters())
+def run_summary(
+    events: DataFrame, runs: tuple[str, ...] | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """Totals and rates. Hit and miss rate are null where nothing was answered.
+
+    Here and below ``counted`` may bring the ``activity`` of the events.
+    """
+    counts = event_counts(events, runs) if counted is None else counted
+    counted = counts.groupBy(*_keys(runs)).agg(*_counters())
     total = F.col("hits") + F.col("misses") + F.col("recoveries")
     rescued = F.col("recoveries") + F.col("dlq")
     return counted.withColumn("total_requests", total).select(
@@ -108,10 +121,13 @@ def run_summary(events: DataFrame, runs: tuple[str, ...] | None = None) -> DataF
 
 
 def class_latency(
-    events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
+    events: DataFrame,
+    n: int = LATENCY_SAMPLE,
+    runs: tuple[str, ...] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Percentiles, sum and number of the newest latencies per class and over all classes together."""
-    recent = _recent(events, n, "event_type", SUCCESS_EVENTS, runs)
+    recent = _recent(events, n, "event_type", SUCCESS_EVENTS, runs, counted)
     # At most n rows per class are left, so doubling them for "all" is cheap.
     both = recent.select(
         *_keys(runs), "latency", F.explode(F.array("event_type", F.lit("all"))).alias("class")
@@ -124,14 +140,18 @@ def class_latency(
 
 
 def summary_latency(
-    events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
+    events: DataFrame,
+    n: int = LATENCY_SAMPLE,
+    runs: tuple[str, ...] | None = None,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact p50, p95 and p99 per class and over all classes together.
 
     Every class has its row; percentiles of a class without requests are null.
+    ``classes`` may bring the ``class_latency`` of the events.
     """
     wanted = _wanted(events, runs, "class", (*SUCCESS_EVENTS, "all"))
-    found = class_latency(events, n, runs).drop("latency_sum", "latency_n")
+    found = (class_latency(events, n, runs) if classes is None else classes).drop("latency_sum", "latency_n")
     return wanted.join(found, wanted.columns, "left")
 
 
@@ -166,11 +186,16 @@ def throughput(events: DataFrame, since: float, as_of: float, n: int = TIME_SAMP
 
 
 def cache_efficiency(
-    events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
+    events: DataFrame,
+    n: int = LATENCY_SAMPLE,
+    runs: tuple[str, ...] | None = None,
+    counted: DataFrame | None = None,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """Mean latency with and without the cache, and the time it saved per request."""
     keys = _keys(runs)
-    classes = class_latency(events, n, runs)
+    counted = activity(events, runs) if counted is None else counted
+    classes = class_latency(events, n, runs, counted) if classes is None else classes
     kind, total, size = F.col("class"), F.col("latency_sum"), F.col("latency_n")
 
     def mean(names: tuple[str, ...]) -> Column:
@@ -182,7 +207,7 @@ def cache_efficiency(
         F.coalesce(mean(("hit",)), F.lit(0.0)).alias("mean_cache"),
         F.coalesce(mean(("miss", "recovery")), F.lit(0.0)).alias("mean_db"),
     )
-    answered = run_summary(events, runs).select(*keys, "hits", F.col("total_requests").alias("total"))
+    answered = run_summary(events, runs, counted).select(*keys, "hits", F.col("total_requests").alias("total"))
     if keys:
         joined = answered.join(means, keys, "left")  # one row per run on both sides
     else:
@@ -198,14 +223,16 @@ def cache_efficiency(
 
 
 def by_query_summary(
-    events: DataFrame, n: int = LATENCY_SAMPLE, runs: tuple[str, ...] | None = None
+    events: DataFrame,
+    n: int = LATENCY_SAMPLE,
+    runs: tuple[str, ...] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Counters, hit rate and exact percentiles for each of Q1 to Q5, also the unused ones."""
     keys = [*_keys(runs), "query_type"]
-    counts = (
-        event_counts(events, runs).groupBy(*keys).agg(*_counters(("hits", "misses", "recoveries", "retries", "dlq")))
-    )
-    recent = _recent(events, n, "query_type", QUERY_TYPES, runs)
+    counted = activity(events, runs) if counted is None else counted
+    counts = counted.groupBy(*keys).agg(*_counters(("hits", "misses", "recoveries", "retries", "dlq")))
+    recent = _recent(events, n, "query_type", QUERY_TYPES, runs, counted)
     latencies = recent.groupBy(*keys).agg(*_points("latency", ("p50_ms", "p95_ms", "p99_ms")))
     wanted = _wanted(events, runs, "query_type", QUERY_TYPES)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "misses", "recoveries", "retries", "dlq")]

@@ -170,7 +170,9 @@ def tail_totals(profile: DataFrame, questions: DataFrame) -> DataFrame:
         *[F.lit(0).cast("double" if c == "area" else "long").alias(c) for c in sums],
     )
     slice_no = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("at"))) * SLICES).cast("int")
-    line = held.unionByName(asked).withColumn("slice", slice_no)
+    # Never null, and declared so: a null filter pushed into one of the two uses
+    # of the line would keep them from sharing one pass over the buildings.
+    line = held.unionByName(asked).withColumn("slice", F.coalesce(slice_no, F.lit(0)))
 
     above = Window.partitionBy("zone_id").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     # One row per zone and slice: at most a few thousand per zone.

@@ -56,16 +56,17 @@ class UpsertTable:
 
     def latest(self, upto: int | None = None) -> DataFrame:
         """One row per key, as of batch ``upto`` or now."""
-        return self._newest(upto).select(*[f"row.`{f.name}`" for f in self.schema.fields])
+        return self._newest(upto).select(*[f"`{f.name}`" for f in self.schema.fields])
 
     def _newest(self, upto: int | None) -> DataFrame:
-        row = F.struct(*[F.col(f"`{name}`") for name in self._stored.fieldNames()])
-        # The newest row per key and task goes into the shuffle, not every batch of it.
-        return self.history(upto).groupBy(self.key).agg(F.max_by(row, "batch_id").alias("row"))
+        # Column by column: on numbers and times that is a hash aggregation, in
+        # which one row per key and task goes into the shuffle.
+        others = [name for name in self._stored.fieldNames() if name != self.key]
+        newest = [F.max_by(F.col(f"`{name}`"), "batch_id").alias(name) for name in others]
+        return self.history(upto).groupBy(self.key).agg(*newest)
 
     def compact(self, upto: int) -> None:
         """Fold the batches up to ``upto`` into a base."""
-        folded = self._newest(upto).select("row.*")
-        folded.write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+        self._newest(upto).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
         commit = self.spark.range(1).select(F.lit(upto).cast("long").alias("upto"))
         commit.write.mode("append").parquet(f"{self.path}/commits")

@@ -14,7 +14,7 @@ def plan(df) -> str:
 
 
 def lazy_names():
-    eager = {"publish_events", "upsert_latest", "load_snapshots"}
+    eager = {"publish_events", "upsert_latest", "load_snapshots"}  # these read what they wrote
     return [n for n in entry.queries() if not n.startswith("stream_") and n not in eager]
 
 
