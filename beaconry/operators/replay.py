@@ -263,6 +263,15 @@ def ttl_replay(requests: DataFrame, cached: DataFrame | None = None) -> DataFram
     return served.withColumn("hit", hit).withColumn("event", event).drop("first_id")
 
 
+def usable_entries(entries: DataFrame) -> DataFrame:
+    """Cache entries (key, payload, ...) that can be served: those whose payload is a JSON value.
+
+    A payload that does not parse, like an absent one or a JSON null, is a miss.
+    """
+    value = F.try_parse_json("payload")
+    return entries.where(value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True)))
+
+
 def replay_input(keyed: DataFrame) -> DataFrame:
     """Requests with ``cache_key`` in the form the replay takes; unkeyed ones are left out."""
     return keyed.where(F.col("cache_key").isNotNull()).select(

@@ -13,7 +13,7 @@ from beaconry.sources import messages
 from beaconry.streaming import jobs
 
 ANSWER_DIGITS = {
-    "avg_area": 9,
+    "avg_area": 7,
     "total_area": 4,
     "area_km2": 6,
     "density_per_km2": 6,

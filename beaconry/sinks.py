@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import safe_label
 from beaconry.operators.events import encode_events
+from beaconry.schemas import METRIC_EVENT
 
 
 def publish_events(events: DataFrame, path: str) -> None:
@@ -15,8 +16,8 @@ def publish_events(events: DataFrame, path: str) -> None:
 
 
 def publish_events_to_topic(events: DataFrame, servers: str, topic: str) -> None:
-    """Metric events to a Kafka topic; needs Spark's Kafka connector on the class path."""
-    encode_events(events).write.format("kafka").options(**topic_sink_options(servers, topic)).save()
+    """Metric events to a Kafka topic."""
+    write_topic(events.select(*METRIC_EVENT.fieldNames()), servers, topic)
 
 
 def topic_sink_options(servers: str, topic: str) -> dict[str, str]:
@@ -28,6 +29,12 @@ def topic_sink_options(servers: str, topic: str) -> dict[str, str]:
     }
 
 
+def write_topic(rows: DataFrame, servers: str, topic: str) -> None:
+    """Rows as JSON messages to a Kafka topic; needs Spark's Kafka connector on the class path."""
+    messages = rows.select(F.to_json(F.struct("*")).alias("value"))
+    messages.write.format("kafka").options(**topic_sink_options(servers, topic)).save()
+
+
 def write_json_messages(rows: DataFrame, path: str) -> None:
     """Rows as JSON messages; replaces what an earlier run of the same batch left."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

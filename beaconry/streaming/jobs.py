@@ -105,14 +105,23 @@ def decode_attempts(messages: DataFrame) -> DataFrame:
     return parse_json(messages, ATTEMPT).where(F.col("query_id").isNotNull())
 
 
-def route_batch(routed: DataFrame, batch_id: int, path: str) -> None:
+def route_batch(routed: DataFrame, batch_id: int, path: str, servers: str | None = None) -> None:
     """One micro-batch to the retry topic, the dead-letter topic, the event feed and the log.
 
-    Folders are named after the batch and replaced when it is replayed.
+    Folders are named after the batch and replaced when it is replayed. With
+    ``servers`` retries and dead letters go to Kafka topics instead, where a
+    replayed batch sends them again.
     """
     part = f"batch_id={batch_id}"
-    sinks.write_json_messages(requests.retry_messages(routed), f"{path}/{requests.RETRY_TOPIC}/{part}")
-    sinks.write_json_messages(requests.dead_letters(routed), f"{path}/{requests.DEAD_LETTER_TOPIC}/{part}")
+    outgoing = {
+        requests.RETRY_TOPIC: requests.retry_messages(routed),
+        requests.DEAD_LETTER_TOPIC: requests.dead_letters(routed),
+    }
+    for topic, rows in outgoing.items():
+        if servers:
+            sinks.write_topic(rows, servers, topic)
+        else:
+            sinks.write_json_messages(rows, f"{path}/{topic}/{part}")
     sinks.write_json_messages(requests.attempt_events(routed), f"{path}/events/{part}")
     routed.write.mode("overwrite").parquet(f"{path}/routed/{part}")
 
@@ -123,12 +132,13 @@ def start_routing_job(
     checkpoint: str,
     max_retries: int = requests.MAX_RETRIES,
     trigger: dict | None = None,
+    servers: str | None = None,
 ) -> StreamingQuery:
     """Route attempts as they arrive."""
     routed = requests.route_attempts(decode_attempts(messages), max_retries)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        route_batch(batch, batch_id, path)
+        route_batch(batch, batch_id, path, servers)
 
     return (
         routed.writeStream.foreachBatch(each_batch(write, "routing"))

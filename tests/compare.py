@@ -37,10 +37,18 @@ def _sorted_rows(columns, rows):
     return [columns[i] for i in order], sorted([tuple(_cell(r[i]) for i in order) for r in rows])
 
 
+# What the check returns for a Spark type.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(df, con, sql: str) -> str | None:
     """A description of the first difference, or None."""
     result = con.execute(sql)
     want_cols, want = _sorted_rows([d[0] for d in result.description], result.fetchall())
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    for name, kind in df.dtypes:
+        if TYPES.get(kind, kind) != kinds.get(name):
+            return f"{name} is {kind}, expected {kinds.get(name)}"
     got_cols, got = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"

@@ -85,3 +85,9 @@ def test_lookup_leaves_out_requests_before_any_fill(spark):
     rows = [(i, "k", 10, at, 0) for i, at in enumerate((19, 20, 29, 30))]
     got = R.requests_to_fills(spark.createDataFrame(rows, REQUEST), fills).select(F.col("created_us"))
     assert sorted(r[0] for r in got.collect()) == [20, 29]
+
+
+def test_corrupt_payloads_are_not_served(spark):
+    rows = [("a", '{"count":1}'), ("b", "{bad"), ("c", None), ("d", "null"), ("e", "3")]
+    entries = spark.createDataFrame(rows, "key string, payload string")
+    assert sorted(r["key"] for r in R.usable_entries(entries).collect()) == ["a", "e"]
