@@ -5,14 +5,18 @@ otherwise it is a miss and becomes the new fill. A hit does not prolong a fill.
 A time to live of zero or less never runs out.
 
 Fills follow one another along a whole key, but one key may hold a third of all
-requests. So the history of a key is cut into spans of a few times to live:
+requests. So the history of a key is cut into spans of a few times to live, and
+the spans are bundled into parts:
 
 1. For each span apart, follow the fills from *every* state the span can be
    entered in. States that meet stay together, which leaves a short step table
    "entered with the last fill running out by ... -> left with it running out at ...".
-2. Walk the step tables of a key in order. This alone is sequential, and reads
-   only the steps. It gives the state each span is really entered in.
-3. For each span apart, follow the fills from that state.
+2. For each part apart, chain the step tables of its spans into one.
+3. Walk the tables of the parts of a key in order. This alone is sequential per
+   key, and reads about a thousandth of its requests at most. It gives the state
+   each part is really entered in.
+4. For each part apart, walk its spans from that state.
+5. For each span apart, follow the fills from the state it is entered in.
 
 The spans see distinct request times only. Requests then meet the fills in an
 equi-join on (key, time bucket).
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import ttl_seconds
 
-# A span is this many times to live long.
+# A span is this many times to live long, a part this many spans.
 SPAN_TTLS = 32
+PART_SPANS = 32
 # Length of a span where entries never run out.
 ENDLESS_SPAN_US = 86_400_000_000
 
@@ -38,11 +43,19 @@ _NEVER = np.iinfo(np.int64).max  # no fill runs out this late: the entry is kept
 _EMPTY = np.iinfo(np.int64).min  # nothing is cached
 
 
-def _runs(keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of the runs of equal (key, span) in one sorted batch."""
-    changed = (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values in one sorted batch."""
+    changed = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for values in columns:
+        changed |= values[1:] != values[:-1]
     starts = np.flatnonzero(changed) + 1
-    return zip([0, *starts], [*starts, len(keys)])
+    return zip([0, *starts], [*starts, len(columns[0])])
+
+
+def _merge_equal(upto: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring entry states that leave at the same time go on as one."""
+    last_of_equal = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[last_of_equal], leaves[last_of_equal]
 
 
 def _advance(expires: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
@@ -89,22 +102,53 @@ class _Steps:
             fresh = starts + self.ttl if self.ttl > 0 else np.full(len(starts), _NEVER)
             self.upto = np.concatenate([self.upto, starts])
             self.leaves = np.concatenate([self.leaves, _advance(fresh, times, self.ttl)])
-        # Neighbours that filled at the same request go on as one.
-        last_of_equal = np.append(self.leaves[1:] != self.leaves[:-1], True)
-        self.upto, self.leaves = self.upto[last_of_equal], self.leaves[last_of_equal]
+        self.upto, self.leaves = _merge_equal(self.upto, self.leaves)
+
+
+class _Chain:
+    """Step table of one part while those of its spans pass by, in order."""
+
+    def __init__(self, key: str, part: int, ttl: int, first: int) -> None:
+        self.key, self.span, self.ttl = key, part, ttl
+        self.limit = min(first + ttl, _NEVER) if ttl > 0 else _EMPTY
+        self.past_limit = False
+        self.upto = self.leaves = np.empty(0, dtype=np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def add(self, upto: np.ndarray, leaves: np.ndarray, opens: bool) -> None:
+        """A piece of a step table; ``opens`` tells that it is the first one of its span."""
+        if opens:
+            self.follow()
+        self.waiting.append((upto, leaves))
 
-def _step_table(spans: list[_Steps]) -> pd.DataFrame:
-    for span in spans:
-        span.follow()
-    rows = [len(s.upto) for s in spans]
+    def follow(self) -> None:
+        if not self.waiting:
+            return
+        upto, leaves = map(np.concatenate, zip(*self.waiting))
+        self.waiting = []
+        at = np.searchsorted(upto, self.leaves, side="left")
+        steps = at < len(upto)
+        self.leaves[steps] = leaves[at[steps]]
+        if not self.past_limit:
+            # States that no span before this one has touched.
+            count = int(np.searchsorted(upto, self.limit, side="left"))
+            self.past_limit = count < len(upto)
+            self.upto = np.concatenate([self.upto, upto[: count + 1]])
+            self.leaves = np.concatenate([self.leaves, leaves[: count + 1]])
+        self.upto, self.leaves = _merge_equal(self.upto, self.leaves)
+
+
+def _step_table(done: list[_Steps] | list[_Chain]) -> pd.DataFrame:
+    for table in done:
+        table.follow()
+    rows = [len(table.upto) for table in done]
     return pd.DataFrame(
         {
-            "key": np.repeat(np.array([s.key for s in spans], dtype=object), rows),
-            "ttl_us": np.repeat(np.array([s.ttl for s in spans], dtype=np.int64), rows),
-            "span": np.repeat(np.array([s.span for s in spans], dtype=np.int64), rows),
-            "upto": np.concatenate([s.upto for s in spans]),
-            "leaves": np.concatenate([s.leaves for s in spans]),
+            "key": np.repeat(np.array([table.key for table in done], dtype=object), rows),
+            "ttl_us": np.repeat(np.array([table.ttl for table in done], dtype=np.int64), rows),
+            "span": np.repeat(np.array([table.span for table in done], dtype=np.int64), rows),
+            "upto": np.concatenate([table.upto for table in done]),
+            "leaves": np.concatenate([table.leaves for table in done]),
         }
     )
 
@@ -127,17 +171,42 @@ def _span_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _step_table([current])
 
 
-def _span_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 2. Input: step tables sorted by key, span, upto."""
-    key, span, state, stepped = None, None, _EMPTY, False
+def _part_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 2. Input: step tables with their part; sorted by key, part, span, upto."""
+    current, span = None, None
     for batch in batches:
-        keys, ttls, spans, upto, leaves = (
-            batch[c].to_numpy() for c in ("key", "ttl_us", "span", "upto", "leaves")
+        keys, ttls, parts, spans, upto, leaves = (
+            batch[c].to_numpy() for c in ("key", "ttl_us", "part", "span", "upto", "leaves")
+        )
+        finished = []
+        for low, high in _runs(keys, parts, spans):
+            opens = spans[low] != span
+            if current is None or (current.key, current.span) != (keys[low], parts[low]):
+                if current is not None:
+                    finished.append(current)
+                current, opens = _Chain(keys[low], int(parts[low]), int(ttls[low]), int(upto[low])), True
+            span = spans[low]
+            current.add(upto[low:high], leaves[low:high], opens)
+        if finished:
+            yield _step_table(finished)
+    if current is not None:
+        yield _step_table([current])
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps 3 and 4: the state each span is entered in, from an empty cache per (key, part).
+
+    Input: step tables sorted by key, part, span, upto.
+    """
+    owner, span, state, stepped = None, None, _EMPTY, False
+    for batch in batches:
+        keys, ttls, parts, spans, upto, leaves = (
+            batch[c].to_numpy() for c in ("key", "ttl_us", "part", "span", "upto", "leaves")
         )
         opened, enters = [], []
-        for low, high in _runs(keys, spans):
-            if keys[low] != key:
-                key, span, state = keys[low], None, _EMPTY
+        for low, high in _runs(keys, parts, spans):
+            if (keys[low], parts[low]) != owner:
+                owner, span, state = (keys[low], parts[low]), None, _EMPTY
             if span is None or spans[low] != span:
                 span, stepped = spans[low], False
                 opened.append(low)
@@ -157,7 +226,7 @@ def _span_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _span_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 3. Input: as in step 1, each span opened by a row that holds ``enters``."""
+    """Step 5. Input: as in step 1, each span opened by a row that holds ``enters``."""
     state = _EMPTY
     for batch in batches:
         keys, ttls, spans, times, enters = (
@@ -178,9 +247,40 @@ def _span_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[filled][["key", "ttl_us", "at", "first_id"]].rename(columns={"at": "fill_us"})
 
 
-def _per_span(rows: DataFrame, order: str, keys: list[str], fold: Callable, schema: str) -> DataFrame:
-    """``fold`` over each partition of whole, sorted groups."""
-    return rows.repartition(*keys).sortWithinPartitions("key", "span", order).mapInPandas(fold, schema)
+def _folded(rows: DataFrame, by: list[str], order: list[str], fold: Callable, columns: str) -> DataFrame:
+    """``fold`` over partitions that hold whole groups, sorted."""
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, columns)
+
+
+_STEP = "key string, ttl_us long, span long, upto long, leaves long"
+_ENTRY = "key string, ttl_us long, span long, enters long"
+
+
+def _known_state(entries: DataFrame, state) -> DataFrame:
+    """A state as the step table of a span before all others: whatever enters, the state leaves."""
+    return entries.select(
+        "key",
+        "ttl_us",
+        "part",
+        F.lit(int(_EMPTY)).alias("span"),
+        F.lit(int(_NEVER)).alias("upto"),
+        state.alias("leaves"),
+    )
+
+
+def _span_states(steps: DataFrame, cached: DataFrame | None) -> DataFrame:
+    """The state each span is entered in, from the step tables of the spans."""
+    part = F.floor(F.col("span") / PART_SPANS).cast("long")
+    bundled = steps.withColumn("part", part)
+    chained = _folded(bundled, ["key", "part"], ["span", "upto"], _part_steps, _STEP)
+    whole = chained.withColumn("part", F.lit(0).cast("long"))
+    if cached is not None:
+        runs_out = F.when(F.col("ttl_us") > 0, F.col("fill_us") + F.col("ttl_us")).otherwise(F.lit(int(_NEVER)))
+        whole = whole.unionByName(_known_state(cached.withColumn("part", F.lit(0).cast("long")), runs_out))
+    by_part = _folded(whole, ["key"], ["part", "span", "upto"], _entries, _ENTRY).where(F.col("span") != int(_EMPTY))
+    opened = bundled.unionByName(_known_state(by_part.withColumnRenamed("span", "part"), F.col("enters")))
+    by_span = _folded(opened, ["key", "part"], ["span", "upto"], _entries, _ENTRY)
+    return by_span.where(F.col("span") != int(_EMPTY))
 
 
 def cache_fills(requests: DataFrame, cached: DataFrame | None = None) -> DataFrame:
@@ -196,30 +296,13 @@ def cache_fills(requests: DataFrame, cached: DataFrame | None = None) -> DataFra
         .groupBy("key", "ttl_us", "span", F.col("created_us").alias("at"))
         .agg(F.min("query_id").alias("first_id"))
     )
-    steps = _per_span(
-        times,  # with first_id, so that step 3 reuses the same shuffle
-        "at",
-        ["key", "span"],
-        _span_steps,
-        "key string, ttl_us long, span long, upto long, leaves long",
-    )
-    if cached is not None:
-        runs_out = F.when(F.col("ttl_us") > 0, F.col("fill_us") + F.col("ttl_us")).otherwise(F.lit(int(_NEVER)))
-        steps = steps.unionByName(
-            cached.select(
-                "key",
-                "ttl_us",
-                F.lit(int(_EMPTY)).alias("span"),
-                F.lit(int(_NEVER)).alias("upto"),
-                runs_out.alias("leaves"),
-            )
-        )
-    entries = _per_span(steps, "upto", ["key"], _span_entries, "key string, ttl_us long, span long, enters long")
+    # With first_id, so that step 5 reuses the same shuffle.
+    steps = _folded(times, ["key", "span"], ["at"], _span_steps, _STEP)
     id_type = requests.schema["query_id"].dataType
-    # The entry row sorts before the requests of its span. Fillers are not null:
-    # nulls would turn the integers into floats on their way to the fold.
+    # The state of a span sorts before its requests. Fillers are not null: nulls
+    # would turn the integers into floats on their way to the fold.
     opened = times.withColumn("enters", F.lit(0).cast("long")).unionByName(
-        entries.where(F.col("span") != int(_EMPTY)).select(
+        _span_states(steps, cached).select(
             "key",
             "ttl_us",
             "span",
@@ -229,7 +312,7 @@ def cache_fills(requests: DataFrame, cached: DataFrame | None = None) -> DataFra
         )
     )
     filled = f"key string, ttl_us long, fill_us long, first_id {id_type.simpleString()}"
-    return _per_span(opened, "at", ["key", "span"], _span_fills, filled)
+    return _folded(opened, ["key", "span"], ["at"], _span_fills, filled)
 
 
 def _bucket(at: str):

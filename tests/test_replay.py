@@ -33,9 +33,10 @@ def requests(seed, n=1500, base=1_700_000_000_000_000):
     return rows
 
 
-@pytest.mark.parametrize("seed,span", [(1, 1), (2, 2), (3, 7), (4, 32)])
-def test_replay_equals_a_walk(spark, monkeypatch, seed, span):
+@pytest.mark.parametrize("seed,span,part", [(1, 1, 1), (2, 2, 3), (3, 7, 2), (4, 32, 32), (5, 1, 5), (6, 3, 50)])
+def test_replay_equals_a_walk(spark, monkeypatch, seed, span, part):
     monkeypatch.setattr(R, "SPAN_TTLS", span)
+    monkeypatch.setattr(R, "PART_SPANS", part)
     monkeypatch.setattr(R, "ENDLESS_SPAN_US", 500)
     rows = requests(seed)
     frame = spark.createDataFrame(rows, REQUEST).repartition(5)
@@ -46,6 +47,21 @@ def test_replay_equals_a_walk(spark, monkeypatch, seed, span):
         assert r["event"] == ("recovery" if r["retry_count"] else "hit" if r["hit"] else "miss")
 
 
+def test_small_batches(spark, monkeypatch):
+    """Groups that arrive in many pieces."""
+    monkeypatch.setattr(R, "SPAN_TTLS", 3)
+    monkeypatch.setattr(R, "PART_SPANS", 4)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        rows = requests(13, 600)
+        got = R.ttl_replay(spark.createDataFrame(rows, REQUEST)).collect()
+        assert {r["query_id"]: (r["fill_us"], r["hit"]) for r in got} == walk(rows)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_misses_of_a_key_are_a_time_to_live_apart(spark, monkeypatch):
     monkeypatch.setattr(R, "SPAN_TTLS", 3)
     fills = R.cache_fills(spark.createDataFrame(requests(9), REQUEST)).where("ttl_us > 0").collect()
@@ -58,7 +74,8 @@ def test_misses_of_a_key_are_a_time_to_live_apart(spark, monkeypatch):
 
 @pytest.mark.parametrize("pieces", [2, 5])
 def test_replay_in_pieces_carries_the_cache(spark, monkeypatch, pieces):
-    monkeypatch.setattr(R, "SPAN_TTLS", 4)
+    monkeypatch.setattr(R, "SPAN_TTLS", 2)
+    monkeypatch.setattr(R, "PART_SPANS", 3)
     rows = sorted(requests(11, 900), key=lambda r: r[3])
     want, got, cached = walk(rows), {}, {}
     # Cut in time only: requests at one moment stay together.
