@@ -105,41 +105,45 @@ def rolling_hit_rate(
     tail = F.col("position") % width >= width - (n - 1)
     targets = F.when(tail, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
     spread = placed.withColumn("_in", F.explode(targets))
-    frame = Window.partitionBy(by, "_in").orderBy("position").rowsBetween(-(n - 1), 0)
-    rolled = spread.select(
-        by,
-        seq,
-        "_chunk",
-        "_in",
-        F.avg("hit").over(frame).alias("rate"),
-        F.count("hit").over(frame).alias("window_size"),
+    # Running hits minus those of n rows before: a frame that slides over n rows
+    # would be added up again for every row.
+    along = Window.partitionBy(by, "_in").orderBy("position")
+    running = spread.withColumn("_hits", F.sum("hit").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = F.col("_hits") - F.coalesce(F.lag("_hits", n).over(along), F.lit(0))
+    rolled = running.select(
+        by, seq, "_chunk", "_in", hits.alias("hits"), F.least(F.lit(n), F.col("position") + 1).alias("window_size")
     )
     own = rolled.where(F.col("_chunk") == F.col("_in"))
-    return own.select(by, seq, F.round("rate", 4).alias("hit_rate"), "window_size")
+    return own.select(by, seq, F.round(F.col("hits") / F.col("window_size"), 4).alias("hit_rate"), "window_size")
 
 
 def trailing_throughput(
-    events: DataFrame, by: str, ts_us: str = "ts_us", seconds: int = 10, chunk_seconds: int = 60
+    events: DataFrame, by: str, ts_us: str = "ts_us", seconds: int = 10, slice_seconds: int = 60
 ) -> DataFrame:
     """Adds ``throughput``: events of the group per second over the trailing seconds.
 
     Events are first counted per instant, so a burst costs one row per
-    microsecond at most; the instants are cut into chunks of time, each with the
-    trailing seconds of the chunk before it.
+    microsecond at most. Each instant then adds its events when they happen and
+    takes them away when they fall out of reach; the rate is the running total.
+    It is taken inside slices of time, to which the totals of the slices before
+    are added, one row per (group, slice).
     """
-    if seconds > chunk_seconds:
-        raise ValueError("a chunk must hold the whole frame")
-    reach, width = seconds * 1_000_000, chunk_seconds * 1_000_000
+    reach, width = seconds * 1_000_000, slice_seconds * 1_000_000
     instants = events.groupBy(by, ts_us).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = instants.withColumn("_chunk", _slice_of(ts_us, width))
-    into_next = F.pmod(F.col(ts_us), F.lit(width)) >= width - reach
-    targets = F.when(into_next, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
-    spread = chunked.withColumn("_in", F.explode(targets))
-    frame = Window.partitionBy(by, "_in").orderBy(ts_us).rangeBetween(-reach, 0)
-    rates = (
-        spread.withColumn("throughput", F.sum("_n").over(frame) / float(seconds))
-        .where(F.col("_chunk") == F.col("_in"))
-        .select(by, ts_us, "throughput")
+    # An event still counts at the very end of its reach: it leaves after what happens then.
+    enters = F.struct(F.col(ts_us).alias("_at"), F.lit(0).alias("_turn"), F.col("_n").alias("_change"))
+    leaves = F.struct((F.col(ts_us) + reach).alias("_at"), F.lit(1).alias("_turn"), (-F.col("_n")).alias("_change"))
+    changes = instants.select(by, F.inline(F.array(enters, leaves))).withColumn("_slice", _slice_of("_at", width))
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        changes.groupBy(by, "_slice")
+        .agg(F.sum("_change").alias("_net"))
+        .select(by, "_slice", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    within = Window.partitionBy(by, "_slice").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    running = changes.withColumn("_total", F.sum("_change").over(within)).join(offsets, [by, "_slice"])
+    rates = running.where(F.col("_turn") == 0).select(
+        by, F.col("_at").alias(ts_us), ((F.col("_total") + F.col("_offset")) / float(seconds)).alias("throughput")
     )
     # One rate per instant: an instant with very many events is split by the skew join.
     return events.join(rates, [by, ts_us])
