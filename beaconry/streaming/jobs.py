@@ -21,6 +21,8 @@ log = logging.getLogger(__name__)
 
 TRIGGER = {"processingTime": "10 seconds"}
 UNTIL_DONE = {"availableNow": True}
+# Keyed tables fold their batches this often, which bounds what a reader goes through.
+COMPACT_EVERY = 100
 
 CACHED_FILL = T.StructType(
     [
@@ -85,16 +87,22 @@ def start_window_job(
     checkpoint: str,
     trigger: dict | None = None,
     partitions: int | None = None,
+    compact_every: int = COMPACT_EVERY,
     **window_options: str,
 ) -> StreamingQuery:
     """Windows that changed go to the keyed table, batch by batch (update mode)."""
     spark = messages.sparkSession
     documents = window_stream(messages, **window_options)
     target = window_table(spark, table)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target.write_batch(batch, batch_id)
+        target.compact_every(compact_every, batch_id)
+
     with state_partitions(spark, partitions):
         return (
             documents.writeStream.outputMode("update")
-            .foreachBatch(each_batch(target.write_batch, "windows"))
+            .foreachBatch(each_batch(write, "windows"))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or TRIGGER))
             .start()
@@ -148,13 +156,14 @@ def start_routing_job(
     )
 
 
-def replay_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+def replay_batch(batch: DataFrame, batch_id: int, path: str, compact_every: int = COMPACT_EVERY) -> None:
     """One micro-batch of requests against what the cache holds from the batches before.
 
     The cache is the keyed table of the last fill per key. It is read as of the
     batch before, so a replayed batch sees what it saw the first time.
     """
     table = UpsertTable(batch.sparkSession, f"{path}/cache", CACHED_FILL, "key")
+    table.compact_every(compact_every, batch_id)
     served = replay.ttl_replay(batch, table.latest(batch_id - 1))
     served.write.mode("overwrite").parquet(f"{path}/served/batch_id={batch_id}")
     written = batch.sparkSession.read.schema(served.schema).parquet(f"{path}/served/batch_id={batch_id}")
@@ -163,7 +172,11 @@ def replay_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def start_replay_job(
-    keyed: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    keyed: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Replay a stream of ``replay_input`` rows that arrives in order of time.
 
@@ -172,7 +185,7 @@ def start_replay_job(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replay_batch(batch, batch_id, path)
+        replay_batch(batch, batch_id, path, compact_every)
 
     return (
         keyed.writeStream.foreachBatch(each_batch(write, "replay"))

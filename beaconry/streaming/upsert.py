@@ -66,7 +66,14 @@ class UpsertTable:
         return self.history(upto).groupBy(self.key).agg(*newest)
 
     def compact(self, upto: int) -> None:
-        """Fold the batches up to ``upto`` into a base."""
+        """Fold the batches up to ``upto`` into a base, unless a base has them already."""
+        if self.compacted_upto() >= upto:
+            return
         self._newest(upto).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
         commit = self.spark.range(1).select(F.lit(upto).cast("long").alias("upto"))
         commit.write.mode("append").parquet(f"{self.path}/commits")
+
+    def compact_every(self, batches: int, batch_id: int) -> None:
+        """Fold the batches before ``batch_id`` once there are ``batches`` of them since the last base."""
+        if batch_id - 1 - self.compacted_upto() >= batches:
+            self.compact(batch_id - 1)

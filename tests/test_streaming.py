@@ -45,6 +45,7 @@ def run(spark, folder, **options):
         f"{folder}/checkpoint",
         trigger=jobs.UNTIL_DONE,
         partitions=2,
+        compact_every=2,
         **options,
     )
     assert query.awaitTermination(180)
@@ -69,6 +70,7 @@ def test_stream_in_pieces_equals_batch_also_after_a_restart(spark, tmp_path):
     put(f"{folder}/in", 2, events[180:])
     second = run(spark, folder)
     assert sum(p.numInputRows for p in second.recentProgress) == 120
+    assert jobs.window_table(spark, f"{folder}/table").compacted_upto() > 0
     assert stored(spark, folder) == batch(spark, folder)
 
 
@@ -160,7 +162,7 @@ def test_replay_stream_over_several_batches(spark, monkeypatch, tmp_path):
         spark.createDataFrame(part, REQUEST).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         time.sleep(1.1)  # files are taken by modification time
     stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = jobs.start_replay_job(stream, f"{folder}/out", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE)
+    query = jobs.start_replay_job(stream, f"{folder}/out", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE, compact_every=1)
     assert query.awaitTermination(300)
     # The last batch once more gives the same.
     jobs.replay_batch(spark.createDataFrame([r for r in rows if r[3] >= cut], REQUEST), 1, f"{folder}/out")
