@@ -38,6 +38,7 @@ def test_loop_joins_only_against_checked_dimensions(plans):
         "assign_zones",
         "filter_to_zones",
         "filter_to_zones_dedup",
+        "zone_area",
         "zone_stats",
         "q1_count",
         "q2_area",
