@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import mixing, packing, sharding, simhash, topk, toxicity, winnowing
+from beaconry.llm import mixing, ngram_trie, packing, sharding, simhash, topk, toxicity, winnowing
 from beaconry.llm.common import documents
 
 
@@ -64,6 +64,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_scores(data, data.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = ngram_trie.scored(documents(spark, sf_dir), remainder(7) != 2)
+    return scores.withColumn("held_out", ~F.col("learn")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(documents(spark, sf_dir))
 
@@ -75,6 +82,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
+    "op9_ngram_trie": op9_ngram_trie,
     "op10_winnowing": op10_winnowing,
 }
 

@@ -165,3 +165,34 @@ def test_op10_edits_and_likeness(spark, texts):
         by_text[edited].add(got.at[d, "edited_fingerprint"])
     assert all(len(x) == 1 for x in by_text.values())
     assert got["near_edited"].median() > 0.5 and got["near_next"].median() < 0.1
+
+
+def test_op9_against_plain_counts(spark, texts):
+    import math
+    from collections import Counter
+
+    got = run(spark, "op9_ngram_trie").set_index("doc_id")
+    tokens = {d: t.encode().lower().split() + [None] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    count, pair, after = Counter(), Counter(), Counter()
+    for d, words in tokens.items():
+        if not held[d]:
+            count.update(words)
+            pair.update(zip(["<"] + words, words))
+    for (v, _), n in pair.items():
+        after[v] += n
+    kinds = Counter(v for v, _ in pair)
+    total, different = sum(count.values()), len(count)
+    assert set(got["train_tokens"]) == {total}
+    for d, words in tokens.items():
+        low = [(count[w] + 1) / (total + different + 1) for w in words]
+        model = []
+        for v, w, p in zip(["<"] + words, words, low):
+            n = after[v]
+            model.append((max(pair[v, w] - 0.75, 0) + 0.75 * kinds[v] * p) / n if n else p)
+        assert bool(got.at[d, "held_out"]) == held[d]
+        assert got.at[d, "n_tokens"] == len(words) and got.at[d, "n_known"] == sum(count[w] > 0 for w in words)
+        assert got.at[d, "base_score"] == pytest.approx(sum(map(math.log10, low)))
+        assert got.at[d, "score"] == pytest.approx(sum(map(math.log10, model)), abs=1e-3 * len(words))
+    held_rows = got[got["held_out"]]
+    assert held_rows["score"].sum() > held_rows["base_score"].sum()
