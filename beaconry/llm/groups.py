@@ -29,8 +29,8 @@ class Groups:
     Within a group documents are in order of id, then text; a null id comes last.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, keep: list[str] = (), each: int = GROUP_BYTES):
-        self.n = parts_for(total_bytes(docs, text), each)
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, keep: list[str] = (), each: int | None = None):
+        self.n = parts_for(total_bytes(docs, text), each or GROUP_BYTES)
         rest = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest")] if keep else []
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *rest)
         group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("g")

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import mixing, ngram_trie, packing, sharding, simhash, topk, toxicity, winnowing
+from beaconry.llm import mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
 from beaconry.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_classes(documents(spark, sf_dir))
     return classes.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -37,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.without_repeats(documents(spark, sf_dir)))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = remainder(4) == 2
@@ -77,8 +85,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_passages": op2_passages,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_suffixes": op5_suffixes,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,

@@ -196,3 +196,27 @@ def test_op9_against_plain_counts(spark, texts):
         assert got.at[d, "score"] == pytest.approx(sum(map(math.log10, model)), abs=1e-3 * len(words))
     held_rows = got[got["held_out"]]
     assert held_rows["score"].sum() > held_rows["base_score"].sum()
+
+
+def plain_removal(texts, length=50):
+    """(removed, spans, kept) by a table of the first document of every string."""
+    first, out = {}, {}
+    for d in sorted(texts):
+        data = texts[d].encode()
+        strings = [data[i : i + length] for i in range(len(data) - length + 1)]
+        covered = np.zeros(len(data) + 1, dtype=bool)
+        for i, s in enumerate(strings):
+            if first.get(s, d) < d:
+                covered[i : i + length] = True
+        for s in strings:
+            first.setdefault(s, d)
+        turns = int((np.diff(np.r_[False, covered].astype(int)) == 1).sum())
+        kept = bytes(b for b, c in zip(data, covered) if not c)
+        out[d] = (len(data), int(covered.sum()), turns, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_op5_against_all_strings(spark, texts):
+    got = run(spark, "op5_suffixes")
+    rows = got[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)
+    assert {r[0]: tuple(r[1:]) for r in rows} == plain_removal(texts)
