@@ -43,11 +43,8 @@ def shingles(text: bytes, width: int) -> list[bytes]:
     return [b" ".join(run) for run in zip(*(words[i:] for i in range(width)))]
 
 
-def fingerprint(text: bytes, width: int, seed: int) -> int:
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles(text, width)], dtype="<u8")
-    if not len(hashes):
-        return 0
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the hashes have it; zero for none."""
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -55,20 +52,36 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
     return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _rehash(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n``-th fingerprint; the first has XXH64 itself."""
+    if not n:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for shift in (32, 29):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
 def fingerprints(
-    docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = 3, seed: int = 42, number: int = 1, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, fingerprint): a bit is set if more than half of the shingles' XXH64 have it, as a signed long."""
+    """(doc_id, prints): ``number`` fingerprints of the shingles' XXH64, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"]
+            found = np.zeros((batch.num_rows, number), dtype=np.uint64)
+            for row, text in enumerate(batch.column(1)):
+                hashes = np.array([digest(s, seed) for s in shingles(text.as_py(), width)], dtype="<u8")
+                found[row] = [fingerprint(_rehash(hashes, n)) for n in range(number)]
+            prints = pa.ListArray.from_arrays(
+                pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * number), pa.array(found.reshape(-1).view(np.int64))
             )
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "prints"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    return rows.mapInArrow(run, "doc_id long, prints array<long>")
 
 
 def _signed(mask: int) -> int:
@@ -127,61 +140,85 @@ def forest(prints: np.ndarray, first: int) -> list[tuple[int, int]]:
 
 
 def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trees of links among rows with the same key; rows come sorted by it."""
+    """Trees of links among rows with the same fingerprint number and key; rows come sorted by them."""
+
+    def turns(columns: list[np.ndarray]) -> np.ndarray:
+        changes = [c[1:] != c[:-1] for c in columns[:3]]
+        return np.flatnonzero(np.r_[True, changes[0] | changes[1] | changes[2]])
 
-    def links(table: np.ndarray, bits: np.ndarray, prints: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        begins = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (bits[1:] != bits[:-1])])
-        ends = np.r_[begins[1:], len(table)]
-        found = []
+    def links(columns: list[np.ndarray]) -> pa.RecordBatch:
+        number, _, _, prints, first = columns
+        begins = turns(columns)
+        ends = np.r_[begins[1:], len(number)]
+        found, of = [], []
         for begin, end in zip(begins[ends - begins > 1], ends[ends - begins > 1]):
-            found += forest(prints[begin:end], int(first[begin]))
+            tree = forest(prints[begin:end], int(first[begin]))
+            found += tree
+            of += [int(number[begin])] * len(tree)
         pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["number", "a", "b"])
 
     held = None
     for batch in batches:
         columns = [np.asarray(c) for c in batch.columns]
-        columns[2] = columns[2].view(np.uint64)
+        columns[3] = columns[3].view(np.uint64)
         held = columns if held is None else [np.concatenate(pair) for pair in zip(held, columns)]
         if not len(held[0]):
             continue
-        # The last key may go on in the next batch.
-        cut = int(np.flatnonzero(np.r_[True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])])[-1])
+        cut = int(turns(held)[-1])  # the last key may go on in the next batch
         if cut:
-            yield links(*(c[:cut] for c in held))
+            yield links([c[:cut] for c in held])
             held = [c[cut:] for c in held]
     if held is not None and len(held[0]):
-        yield links(*held)
+        yield links(held)
 
 
 def near_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all of the different fingerprints ``print`` at ``DISTANCE`` or fewer differing bits.
+    """Links (number, a, b) that connect all of the different (number, print) of one number at ``DISTANCE`` or fewer differing bits.
 
     Not every pair: under a key, a tree connects those that the key's pairs connect.
     """
     tables = _tables()
-    keyed = prints.select(F.explode(_keys([(t, mask) for t, (_, mask) in enumerate(tables)])).alias("key"), "print")
-    keyed = keyed.select("key.table", "key.bits", "print")
-    crowded = keyed.groupBy("table", "bits").count().where(F.col("count") > CROWD).drop("count")
-    plain = keyed.join(crowded, ["table", "bits"], "left_anti")
+    key = ["number", "table", "bits"]
+    keyed = prints.select(
+        "number", F.explode(_keys([(t, mask) for t, (_, mask) in enumerate(tables)])).alias("key"), "print"
+    ).select("number", "key.table", "key.bits", "print")
+    crowded = keyed.groupBy(*key).count().where(F.col("count") > CROWD).drop("count")
+    plain = keyed.join(crowded, key, "left_anti").select(*key, "print")
     # 448 rows, whatever the input.
     finer = prints.sparkSession.createDataFrame(
         [(t, 1000 * (t + 1) + n, _signed(m)) for t, (_, mask) in enumerate(tables) for n, m in enumerate(_refinements(mask))],
         "table int, finer int, mask long",
     )
-    hot = keyed.join(crowded, ["table", "bits"]).join(F.broadcast(finer), "table")
+    hot = keyed.join(crowded, key).join(F.broadcast(finer), "table")
     rows = plain.union(
-        hot.select(F.col("finer").alias("table"), F.col("print").bitwiseAND(F.col("mask")).alias("bits"), "print")
+        hot.select("number", F.col("finer").alias("table"), F.col("print").bitwiseAND(F.col("mask")).alias("bits"), "print")
     )
     table = F.when(F.col("table") >= 1000, F.floor(F.col("table") / 1000) - 1).otherwise(F.col("table"))
     return (
         rows.withColumn("first", F.shiftright(table.cast("int"), 1))
-        .repartition("table", "bits")
-        .sortWithinPartitions("table", "bits", "print")
-        .mapInArrow(_link_runs, "a long, b long")
+        .repartition(*key)
+        .sortWithinPartitions(*key, "print")
+        .mapInArrow(_link_runs, "number int, a long, b long")
     )
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(prints, node, class) of the different lists of fingerprints: linked where any of them are near."""
+    nodes = prints.groupBy("prints").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("prints")), "prints")
+    each = nodes.select("node", F.posexplode("prints").alias("number", "print"))
+    # A fingerprint's node: the smallest of those that have it.
+    heads = materialize(each.groupBy("number", "print").agg(F.min("node").alias("head")), "heads")
+    same = each.join(heads, ["number", "print"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = near_links(heads.select("number", "print"))
+    for end in ("a", "b"):
+        of = heads.select(F.col("number"), F.col("print").alias(end), F.col("head").alias(f"head_{end}"))
+        near = near.join(of, ["number", end])
+    classes = components(same.union(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))))
+    return nodes.join(classes, "node").withColumnRenamed("component", "class")
+
+
 def near_classes(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -192,14 +229,43 @@ def near_classes(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str =
     linked, and count as the smallest id only where a class has no other. Other
     columns are not looked at. No rows give no rows.
     """
-    prints = materialize(fingerprints(docs, width, seed, doc_id, text), "fingerprints")
-    different = materialize(
-        prints.groupBy(F.col("fingerprint").alias("print")).agg(F.min("doc_id").alias("least")), "prints"
+    prints = materialize(fingerprints(docs, width, seed, 1, doc_id, text), "fingerprints")
+    named = _classes(prints)
+    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "class").select("prints", "component_id")
+    return prints.join(named, "prints").select("doc_id", F.element_at("prints", 1).alias("fingerprint"), "component_id")
+
+
+def near_copies(
+    docs: DataFrame,
+    width: int = 5,
+    number: int = 8,
+    similarity: float = 0.8,
+    seed: int = 42,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """(doc_id, component_id): the rows whose texts are near-copies of that of their class's smallest id.
+
+    With one fingerprint, three differing bits find few near-copies of similarity 0.8: texts are
+    linked if any of ``number`` fingerprints are near. Of a class, those go whose
+    fingerprints together differ from the kept document's in no more bits than texts of
+    ``similarity`` do on average; the others stay, however they were linked. Texts without
+    words are no copies of each other, and a null id is never one. The rest as in ``near_classes``.
+    """
+    prints = materialize(fingerprints(docs, width, seed, number, doc_id, text), "fingerprints")
+    named = materialize(_classes(prints.where(~F.forall("prints", lambda x: x == 0))), "classes")
+    least = named.groupBy("class").agg(
+        F.min("least").alias("component_id"), F.min_by("prints", "least").alias("kept_prints")
     )
-    classes = components(near_links(different.select("print")))
-    named = different.join(classes, different["print"] == classes["node"], "left").select(
-        "print", "least", F.coalesce("component", "print").alias("class")
+    differing = F.aggregate(
+        F.zip_with("prints", "kept_prints", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x
     )
-    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "class").select(F.col("print").alias("fingerprint"), "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    close = differing <= F.lit(_bits_apart(similarity) * number * 64)
+    copies = named.join(least, "class").where(close).select("prints", "component_id")
+    return prints.join(copies, "prints").where("doc_id is not null and doc_id <> component_id").select("doc_id", "component_id")
+
+
+def _bits_apart(similarity: float) -> float:
+    """Share of the bits that differ between texts of this Jaccard similarity: the angle of their shingle counts by pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)

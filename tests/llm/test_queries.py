@@ -220,3 +220,20 @@ def test_op5_against_all_strings(spark, texts):
     got = run(spark, "op5_suffixes")
     rows = got[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)
     assert {r[0]: tuple(r[1:]) for r in rows} == plain_removal(texts)
+
+
+def test_small_groups_give_the_same(spark, monkeypatch):
+    from beaconry.llm import groups
+
+    def rows(name):
+        got = run(spark, name)
+        got = got.reindex(sorted(got.columns), axis=1)
+        return sorted(map(repr, got.round(6).itertuples(index=False, name=None)))
+
+    names = ("op2_passages", "op5_suffixes", "op9_ngram_trie")
+    whole = {name: rows(name) for name in names[1:]}
+    found = set(zip(run(spark, names[0])["doc_id"], run(spark, names[0])["class_id"]))
+    monkeypatch.setattr(groups, "GROUP_BYTES", 60_000)
+    assert {name: rows(name) for name in names[1:]} == whole
+    again = run(spark, names[0])
+    assert len(found) and len(found ^ set(zip(again["doc_id"], again["class_id"]))) <= 0.1 * len(found)
