@@ -21,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconry.llm import groups
 from beaconry.llm.groups import Groups, bounds, rows_of, spread, starts, unpack
 
 LENGTH, ANCHOR, SHALLOW = 50, 24, 24
+# Bytes hashed at a time.
+BLOCK = 1 << 20
+PARTS = 16
 REACH = LENGTH - ANCHOR + 1  # anchors that begin inside a string
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 LAST = (1 << 63) - 1
 
 _ASK = "g int, shard long, keys binary, shared binary"
 _KNOWN = "g int, shard int, answer binary"
-_SEND = "g int, shard long, sizes binary, bytes binary, owners binary, state binary"
+_SEND = "g int, shard long, sizes binary, parts binary, bytes binary, owners binary, state binary"
 _MASKS = "g int, shard long, answer binary"
 
 
@@ -156,45 +160,44 @@ class Runs:
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         buffer = texts.buffers()[2] if len(texts) else None
         size = int(ends[-1] - ends[0])
-        self.data = np.zeros(size + 96, dtype=np.uint8)
+        self.data = np.zeros(size + 192, dtype=np.uint8)
         if size:
             self.data[:size] = np.frombuffer(buffer, dtype=np.uint8)[ends[0] : ends[-1]]
         self.begin, self.lengths = ends[:-1] - ends[0], np.diff(ends)
         self.ids = np.array([LAST if i is None else i for i in docs["doc_id"].to_pylist()], dtype=np.int64)
-        n = max(0, size - LENGTH + 1)
-        if not n:
-            self.anchor = self.first = self.count = self.doc = np.empty(0, np.int64)
-            self.keys = np.empty(0, np.uint64)
-            return
-        windows = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
-        length = n + REACH - 1
+        parts = [self._block(at, min(BLOCK, size - at)) for at in range(0, size - LENGTH + 1, BLOCK)]
+        empty = np.empty(0, np.int64)
+        self.first, self.count, self.doc = (np.concatenate([empty, *(p[i] for p in parts)]) for i in range(3))
+        self.keys = np.concatenate([empty.astype(np.uint64), *(p[3] for p in parts)])
+
+    def _block(self, base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs (first string, strings, document, key of the anchor) of the strings that begin in a block of the bytes."""
+        length = size + REACH - 1
+        data = self.data[base : base + length + ANCHOR + 8]
+        windows = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
         with np.errstate(over="ignore"):
             hashes = np.zeros(length, dtype=np.uint64)
             for offset, odd in zip(range(0, ANCHOR, 8), _MIX):
-                hashes = (hashes ^ windows[offset : offset + length]) * odd
+                hashes ^= windows[offset : offset + length]
+                hashes *= odd
                 hashes ^= hashes >> np.uint64(32)
         # Smallest hash of each string's anchors, the first among equals.
-        width = 1
-        place = np.arange(length, dtype=np.int64)
-        best = hashes
+        best, place, width = hashes, np.arange(length, dtype=np.int32), 1
         while width < REACH:
             step = min(width, REACH - width)
             right = best[step:] < best[:-step]
             best, place = np.where(right, best[step:], best[:-step]), np.where(right, place[step:], place[:-step])
             width += step
-        doc = np.repeat(np.arange(len(docs)), self.lengths)
-        whole = np.zeros(n, dtype=bool)
-        for a, b in zip(self.begin, self.begin + self.lengths - LENGTH + 1):
-            whole[a : max(a, b)] = True
-        at = np.flatnonzero(whole)
-        if len(at):
-            fresh = np.r_[True, (place[at[1:]] != place[at[:-1]]) | (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])]
-            begins = np.flatnonzero(fresh)
-            self.first, self.count = at[begins], np.diff(np.r_[begins, len(at)])
-        else:
-            self.first = self.count = np.empty(0, np.int64)
-        self.anchor, self.doc = place[self.first], doc[self.first]
-        self.keys = hashes[self.anchor]
+        at = np.arange(base, base + size)
+        doc = np.searchsorted(self.begin, at, side="right") - 1
+        whole = np.flatnonzero(at + LENGTH <= (self.begin + self.lengths)[doc])
+        if not len(whole):
+            empty = np.empty(0, np.int64)
+            return empty, empty, empty, empty.astype(np.uint64)
+        fresh = np.r_[True, (place[whole[1:]] != place[whole[:-1]]) | (np.diff(whole) != 1) | (doc[whole[1:]] != doc[whole[:-1]])]
+        begins = np.flatnonzero(fresh)
+        first = whole[begins]
+        return base + first, np.diff(np.r_[begins, len(whole)]), doc[first], hashes[place[first]]
 
 
 def _ask(n: int):
@@ -242,6 +245,11 @@ def _know(shard: int, rows: pa.Table) -> pa.Table:
     )
 
 
+def _part(keys: np.ndarray) -> np.ndarray:
+    """A shard sorts its suffixes in this many parts, one after the other."""
+    return (keys >> np.uint64(20) & np.uint64(PARTS - 1)).astype(np.uint8)
+
+
 _STATE = [("first", "<u4"), ("count", "u1"), ("entry", "<u4"), ("later", "?")]
 
 
@@ -258,7 +266,7 @@ def _send(n: int):
         size = count + LENGTH - 1
         # Runs with the same bytes ask once, for the document with the smallest id.
         width = LENGTH + REACH - 1
-        strings = runs.data[first[:, None] + np.arange(width)] if len(mine) else np.zeros((0, width), np.uint8)
+        strings = np.lib.stride_tricks.sliding_window_view(runs.data, width)[first]
         strings[np.arange(width)[None, :] >= size[:, None]] = 0
         ids = runs.ids[doc]
         mixed = np.zeros(len(mine), dtype=np.uint64)
@@ -287,6 +295,7 @@ def _send(n: int):
                 "g": ([g] * (n + 1), pa.int32()),
                 "shard": ([*range(n), -1 - g], pa.int64()),
                 "sizes": ([*(count[heads[a:b]].astype("u1").tobytes() for a, b in pairs), b""], pa.binary()),
+                "parts": ([*(_part(key[heads[a:b]]).tobytes() for a, b in pairs), b""], pa.binary()),
                 "bytes": ([*(strings[heads[a:b]][inside[a:b]].tobytes() for a, b in pairs), b""], pa.binary()),
                 "owners": ([*(ids[heads[a:b]].tobytes() for a, b in pairs), b""], pa.binary()),
                 "state": ([*[b""] * n, state.tobytes()], pa.binary()),
@@ -304,12 +313,15 @@ def _masks(shard: int, rows: pa.Table) -> pa.Table:
     count = np.concatenate(counts).astype(np.int64)
     data = np.frombuffer(b"".join([*rows["bytes"].to_pylist(), bytes(96)]), dtype=np.uint8)
     owner = np.concatenate(unpack(rows["owners"], "<i8"))
-    run_begin = starts(count + LENGTH - 1)
-    run = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(run)) - np.repeat(starts(count), count)
+    begin, part = starts(count + LENGTH - 1), np.concatenate(unpack(rows["parts"], "u1"))
     masks = np.zeros(len(count), dtype=np.uint32)
-    if len(run):
-        order, new = sort_suffixes(data, run_begin[run] + offset)
+    for n in range(PARTS):
+        own = np.flatnonzero(part == n)
+        if not len(own):
+            continue
+        run = np.repeat(own, count[own])
+        offset = np.arange(len(run)) - np.repeat(starts(count[own]), count[own])
+        order, new = sort_suffixes(data, begin[run] + offset)
         owners = owner[run[order]]
         least = np.minimum.reduceat(owners, np.flatnonzero(new))[np.cumsum(new) - 1]
         covered = order[owners > least]
@@ -371,11 +383,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     documents for each other, a null id is after all others; a null text is empty, texts
     under 50 bytes stay whole. Other columns are not looked at. No rows give no rows.
     """
-    groups = Groups(docs, doc_id, text)
-    known = groups.shards(groups.map(_ask(groups.n), _ASK), _know, _KNOWN)
-    sent = groups.answered(known, _send(groups.n), _SEND)
-    masks = groups.shards(sent, _masks, _MASKS)
-    return groups.answered(
+    dealt = Groups(docs, doc_id, text, each=groups.GROUP_BYTES // 2)
+    known = dealt.shards(dealt.map(_ask(dealt.n), _ASK), _know, _KNOWN)
+    sent = dealt.answered(known, _send(dealt.n), _SEND)
+    masks = dealt.shards(sent, _masks, _MASKS)
+    return dealt.answered(
         masks, _cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
 
