@@ -82,5 +82,13 @@ def spread(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def scattered(hashes: np.ndarray) -> np.ndarray:
+    """One to one: smallest hashes, which crowd at zero, spread over all shards."""
+    with np.errstate(over="ignore"):
+        x = hashes * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
 def starts(lengths: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64) if len(lengths) else np.empty(0, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.llm import groups
-from beaconry.llm.groups import Groups, bounds, rows_of, spread, starts, unpack
+from beaconry.llm.groups import Groups, bounds, rows_of, scattered, spread, starts, unpack
 
 LENGTH, ANCHOR, SHALLOW = 50, 24, 24
 # Bytes hashed at a time.
@@ -197,7 +197,7 @@ class Runs:
         fresh = np.r_[True, (place[whole[1:]] != place[whole[:-1]]) | (np.diff(whole) != 1) | (doc[whole[1:]] != doc[whole[:-1]])]
         begins = np.flatnonzero(fresh)
         first = whole[begins]
-        return base + first, np.diff(np.r_[begins, len(whole)]), doc[first], hashes[place[first]]
+        return base + first, np.diff(np.r_[begins, len(whole)]), doc[first], scattered(hashes[place[first]])
 
 
 def _ask(n: int):
