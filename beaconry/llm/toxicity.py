@@ -36,8 +36,8 @@ _WORD = re.compile(r"\w+")
 class Settings:
     rows_each: int = 20_000  # labelled rows of each class that are learnt from
     tune_share: int = 4  # one in so many of them fits the curve instead of the models
-    word_bits: int = 20
-    pair_bits: int = 21
+    word_bits: int = 18
+    pair_bits: int = 20
     # Counts taken off each bigram and each continuation count: this share of a class's rows, but at least so many.
     discount_share: float = 0.05
     least_discount: float = 3.0
@@ -228,6 +228,7 @@ def _tune(model: Model, rows: DataFrame, totals: dict) -> None:
             )
 
     found = rows.select("toxic", "text").mapInArrow(measure, "toxic int, whole double, lower double").toPandas()
+    shared.destroy()
     toxic = found["toxic"].to_numpy(dtype=float)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     model.curve[0] = np.log(prior / (1 - prior))
