@@ -12,8 +12,8 @@ DEFAULT_TTL_SECONDS = 300
 # Length of one degree of latitude, in kilometres.
 KM_PER_DEGREE = 111.32
 
-# Epoch seconds outside this range have no timestamp in Spark.
-_MAX_EPOCH_SECONDS = 2.5e11
+# Epoch seconds from the year 10000 on have no four-digit year.
+_MAX_EPOCH_SECONDS = 253402300800
 
 
 def ratio(part: Column, whole: Column, digits: int = 4, empty: float | None = 0.0) -> Column:

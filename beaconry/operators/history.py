@@ -97,8 +97,7 @@ def rolling_hit_rate(
     results: DataFrame, by: str, hit: Column, n: int = 200, seq: str = "seq", width: int = SLICE
 ) -> DataFrame:
     """Share of hits among the last ``n`` results of the group, at every result."""
-    if n > width:
-        raise ValueError("a slice must hold the whole frame")
+    width = max(width, n)  # a slice holds the whole frame
     narrow = results.select(by, seq, hit.cast("int").alias("hit"))
     placed = positions(narrow, by, seq, width).withColumn("_chunk", _slice_of("position", width))
     # The last n - 1 rows of a chunk are also needed, as history, in the next one.

@@ -79,9 +79,11 @@ def test_trailing_throughput(frame, skewed, seconds, width):
     assert got == want
 
 
-def test_frames_must_fit_their_slices(frame):
-    with pytest.raises(ValueError):
-        H.rolling_hit_rate(frame, "kind", F.col("hit"), 200, width=100)
+def test_a_frame_wider_than_a_slice(frame):
+    def rows(**how):
+        return sorted(H.rolling_hit_rate(frame, "kind", F.col("hit"), 200, **how).collect())
+
+    assert rows(width=100) == rows()
 
 
 @pytest.mark.parametrize("width", [1, 50, 10**9])
