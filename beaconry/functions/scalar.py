@@ -1,7 +1,9 @@
-"""Column expressions shared by the operators. All of them stay in codegen."""
+"""Column expressions shared by the operators. Built-ins only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,29 +43,60 @@ def iso_utc(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hundredths(size: Column) -> Column:
+    """A number from 0 to 2^53 in hundredths: the exact binary value rounded, ties to even.
+
+    With k the hundredths cut off the fraction, 25 * fraction is compared with (2k + 1) / 8: the
+    fraction in two halves, so that their products are exact, and the difference near a tie too.
+    """
+
+    def rounded(rest: Column) -> Column:
+        cut = F.floor(rest * 100)
+        spread = rest * float(2**27 + 1)
+        high = spread - (spread - rest)
+        past = (high * 25 - (2 * cut + 1) / 8) + (rest - high) * 25
+        up = F.when(past == 0, cut % 2).otherwise((past > 0).cast("long"))
+        return cut + up
+
+    return F.floor(size) * 100 + _once(size - F.floor(size), rounded)
+
+
+def two_digits(value: Column) -> Column:
+    """Text with two fraction digits: the exact binary value rounded, ties to even, up to 2^53.
+
+    ``format_string`` rounds the shortest decimal instead, and ties away from zero.
+    """
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+
+    def split(n: Column) -> Column:
+        digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(3)), F.lit("0"))
+        return F.regexp_replace(digits, "(..)$", ".$1")
+
+    exact = F.concat(sign, _once(_hundredths(F.abs(value)), split))
+    return F.when(F.abs(value) < float(2**53), exact).otherwise(F.format_string("%.2f", value))
+
+
 def cache_key(query_type: Column, params: dict[str, Column]) -> Column:
     """Key text of a request; null where the type is unknown or a zone is missing."""
     kind = F.upper(query_type)
-    confidence = F.format_string("%.2f", F.coalesce(params["confidence_min"], F.lit(0.0)))
+    confidence = two_digits(F.coalesce(params["confidence_min"], F.lit(0.0)))
     bins = F.coalesce(params["bins"], F.lit(5)).cast("string")
     zone = params["zone_id"]
-    return (
-        F.when(kind == "Q1", F.concat(F.lit("count:"), zone, F.lit(":conf="), confidence))
-        .when(kind == "Q2", F.concat(F.lit("area:"), zone, F.lit(":conf="), confidence))
-        .when(kind == "Q3", F.concat(F.lit("density:"), zone, F.lit(":conf="), confidence))
-        .when(
-            kind == "Q4",
-            F.concat(
-                F.lit("compare:density:"),
-                params["zone_a"],
-                F.lit(":"),
-                params["zone_b"],
-                F.lit(":conf="),
-                confidence,
-            ),
-        )
-        .when(kind == "Q5", F.concat(F.lit("confidence_dist:"), zone, F.lit(":bins="), bins))
+    first = (
+        F.when(kind == "Q1", F.concat(F.lit("count:"), zone))
+        .when(kind == "Q2", F.concat(F.lit("area:"), zone))
+        .when(kind == "Q3", F.concat(F.lit("density:"), zone))
+        .when(kind == "Q4", F.concat(F.lit("compare:density:"), params["zone_a"], F.lit(":"), params["zone_b"]))
+        .when(kind == "Q5", F.concat(F.lit("confidence_dist:"), zone))
     )
+    # The number once, not once per type: its expression is long.
+    name = F.when(kind == "Q5", ":bins=").otherwise(":conf=")
+    return F.concat(first, name, F.when(kind == "Q5", bins).otherwise(confidence))
 
 
 def ttl_seconds(query_type: Column) -> Column:

@@ -1,349 +1,18 @@
-"""Replay of a cache with time to live over a request history.
+"""Requests beside the cached answers that were valid at their time.
 
-A request at time t is a hit while t < fill + ttl for the last fill of its key;
-otherwise it is a miss and becomes the new fill. A hit does not prolong a fill.
-A time to live of zero or less never runs out.
-
-Fills follow one another along a whole key, but one key may hold a third of all
-requests. So the history of a key is cut into spans of a few times to live, and
-the spans are bundled into parts:
-
-1. For each span apart, follow the fills from *every* state the span can be
-   entered in. States that meet stay together, which leaves a short step table
-   "entered with the last fill running out by ... -> left with it running out at ...".
-2. For each part apart, chain the step tables of its spans into one.
-3. Walk the tables of the parts of a key in order. This alone is sequential per
-   key, and reads about a thousandth of its requests at most. It gives the state
-   each part is really entered in.
-4. For each part apart, walk its spans from that state.
-5. For each span apart, follow the fills from the state it is entered in.
-
-The spans see distinct request times only. Requests then meet the fills in an
-equi-join on (key, time bucket).
+The answers are given (each a fill of its key), not simulated: what a request met
+is the newest fill of its key at or before it, if that has not run out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions import ttl_seconds
 
-# A span is this many times to live long, a part this many spans.
-SPAN_TTLS = 32
-PART_SPANS = 32
-# Length of a span where entries never run out.
-ENDLESS_SPAN_US = 86_400_000_000
-
-_NEVER = np.iinfo(np.int64).max  # no fill runs out this late: the entry is kept for ever
-_EMPTY = np.iinfo(np.int64).min  # nothing is cached
-
-
-def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of the runs of equal values in one sorted batch."""
-    changed = np.zeros(len(columns[0]) - 1, dtype=bool)
-    for values in columns:
-        changed |= values[1:] != values[:-1]
-    starts = np.flatnonzero(changed) + 1
-    return zip([0, *starts], [*starts, len(columns[0])])
-
-
-def _merge_equal(upto: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring entry states that leave at the same time go on as one."""
-    last_of_equal = np.append(leaves[1:] != leaves[:-1], True)
-    return upto[last_of_equal], leaves[last_of_equal]
-
-
-def _advance(expires: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
-    """Expiry times after the requests at ``times`` (sorted), from expiry times before them."""
-    expires = expires.copy()
-    due = np.flatnonzero(expires <= times[-1])
-    while len(due):
-        filled_at = times[np.searchsorted(times, expires[due], side="left")]
-        expires[due] = filled_at + ttl if ttl > 0 else _NEVER
-        due = due[expires[due] <= times[-1]]
-    return expires
-
-
-class _Steps:
-    """Step table of one span while its requests pass by.
-
-    Requests wait until there are as many as there are states, so that the work
-    stays in proportion to the requests however many states are open.
-    """
-
-    def __init__(self, key: str, span: int, ttl: int, first: int) -> None:
-        self.key, self.span, self.ttl = key, span, ttl
-        # The last fill before the span has run out by this time.
-        self.limit = first + ttl if ttl > 0 else _EMPTY
-        self.past_limit = False
-        self.upto = self.leaves = np.empty(0, dtype=np.int64)
-        self.waiting: list[np.ndarray] = []
-
-    def add(self, times: np.ndarray) -> None:
-        self.waiting.append(times)
-        if sum(map(len, self.waiting)) >= len(self.leaves):
-            self.follow()
-
-    def follow(self) -> None:
-        if not self.waiting:
-            return
-        times, self.waiting = np.concatenate(self.waiting), []
-        self.leaves = _advance(self.leaves, times, self.ttl)
-        if not self.past_limit:
-            # Each request up to the limit, and the next one, may be the first fill.
-            count = int(np.searchsorted(times, self.limit, side="left"))
-            self.past_limit = count < len(times)
-            starts = times[: count + 1]
-            fresh = starts + self.ttl if self.ttl > 0 else np.full(len(starts), _NEVER)
-            self.upto = np.concatenate([self.upto, starts])
-            self.leaves = np.concatenate([self.leaves, _advance(fresh, times, self.ttl)])
-        self.upto, self.leaves = _merge_equal(self.upto, self.leaves)
-
-
-class _Chain:
-    """Step table of one part while those of its spans pass by, in order."""
-
-    def __init__(self, key: str, part: int, ttl: int, first: int) -> None:
-        self.key, self.span, self.ttl = key, part, ttl
-        self.limit = min(first + ttl, _NEVER) if ttl > 0 else _EMPTY
-        self.past_limit = False
-        self.upto = self.leaves = np.empty(0, dtype=np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, upto: np.ndarray, leaves: np.ndarray, opens: bool) -> None:
-        """A piece of a step table; ``opens`` tells that it is the first one of its span."""
-        if opens:
-            self.follow()
-        self.waiting.append((upto, leaves))
-
-    def follow(self) -> None:
-        if not self.waiting:
-            return
-        upto, leaves = map(np.concatenate, zip(*self.waiting))
-        self.waiting = []
-        at = np.searchsorted(upto, self.leaves, side="left")
-        steps = at < len(upto)
-        self.leaves[steps] = leaves[at[steps]]
-        if not self.past_limit:
-            # States that no span before this one has touched.
-            count = int(np.searchsorted(upto, self.limit, side="left"))
-            self.past_limit = count < len(upto)
-            self.upto = np.concatenate([self.upto, upto[: count + 1]])
-            self.leaves = np.concatenate([self.leaves, leaves[: count + 1]])
-        self.upto, self.leaves = _merge_equal(self.upto, self.leaves)
-
-
-def _step_table(done: list[_Steps] | list[_Chain]) -> pd.DataFrame:
-    for table in done:
-        table.follow()
-    rows = [len(table.upto) for table in done]
-    return pd.DataFrame(
-        {
-            "key": np.repeat(np.array([table.key for table in done], dtype=object), rows),
-            "ttl_us": np.repeat(np.array([table.ttl for table in done], dtype=np.int64), rows),
-            "span": np.repeat(np.array([table.span for table in done], dtype=np.int64), rows),
-            "upto": np.concatenate([table.upto for table in done]),
-            "leaves": np.concatenate([table.leaves for table in done]),
-        }
-    )
-
-
-def _span_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1. Input: key, ttl_us, span, at, first_id; sorted by key, span, at."""
-    current = None
-    for batch in batches:
-        keys, ttls, spans, times = (batch[c].to_numpy() for c in ("key", "ttl_us", "span", "at"))
-        finished = []
-        for low, high in _runs(keys, spans):
-            if current is None or (current.key, current.span) != (keys[low], spans[low]):
-                if current is not None:
-                    finished.append(current)
-                current = _Steps(keys[low], int(spans[low]), int(ttls[low]), int(times[low]))
-            current.add(times[low:high])
-        if finished:
-            yield _step_table(finished)
-    if current is not None:
-        yield _step_table([current])
-
-
-def _part_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 2. Input: step tables with their part; sorted by key, part, span, upto."""
-    current, span = None, None
-    for batch in batches:
-        keys, ttls, parts, spans, upto, leaves = (
-            batch[c].to_numpy() for c in ("key", "ttl_us", "part", "span", "upto", "leaves")
-        )
-        finished = []
-        for low, high in _runs(keys, parts, spans):
-            opens = spans[low] != span
-            if current is None or (current.key, current.span) != (keys[low], parts[low]):
-                if current is not None:
-                    finished.append(current)
-                current, opens = _Chain(keys[low], int(parts[low]), int(ttls[low]), int(upto[low])), True
-            span = spans[low]
-            current.add(upto[low:high], leaves[low:high], opens)
-        if finished:
-            yield _step_table(finished)
-    if current is not None:
-        yield _step_table([current])
-
-
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Steps 3 and 4: the state each span is entered in, from an empty cache per (key, part).
-
-    Input: step tables sorted by key, part, span, upto.
-    """
-    owner, span, state, stepped = None, None, _EMPTY, False
-    for batch in batches:
-        keys, ttls, parts, spans, upto, leaves = (
-            batch[c].to_numpy() for c in ("key", "ttl_us", "part", "span", "upto", "leaves")
-        )
-        opened, enters = [], []
-        for low, high in _runs(keys, parts, spans):
-            if (keys[low], parts[low]) != owner:
-                owner, span, state = (keys[low], parts[low]), None, _EMPTY
-            if span is None or spans[low] != span:
-                span, stepped = spans[low], False
-                opened.append(low)
-                enters.append(state)
-            if not stepped:
-                at = low + int(np.searchsorted(upto[low:high], state, side="left"))
-                if at < high:
-                    state, stepped = int(leaves[at]), True
-        yield pd.DataFrame(
-            {
-                "key": keys[opened],
-                "ttl_us": ttls[opened],
-                "span": spans[opened],
-                "enters": np.array(enters, dtype=np.int64),
-            }
-        )
-
-
-def _span_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 5. Input: as in step 1, each span opened by a row that holds ``enters``."""
-    state = _EMPTY
-    for batch in batches:
-        keys, ttls, spans, times, enters = (
-            batch[c].to_numpy() for c in ("key", "ttl_us", "span", "at", "enters")
-        )
-        filled = []
-        for low, high in _runs(keys, spans):
-            if times[low] == _EMPTY:
-                state, low = int(enters[low]), low + 1
-            ttl = int(ttls[high - 1])
-            while state != _NEVER:
-                low += int(np.searchsorted(times[low:high], state, side="left"))
-                if low == high:
-                    break
-                filled.append(low)
-                state = int(times[low]) + ttl if ttl > 0 else _NEVER
-        if filled:
-            yield batch.iloc[filled][["key", "ttl_us", "at", "first_id"]].rename(columns={"at": "fill_us"})
-
-
-def _folded(rows: DataFrame, by: list[str], order: list[str], fold: Callable, columns: str) -> DataFrame:
-    """``fold`` over partitions that hold whole groups, sorted."""
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, columns)
-
-
-_STEP = "key string, ttl_us long, span long, upto long, leaves long"
-_ENTRY = "key string, ttl_us long, span long, enters long"
-
-
-def _known_state(entries: DataFrame, state) -> DataFrame:
-    """A state as the step table of a span before all others: whatever enters, the state leaves."""
-    return entries.select(
-        "key",
-        "ttl_us",
-        "part",
-        F.lit(int(_EMPTY)).alias("span"),
-        F.lit(int(_NEVER)).alias("upto"),
-        state.alias("leaves"),
-    )
-
-
-def _span_states(steps: DataFrame, cached: DataFrame | None) -> DataFrame:
-    """The state each span is entered in, from the step tables of the spans."""
-    part = F.floor(F.col("span") / PART_SPANS).cast("long")
-    bundled = steps.withColumn("part", part)
-    chained = _folded(bundled, ["key", "part"], ["span", "upto"], _part_steps, _STEP)
-    whole = chained.withColumn("part", F.lit(0).cast("long"))
-    if cached is not None:
-        runs_out = F.when(F.col("ttl_us") > 0, F.col("fill_us") + F.col("ttl_us")).otherwise(F.lit(int(_NEVER)))
-        whole = whole.unionByName(_known_state(cached.withColumn("part", F.lit(0).cast("long")), runs_out))
-    by_part = _folded(whole, ["key"], ["part", "span", "upto"], _entries, _ENTRY).where(F.col("span") != int(_EMPTY))
-    opened = bundled.unionByName(_known_state(by_part.withColumnRenamed("span", "part"), F.col("enters")))
-    by_span = _folded(opened, ["key", "part"], ["span", "upto"], _entries, _ENTRY)
-    return by_span.where(F.col("span") != int(_EMPTY))
-
-
-def cache_fills(requests: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """The fills of a replay: key, ttl_us, fill_us, first_id (the request that filled).
-
-    ``requests`` has query_id, key, ttl_us and created_us; requests of one key at
-    the same time go by query_id. ``cached`` (key, ttl_us, fill_us) tells what
-    the cache holds at the start.
-    """
-    length = F.when(F.col("ttl_us") > 0, F.col("ttl_us") * SPAN_TTLS).otherwise(F.lit(ENDLESS_SPAN_US))
-    times = (
-        requests.withColumn("span", F.floor(F.col("created_us") / length).cast("long"))
-        .groupBy("key", "ttl_us", "span", F.col("created_us").alias("at"))
-        .agg(F.min("query_id").alias("first_id"))
-    )
-    # With first_id, so that step 5 reuses the same shuffle.
-    steps = _folded(times, ["key", "span"], ["at"], _span_steps, _STEP)
-    id_type = requests.schema["query_id"].dataType
-    # The state of a span sorts before its requests. Fillers are not null: nulls
-    # would turn the integers into floats on their way to the fold.
-    opened = times.withColumn("enters", F.lit(0).cast("long")).unionByName(
-        _span_states(steps, cached).select(
-            "key",
-            "ttl_us",
-            "span",
-            F.lit(int(_EMPTY)).alias("at"),
-            F.lit("0").cast(id_type).alias("first_id"),
-            "enters",
-        )
-    )
-    filled = f"key string, ttl_us long, fill_us long, first_id {id_type.simpleString()}"
-    return _folded(opened, ["key", "span"], ["at"], _span_fills, filled)
-
-
-def _bucket(at: str):
-    return F.when(F.col("ttl_us") > 0, F.floor(F.col(at) / F.col("ttl_us"))).otherwise(F.lit(0)).cast("long")
-
-
-def requests_to_fills(requests: DataFrame, fills: DataFrame) -> DataFrame:
-    """Requests with the fill valid at their time; those without one are left out.
-
-    A fill is valid from ``fill_us`` until ``ttl_us`` later, so it lies in the
-    bucket of the request or in the one before. Fills of a key must not overlap,
-    as those of a replay do not.
-    """
-    endless = F.col("ttl_us") <= 0
-    reach = F.when(endless, F.array("_bucket")).otherwise(F.array("_bucket", F.col("_bucket") + 1))
-    placed = fills.withColumn("_bucket", _bucket("fill_us")).withColumn("_bucket", F.explode(reach))
-    joined = requests.withColumn("_bucket", _bucket("created_us")).join(placed, ["key", "ttl_us", "_bucket"])
-    age = F.col("created_us") - F.col("fill_us")
-    return joined.where((age >= 0) & ((F.col("ttl_us") <= 0) | (age < F.col("ttl_us")))).drop("_bucket")
-
-
-def ttl_replay(requests: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """Every request with the fill it saw, whether it hit, and the event it reports."""
-    fills = cache_fills(requests, cached)
-    if cached is not None:
-        held = cached.select("key", "ttl_us", "fill_us", F.lit(None).cast(fills.schema["first_id"].dataType).alias("first_id"))
-        fills = fills.unionByName(held)
-    served = requests_to_fills(requests, fills)
-    hit = ~F.col("query_id").eqNullSafe(F.col("first_id"))
-    event = F.when(F.col("retry_count") > 0, "recovery").when(F.col("hit"), "hit").otherwise("miss")
-    return served.withColumn("hit", hit).withColumn("event", event).drop("first_id")
+# Length of the slices a key's history is cut into, so that no task holds a hot key whole.
+SLICE_US = 10_000_000
 
 
 def usable_entries(entries: DataFrame) -> DataFrame:
@@ -356,7 +25,7 @@ def usable_entries(entries: DataFrame) -> DataFrame:
 
 
 def replay_input(keyed: DataFrame) -> DataFrame:
-    """Requests with ``cache_key`` in the form the replay takes; unkeyed ones are left out."""
+    """Requests with ``cache_key`` in the form ``requests_to_fills`` takes; unkeyed ones are left out."""
     return keyed.where(F.col("cache_key").isNotNull()).select(
         "query_id",
         F.col("cache_key").alias("key"),
@@ -364,3 +33,41 @@ def replay_input(keyed: DataFrame) -> DataFrame:
         "created_us",
         "retry_count",
     )
+
+
+def fills_of(routed: DataFrame) -> DataFrame:
+    """The fills (key, fill_us) that routed attempts leave: their computed answers."""
+    computed = routed.where((F.col("route") == "done") & ~F.col("cached"))
+    return computed.select(F.col("cache_key").alias("key"), F.col("done_us").alias("fill_us"))
+
+
+def _slice(at: str) -> Column:
+    return F.floor(F.col(at) / F.lit(SLICE_US)).cast("long")
+
+
+def requests_to_fills(requests: DataFrame, fills: DataFrame) -> DataFrame:
+    """Every request with ``fill_us``, the newest fill of its key at or before ``created_us``.
+
+    It is null where there is none, or where the newest one has run out: a request at
+    ``fill_us + ttl_us`` or later. A ``ttl_us`` of zero or less never runs out. Where fills
+    of a key overlap, the newest counts, whatever order the rows come in. Requests without
+    a key have no fill.
+
+    Running maxima within slices of a key's history, and over one row per slice for the
+    fills before it: neither requests nor fills meet in pairs.
+    """
+    asked = requests.drop("fill_us").withColumns({"_at": F.col("created_us"), "_slice": _slice("created_us")})
+    given = fills.where(F.col("key").isNotNull()).select(
+        "key", "fill_us", F.col("fill_us").alias("_at"), _slice("fill_us").alias("_slice")
+    )
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(given, allowMissingColumns=True)
+    slices = both.groupBy("key", "_slice").agg(F.max("fill_us").alias("_newest"))
+    before = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("key", "_slice", F.max("_newest").over(before).alias("_carried"))
+    # The frame up to the current row takes in fills of the same time.
+    within = Window.partitionBy("key", "_slice").orderBy("_at")
+    seen = both.withColumn("_within", F.max("fill_us").over(within)).where("_asked")
+    newest = F.coalesce("_within", "_carried")
+    valid = (F.col("ttl_us") <= 0) | (F.col("created_us") < newest + F.col("ttl_us"))
+    joined = seen.join(carried, ["key", "_slice"], "left").withColumn("fill_us", F.when(valid, newest))
+    return joined.select(*[c for c in requests.columns if c != "fill_us"], "fill_us")

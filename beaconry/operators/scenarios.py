@@ -178,17 +178,36 @@ def backlog_history(snapshots: DataFrame) -> DataFrame:
     return points.select("label", "point.time_offset", "point.backlog")
 
 
-# Phases of one run are compared on the map side up to this many.
-MAX_PHASES = 64
+# Phases meet the samples in slices of 2, 4, 8, ... seconds, up to two to this power.
+WIDEST_LEVEL = 30
+
+
+def _cell(at: str | Column, level: Column) -> Column:
+    """The slice of a time on a level; times are held within what a slice number can be."""
+    at = F.col(at) if isinstance(at, str) else at
+    held = F.least(F.greatest(at, F.lit(-1e15)), F.lit(1e15))
+    return F.floor(held / F.pow(F.lit(2.0), level)).cast("long")
 
 
 def backlog_by_phase(samples: DataFrame, phases: DataFrame) -> DataFrame:
-    """Peak and number of backlog samples of each run in each phase (both ends included)."""
-    if phases.limit(MAX_PHASES + 1).count() > MAX_PHASES:
-        raise ValueError(f"a run has at most {MAX_PHASES} phases")
+    """Peak and number of backlog samples of each run in each phase (both ends included).
+
+    Any number of phases: one of a length up to 2^level lies in at most two slices of that
+    level, so the join is on (level, slice). A sample is repeated for the levels in use,
+    at most ``WIDEST_LEVEL`` (looked up eagerly). Phases longer than the widest slice cover more of them.
+    """
     during = F.col("time_offset").between(F.col("phase_start"), F.col("phase_end"))
+    length = F.least(F.greatest(F.col("phase_end") - F.col("phase_start"), F.lit(2.0)), F.lit(2.0**WIDEST_LEVEL))
+    level = F.ceil(F.log2(length)).cast("int")
+    placed = phases.where(F.col("phase_start") <= F.col("phase_end")).withColumn("_level", level)
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())
+    cells = F.sequence(_cell("phase_start", F.col("_level")), _cell("phase_end", F.col("_level")))
+    sliced = placed.withColumn("_cell", F.explode(cells))
+    at = samples.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     return (
-        samples.join(F.broadcast(phases), during)
+        at.withColumn("_cell", _cell("time_offset", F.col("_level")))
+        .join(sliced, ["_level", "_cell"])
+        .where(during)
         .groupBy("label", "phase")
         .agg(
             F.count(F.lit(1)).alias("samples"),

@@ -6,7 +6,9 @@ a streaming DataFrame, except the pane forms, which aggregate twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.functions import ratio
@@ -91,38 +93,44 @@ def window_document(aggregated: DataFrame) -> DataFrame:
     )
 
 
-def _micros(interval: str) -> int:
-    """Microseconds of an interval such as ``10 seconds``."""
-    amount, unit = interval.split()
-    scale = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    return int(amount) * scale * 1_000_000
+def _micros(spark: SparkSession, *intervals: str) -> list[int]:
+    """Microseconds of intervals as Spark reads them, such as ``1 minute 30 seconds``."""
+    epoch = "timestamp_micros(0)"
+    return list(spark.sql("SELECT " + ", ".join(f"unix_micros({epoch} + INTERVAL '{i}')" for i in intervals)).first())
 
 
-def _panes(size: str, slide: str) -> tuple[int, int, Column]:
-    width, step = _micros(size), _micros(slide)
-    if width % step:
-        raise ValueError(f"window {size} is not a whole number of {slide} panes")
-    pane = F.floor(F.unix_micros("event_time") / F.lit(step)).cast("long")
-    return width, step, pane
+def _panes(events: DataFrame, size: str, slide: str) -> tuple[int, int, Column]:
+    """Window width, slide, and the start of an event's pane: size and slide are whole numbers of panes."""
+    width, step = _micros(events.sparkSession, size, slide)
+    length = math.gcd(width, step)
+    micros = F.unix_micros("event_time")
+    return width, step, micros - F.pmod(micros, F.lit(length))
 
 
 def _pane_to_windows(panes: DataFrame, width: int, step: int) -> DataFrame:
-    """Each pane row once per window that contains it, with the window struct."""
-    start = (F.col("pane") - F.col("back")) * step
+    """Each pane row once per window that contains it, with the window struct.
+
+    Where the slide is longer than the window, panes between two windows are in none.
+    """
+    last = F.col("pane") - F.pmod("pane", F.lit(step))
+    starts = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit((width - 1) // step)), lambda back: last - back * step),
+        lambda start: start + width > F.col("pane"),
+    )
+    start = F.col("start_us")
     window = F.struct(
         F.timestamp_micros(start).alias("start"), F.timestamp_micros(start + width).alias("end")
     )
-    spread = F.explode(F.sequence(F.lit(0), F.lit(width // step - 1))).alias("back")
-    return panes.select("*", spread).withColumn("window", window)
+    return panes.select("*", F.explode(starts).alias("start_us")).withColumn("window", window)
 
 
 def window_counts_panes(events: DataFrame, size: str = SIZE, slide: str = SLIDE) -> DataFrame:
     """Same result as ``window_counts``, without multiplying the events.
 
-    Events are counted once per pane of one slide; only the pane rows, whose
+    Events are counted once per pane; only the pane rows, whose
     number depends on time and not on traffic, are spread over the windows.
     """
-    width, step, pane = _panes(size, slide)
+    width, step, pane = _panes(events, size, slide)
     counters = [c.alias(name) for name, c in _counters().items()]
     panes = events.groupBy(pane.alias("pane")).agg(*counters)
     sums = [F.sum(name).alias(name) for name in _counters()]
@@ -135,7 +143,7 @@ def window_metrics_panes(events: DataFrame, size: str = SIZE, slide: str = SLIDE
     Percentiles come from KLL sketches, which merge across panes; they are exact
     up to a few thousand latencies per window and within about 1e-4 in rank beyond.
     """
-    width, step, pane = _panes(size, slide)
+    width, step, pane = _panes(events, size, slide)
     latency = success_latency()
     panes = events.groupBy(pane.alias("pane")).agg(
         *[c.alias(name) for name, c in _counters().items()],

@@ -35,7 +35,11 @@ ROUTED = (
 
 
 def cache_key(spark, sf_dir):
-    return requests.with_cache_key(inputs.requests(spark, sf_dir)).select("query_id", "query_type", "cache_key")
+    """Keys, and those with a confidence in thousandths, which the two digits of a key round."""
+    keyed = requests.with_cache_key(inputs.requests(spark, sf_dir)).withColumnRenamed("cache_key", "coarse")
+    fine = F.col("params").withField("confidence_min", (F.col("query_id") % 2001) / F.lit(1000.0))
+    both = requests.with_cache_key(keyed.withColumn("params", fine))
+    return both.select("query_id", "query_type", F.col("coarse").alias("cache_key"), F.col("cache_key").alias("fine_key"))
 
 
 def validate_requests(spark, sf_dir):
@@ -87,34 +91,14 @@ def _replay_input(spark, sf_dir):
     return replay.replay_input(requests.with_cache_key(valid.where(F.col("error_reason").isNull())))
 
 
-def ttl_replay(spark, sf_dir):
-    served = replay.ttl_replay(_replay_input(spark, sf_dir))
-    return served.select("query_id", "key", "created_us", "fill_us", "hit", "event")
-
-
 def requests_to_fills(spark, sf_dir):
-    asked = _replay_input(spark, sf_dir)
-    served = replay.requests_to_fills(asked, replay.cache_fills(asked))
+    """Requests with the computed answer, of any attempt, that was valid at their time."""
+    fills = replay.fills_of(requests.route_attempts(inputs.attempts(spark, sf_dir)))
+    served = replay.requests_to_fills(_replay_input(spark, sf_dir), fills)
     age = F.col("created_us") - F.col("fill_us")
     return served.select("query_id", "key", "created_us", "fill_us", age.alias("age_us"))
 
 
-def stream_ttl_replay(spark, sf_dir):
-    """The replay as a stream of request files."""
-    folder = scratch_path(spark, "replay")
-    _replay_input(spark, sf_dir).write.parquet(f"{folder}/requests")
-    schema = "query_id long, key string, ttl_us long, created_us long, retry_count int"
-    query = jobs.start_replay_job(
-        spark.readStream.schema(schema).parquet(f"{folder}/requests"),
-        f"{folder}/out",
-        f"{folder}/checkpoint",
-        trigger=jobs.UNTIL_DONE,
-    )
-    query.awaitTermination()
-    served = spark.read.schema(f"{schema}, fill_us long, hit boolean, event string").parquet(f"{folder}/out/served")
-    return served.select("query_id", "key", "created_us", "fill_us", "hit", "event")
-
-
 def run_throughput(spark, sf_dir):
     return summary.run_throughput(inputs.attempts(spark, sf_dir), F.col("failed"))
 
@@ -128,9 +112,7 @@ QUERIES = {
         answer_requests,
         route_attempts,
         stream_route_attempts,
-        ttl_replay,
         requests_to_fills,
-        stream_ttl_replay,
         run_throughput,
     )
 }

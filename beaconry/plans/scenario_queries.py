@@ -12,13 +12,16 @@ from beaconry.plans.shape import rounded
 from beaconry.session import scratch_path
 from beaconry.sources import tables
 
-RUNS = tuple(f"s{i}" for i in range(8))
+
+def _runs(events):
+    """The labels of all runs: one row each."""
+    return tuple(sorted(r["label"] for r in events.select("label").distinct().collect()))
 
 
 def _extras(spark, sf_dir):
     """Run settings by label, with the backlog history of the run."""
     histories = scenarios.history_arrays(inputs.backlog_samples(spark, sf_dir))
-    run_no = F.substring("label", 2, 1).cast("int")
+    run_no = F.substring("label", 2, 9).cast("int")
     extra = F.struct(
         (run_no % 2 == 1).alias("use_kafka"),
         (1 + run_no % 3).cast("int").alias("scale"),
@@ -34,7 +37,7 @@ def _extras(spark, sf_dir):
 def snapshots(spark, sf_dir):
     events = inputs.metric_events(spark, sf_dir, keep=("seq", "label"))
     return scenarios.run_snapshots(
-        events, RUNS, inputs.BASE_SECONDS, inputs.END_SECONDS, extras=_extras(spark, sf_dir)
+        events, _runs(events), inputs.BASE_SECONDS, inputs.END_SECONDS, extras=_extras(spark, sf_dir)
     )
 
 

@@ -1,4 +1,4 @@
-"""The streaming jobs: window documents, routing of attempts, and cache replay."""
+"""The streaming jobs: window documents and routing of attempts."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry import sinks
-from beaconry.operators import replay, requests, windows
+from beaconry.operators import requests, windows
 from beaconry.operators.events import decode_events, parse_json
 from beaconry.schemas import ATTEMPT, WINDOW_DOCUMENT
 from beaconry.streaming.upsert import UpsertTable
@@ -24,14 +23,6 @@ UNTIL_DONE = {"availableNow": True}
 # Keyed tables fold their batches this often, which bounds what a reader goes through.
 COMPACT_EVERY = 100
 
-CACHED_FILL = T.StructType(
-    [
-        T.StructField("key", T.StringType(), True),
-        T.StructField("ttl_us", T.LongType(), True),
-        T.StructField("fill_us", T.LongType(), True),
-    ]
-)
-
 
 @contextmanager
 def state_partitions(spark: SparkSession, count: int | None):
@@ -154,42 +145,3 @@ def start_routing_job(
         .trigger(**(trigger or TRIGGER))
         .start()
     )
-
-
-def replay_batch(batch: DataFrame, batch_id: int, path: str, compact_every: int = COMPACT_EVERY) -> None:
-    """One micro-batch of requests against what the cache holds from the batches before.
-
-    The cache is the keyed table of the last fill per key. It is read as of the
-    batch before, so a replayed batch sees what it saw the first time.
-    """
-    table = UpsertTable(batch.sparkSession, f"{path}/cache", CACHED_FILL, "key")
-    table.compact_every(compact_every, batch_id)
-    served = replay.ttl_replay(batch, table.latest(batch_id - 1))
-    served.write.mode("overwrite").parquet(f"{path}/served/batch_id={batch_id}")
-    written = batch.sparkSession.read.schema(served.schema).parquet(f"{path}/served/batch_id={batch_id}")
-    fills = written.groupBy("key", "ttl_us").agg(F.max("fill_us").alias("fill_us"))
-    table.write_batch(fills, batch_id)
-
-
-def start_replay_job(
-    keyed: DataFrame,
-    path: str,
-    checkpoint: str,
-    trigger: dict | None = None,
-    compact_every: int = COMPACT_EVERY,
-) -> StreamingQuery:
-    """Replay a stream of ``replay_input`` rows that arrives in order of time.
-
-    A popular key is spread over tasks as in the batch replay; per-key streaming
-    state would hold it in one.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        replay_batch(batch, batch_id, path, compact_every)
-
-    return (
-        keyed.writeStream.foreachBatch(each_batch(write, "replay"))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or TRIGGER))
-        .start()
-    )

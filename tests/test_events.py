@@ -105,9 +105,15 @@ def test_panes_give_the_sliding_result(spark, mixed):
     assert sorted(panes.collect()) == sorted(sliding.collect())
 
 
-def test_panes_need_a_whole_number(spark, mixed):
-    with pytest.raises(ValueError):
-        W.window_counts_panes(mixed, "1 minute", "7 seconds")
+@pytest.mark.parametrize(
+    "size,slide", [("1 minute", "25 seconds"), ("10 seconds", "25 seconds"), ("1 minute 30 seconds", "7 seconds"), ("1 minute", "1 minute")]
+)
+def test_panes_of_any_size(spark, mixed, size, slide):
+    if size == "10 seconds":  # sliding windows may not be shorter than their slide
+        assert W.window_counts_panes(mixed, size, slide).count() > 0
+    else:
+        assert sorted(W.window_counts_panes(mixed, size, slide).collect()) == sorted(W.window_counts(mixed, size, slide).collect())
+
 
 
 def test_pane_percentiles_stay_close_beyond_the_exact_range(spark):

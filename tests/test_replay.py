@@ -3,108 +3,62 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from beaconry.functions.scalar import two_digits
 from beaconry.operators import replay as R
 
-REQUEST = "query_id long, key string, ttl_us long, created_us long, retry_count int"
+REQUEST = "query_id long, key string, ttl_us long, created_us long"
+FILL = "key string, fill_us long"
 
 
-def walk(rows, cached=()):
-    """The cache, one request after the other."""
-    fills, out = {k: f for k, _, f in cached}, {}
-    for query_id, key, ttl, at, _ in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
-        fill = fills.get(key)
-        hit = fill is not None and (ttl <= 0 or at < fill + ttl)
-        if not hit:
-            fills[key] = at
-        out[query_id] = (fills[key], hit)
+def looked_up(rows, fills):
+    """Each request beside all fills of its key."""
+    out = {}
+    for query_id, key, ttl, at in rows:
+        newest = max((f for k, f in fills if k == key and k is not None and f <= at), default=None)
+        out[query_id] = newest if newest is not None and (ttl <= 0 or at < newest + ttl) else None
     return out
 
 
-def requests(seed, n=1500, base=1_700_000_000_000_000):
-    """A hot key without gaps, cold keys with long ones, ties, and a key that never runs out."""
-    rng, rows = random.Random(seed), []
-    ttl = {"hot": 1_000, "warm": 700, "cold": 300, "ever": 0, "tick": 64}
-    at = dict.fromkeys(ttl, base)
-    for i in range(n):
-        key = rng.choices(list(ttl), [0.6, 0.2, 0.05, 0.05, 0.1])[0]
-        at[key] += rng.choice([0, 1, 3, 17, 64]) if key != "cold" else rng.choice([1, 299, 300, 301, 50_000])
-        rows.append((rng.randrange(10**9) * 2000 + i, key, ttl[key], at[key], i % 2))
-    rng.shuffle(rows)
-    return rows
+@pytest.mark.parametrize("seed,length", [(1, 1), (2, 7), (3, 100), (4, 10_000_000)])
+def test_lookup_equals_brute_force(spark, monkeypatch, seed, length):
+    """A hot key, ties, overlapping fills, requests before any fill, keys without one, null keys."""
+    monkeypatch.setattr(R, "SLICE_US", length)
+    rng = random.Random(seed)
+    ttl = {"hot": 40, "cold": 300, "ever": 0, "unfilled": 50, None: 50}
+    keys = lambda: rng.choices(list(ttl), [0.6, 0.1, 0.1, 0.1, 0.1])[0]
+    rows = [(i, k := keys(), ttl[k], rng.randrange(2000)) for i in range(800)]
+    fills = [(k, rng.randrange(100, 2000)) for _ in range(120) if (k := keys()) != "unfilled"]
+    got = R.requests_to_fills(spark.createDataFrame(rows, REQUEST).repartition(5), spark.createDataFrame(fills, FILL))
+    assert got.columns == ["query_id", "key", "ttl_us", "created_us", "fill_us"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    assert {r["query_id"]: r["fill_us"] for r in found} == looked_up(rows, fills)
 
 
-@pytest.mark.parametrize("seed,span,part", [(1, 1, 1), (2, 2, 3), (3, 7, 2), (4, 32, 32), (5, 1, 5), (6, 3, 50)])
-def test_replay_equals_a_walk(spark, monkeypatch, seed, span, part):
-    monkeypatch.setattr(R, "SPAN_TTLS", span)
-    monkeypatch.setattr(R, "PART_SPANS", part)
-    monkeypatch.setattr(R, "ENDLESS_SPAN_US", 500)
-    rows = requests(seed)
-    frame = spark.createDataFrame(rows, REQUEST).repartition(5)
-    got = R.ttl_replay(frame).collect()
-    assert len(got) == len(rows)
-    assert {r["query_id"]: (r["fill_us"], r["hit"]) for r in got} == walk(rows)
-    for r in got:
-        assert r["event"] == ("recovery" if r["retry_count"] else "hit" if r["hit"] else "miss")
+def test_bounds_and_clashing_columns(spark):
+    fills = spark.createDataFrame([("k", 20)], FILL).withColumn("ttl_us", F.lit(1))
+    rows = [(i, "k", 10, at) for i, at in enumerate((19, 20, 29, 30))]
+    asked = spark.createDataFrame(rows, REQUEST).withColumn("fill_us", F.lit(5))
+    got = {r["created_us"]: r["fill_us"] for r in R.requests_to_fills(asked, fills).collect()}
+    assert got == {19: None, 20: 20, 29: 20, 30: None}
 
 
-def test_small_batches(spark, monkeypatch):
-    """Groups that arrive in many pieces."""
-    monkeypatch.setattr(R, "SPAN_TTLS", 3)
-    monkeypatch.setattr(R, "PART_SPANS", 4)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "7")
-    try:
-        rows = requests(13, 600)
-        got = R.ttl_replay(spark.createDataFrame(rows, REQUEST)).collect()
-        assert {r["query_id"]: (r["fill_us"], r["hit"]) for r in got} == walk(rows)
-    finally:
-        spark.conf.set(name, before)
-
-
-def test_misses_of_a_key_are_a_time_to_live_apart(spark, monkeypatch):
-    monkeypatch.setattr(R, "SPAN_TTLS", 3)
-    fills = R.cache_fills(spark.createDataFrame(requests(9), REQUEST)).where("ttl_us > 0").collect()
-    by_key = {}
-    for f in sorted(fills, key=lambda f: (f["key"], f["fill_us"])):
-        if f["key"] in by_key:
-            assert f["fill_us"] - by_key[f["key"]] >= f["ttl_us"]
-        by_key[f["key"]] = f["fill_us"]
-
-
-@pytest.mark.parametrize("pieces", [2, 5])
-def test_replay_in_pieces_carries_the_cache(spark, monkeypatch, pieces):
-    monkeypatch.setattr(R, "SPAN_TTLS", 2)
-    monkeypatch.setattr(R, "PART_SPANS", 3)
-    rows = sorted(requests(11, 900), key=lambda r: r[3])
-    want, got, cached = walk(rows), {}, {}
-    # Cut in time only: requests at one moment stay together.
-    times = sorted({r[3] for r in rows})
-    bounds = [times[len(times) * i // pieces] for i in range(1, pieces)]
-    for i in range(pieces):
-        part = [r for r in rows if sum(b <= r[3] for b in bounds) == i]
-        known = spark.createDataFrame([(k, t, f) for k, (t, f) in cached.items()], "key string, ttl_us long, fill_us long")
-        for r in R.ttl_replay(spark.createDataFrame(part, REQUEST), known).collect():
-            got[r["query_id"]] = (r["fill_us"], r["hit"])
-            cached[r["key"]] = max(cached.get(r["key"], (0, 0)), (r["ttl_us"], r["fill_us"]))
-    assert got == want
-
-
-def test_text_ids(spark):
-    rows = [("b", "k", 100, 5, 0), ("a", "k", 100, 5, 0), ("c", "k", 100, 104, 0), ("d", "k", 100, 105, 0)]
-    frame = spark.createDataFrame(rows, REQUEST.replace("query_id long", "query_id string"))
-    got = {r["query_id"]: (r["fill_us"], r["hit"]) for r in R.ttl_replay(frame).collect()}
-    assert got == {"a": (5, False), "b": (5, True), "c": (5, True), "d": (105, False)}
-
-
-def test_lookup_leaves_out_requests_before_any_fill(spark):
-    fills = spark.createDataFrame([("k", 10, 20, 1)], "key string, ttl_us long, fill_us long, first_id long")
-    rows = [(i, "k", 10, at, 0) for i, at in enumerate((19, 20, 29, 30))]
-    got = R.requests_to_fills(spark.createDataFrame(rows, REQUEST), fills).select(F.col("created_us"))
-    assert sorted(r[0] for r in got.collect()) == [20, 29]
+def test_without_fills_or_requests(spark):
+    asked, fills = spark.createDataFrame([(1, "k", 10, 5)], REQUEST), spark.createDataFrame([("k", 1)], FILL)
+    assert [r["fill_us"] for r in R.requests_to_fills(asked, fills.limit(0)).collect()] == [None]
+    assert R.requests_to_fills(asked.limit(0), fills).collect() == []
 
 
 def test_corrupt_payloads_are_not_served(spark):
     rows = [("a", '{"count":1}'), ("b", "{bad"), ("c", None), ("d", "null"), ("e", "3")]
     entries = spark.createDataFrame(rows, "key string, payload string")
     assert sorted(r["key"] for r in R.usable_entries(entries).collect()) == ["a", "e"]
+
+
+def test_two_digits_round_the_exact_value(spark):
+    rng = random.Random(5)
+    values = [i / 1000 for i in range(-1100, 2101)] + [i / 8 for i in range(40)] + [-0.0, 1e15 + 0.125, 2.0**52 + 0.5]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 12) for _ in range(20_000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_digits(F.col("v")).alias("text"))
+    wrong = [(r["v"], r["text"]) for r in frame.collect() if r["text"] != f"{r['v']:.2f}"]
+    assert not wrong

@@ -5,14 +5,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.operators import replay as R
 from beaconry.operators import requests as Q
 from beaconry.operators import windows as W
 from beaconry.operators.events import decode_events
 from beaconry.schemas import ATTEMPT
 from beaconry.sources import messages
 from beaconry.streaming import jobs
-from tests.test_replay import REQUEST, requests, walk
 
 KINDS = ["hit", "miss", "recovery", "retry", "dlq", "error"]
 STATUS = {"retry": "pending", "dlq": "failed", "error": "failed"}
@@ -150,22 +148,3 @@ def test_routing_stream_writes_each_topic_and_survives_a_replay(spark, attempts,
     assert (dead["query_id"], dead["retry_count"], dead["failed_us"], dead["error"]) == (6, 3, 6_002_500, "boom")
     assert len(topic("events")) == 8
     assert spark.read.parquet(f"{folder}/out/routed").count() == len(ATTEMPTS)
-
-
-def test_replay_stream_over_several_batches(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(R, "SPAN_TTLS", 4)
-    folder = str(tmp_path)
-    rows = sorted(requests(21, 600), key=lambda r: r[3])
-    times = sorted({r[3] for r in rows})
-    cut = times[len(times) // 2]
-    for part in ([r for r in rows if r[3] < cut], [r for r in rows if r[3] >= cut]):
-        spark.createDataFrame(part, REQUEST).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        time.sleep(1.1)  # files are taken by modification time
-    stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = jobs.start_replay_job(stream, f"{folder}/out", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE, compact_every=1)
-    assert query.awaitTermination(300)
-    # The last batch once more gives the same.
-    jobs.replay_batch(spark.createDataFrame([r for r in rows if r[3] >= cut], REQUEST), 1, f"{folder}/out")
-    served = spark.read.parquet(f"{folder}/out/served").collect()
-    assert {r["query_id"]: (r["fill_us"], r["hit"]) for r in served} == walk(rows)
-    assert len(served) == len(rows)
