@@ -245,12 +245,39 @@ def _know(shard: int, rows: pa.Table) -> pa.Table:
     )
 
 
-def _part(keys: np.ndarray) -> np.ndarray:
-    """A shard sorts its suffixes in this many parts, one after the other."""
-    return (keys >> np.uint64(20) & np.uint64(PARTS - 1)).astype(np.uint8)
+def _part(keys: np.ndarray, n: int) -> np.ndarray:
+    """A shard sorts its suffixes in this many parts, one after the other: ranges of its keys, so sorted keys have sorted parts."""
+    return (spread(keys, n * PARTS) % PARTS).astype(np.uint8)
 
 
-_STATE = [("first", "<u4"), ("count", "u1"), ("entry", "<u4"), ("later", "?")]
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones: upper bytes, mostly alike, compress well in the shuffle."""
+    return np.ascontiguousarray(numbers).view("u1").reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_state(first: np.ndarray, count: np.ndarray, opens: np.ndarray, later: np.ndarray) -> bytes:
+    """What a group notes of its runs: where they are, which open a new entry, and which ask for a later document."""
+    n = np.array([len(first)], "<u8").tobytes()
+    return b"".join(
+        [n, planes(first.astype("<u4")), count.astype("u1").tobytes(), np.packbits(opens).tobytes(), np.packbits(later).tobytes()]
+    )
+
+
+def unpack_state(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first, count, entry, later."""
+    if not data:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    n = int(np.frombuffer(data[:8], "<u8")[0])
+    cuts = np.cumsum([8, 4 * n, n, -(-n // 8), -(-n // 8)])
+    first, count, opens, later = (data[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+    bits = [np.unpackbits(np.frombuffer(x, "u1"), count=n) for x in (opens, later)]
+    entry = np.cumsum(bits[0], dtype=np.int64) - 1
+    return from_planes(first, "<u4").astype(np.int64), np.frombuffer(count, "u1").astype(np.int64), entry, bits[1].astype(bool)
 
 
 def _send(n: int):
@@ -283,10 +310,8 @@ def _send(n: int):
             same[1:] = (key[a] == key[b]) & (mixed[a] == mixed[b]) & (size[a] == size[b]) & (strings[a] == strings[b]).all(axis=1)
         entry_of = np.cumsum(~same) - 1 if len(order) else np.empty(0, np.int64)
         heads = order[~same] if len(order) else order
-        state = np.empty(len(mine), dtype=_STATE)
-        state["first"], state["count"] = first[order], count[order]
-        state["entry"] = entry_of
-        state["later"] = ids[order] > ids[heads][entry_of] if len(order) else False
+        later = ids[order] > ids[heads][entry_of] if len(order) else np.empty(0, bool)
+        state = pack_state(first[order], count[order], ~same, later)
         places = bounds(shard[heads], n)
         pairs = list(zip(places[:-1], places[1:]))
         inside = np.arange(width)[None, :] < size[heads][:, None]
@@ -295,10 +320,10 @@ def _send(n: int):
                 "g": ([g] * (n + 1), pa.int32()),
                 "shard": ([*range(n), -1 - g], pa.int64()),
                 "sizes": ([*(count[heads[a:b]].astype("u1").tobytes() for a, b in pairs), b""], pa.binary()),
-                "parts": ([*(_part(key[heads[a:b]]).tobytes() for a, b in pairs), b""], pa.binary()),
+                "parts": ([*(_part(key[heads[a:b]], n).tobytes() for a, b in pairs), b""], pa.binary()),
                 "bytes": ([*(strings[heads[a:b]][inside[a:b]].tobytes() for a, b in pairs), b""], pa.binary()),
-                "owners": ([*(ids[heads[a:b]].tobytes() for a, b in pairs), b""], pa.binary()),
-                "state": ([*[b""] * n, state.tobytes()], pa.binary()),
+                "owners": ([*(planes(ids[heads[a:b]]) for a, b in pairs), b""], pa.binary()),
+                "state": ([*[b""] * n, state], pa.binary()),
             }
         )
 
@@ -312,7 +337,7 @@ def _masks(shard: int, rows: pa.Table) -> pa.Table:
     counts = unpack(rows["sizes"], "u1")
     count = np.concatenate(counts).astype(np.int64)
     data = np.frombuffer(b"".join([*rows["bytes"].to_pylist(), bytes(96)]), dtype=np.uint8)
-    owner = np.concatenate(unpack(rows["owners"], "<i8"))
+    owner = np.concatenate([from_planes(x, "<i8") for x in rows["owners"].to_pylist()])
     begin, part = starts(count + LENGTH - 1), np.concatenate(unpack(rows["parts"], "u1"))
     masks = np.zeros(len(count), dtype=np.uint32)
     for n in range(PARTS):
@@ -338,17 +363,16 @@ def _masks(shard: int, rows: pa.Table) -> pa.Table:
 
 def _cut(g: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
     answers = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-    state = np.frombuffer(b"".join(r["answer"] for r in answers if r["shard"] < 0), dtype=_STATE)
+    at_first, count, entry, later = unpack_state(b"".join(r["answer"] for r in answers if r["shard"] < 0))
     masks = np.frombuffer(b"".join(r["answer"] for r in answers if r["shard"] >= 0), dtype=np.uint32)
     texts = docs["text"].cast(pa.binary()).to_pylist()
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begin = starts(lengths)
     total = int(lengths.sum())
     edges = np.zeros(total + 1, dtype=np.int32)
-    count = state["count"].astype(np.int64)
-    first = np.repeat(state["first"].astype(np.int64), count)
+    first = np.repeat(at_first, count)
     offset = np.arange(len(first)) - np.repeat(starts(count), count)
-    mask = np.where(state["later"], np.uint32(0xFFFFFFFF), masks[state["entry"]] if len(masks) else np.uint32(0))
+    mask = np.where(later, np.uint32(0xFFFFFFFF), masks[entry] if len(masks) else np.uint32(0))
     hit = (np.repeat(mask, count) >> offset.astype(np.uint32) & np.uint32(1)).astype(bool)
     at = (first + offset)[hit]
     np.add.at(edges, at, 1)
