@@ -119,7 +119,8 @@ def edited_fingerprints(
     in order of their texts, a null id comes first, a null text is empty; a single row is
     its own next. Other columns are not looked at, no rows give no rows.
 
-    The ids alone are cut into ranges of about ``rows_each`` rows, at ids that exist. The
+    The ids alone are cut into ranges of about ``rows_each`` rows, at ids that exist: no
+    cut goes through a double, which has no ids above 2^53. The
     first row of a range also goes to the range before it, so one exchange of the
     texts is enough, and no task holds more than two texts at a time.
     """
@@ -127,8 +128,11 @@ def edited_fingerprints(
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     n_rows, n_ids, least = ids.agg(F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
     ranges = parts_for(n_rows, rows_each)
-    found = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cuts = np.unique(np.array([c for c in found if c > least], dtype=np.int64))
+    begins = []
+    if ranges > 1 and n_ids:
+        placed = ids.where("doc_id is not null").repartitionByRange(ranges, "doc_id").withColumn("range", F.spark_partition_id())
+        begins = [r["begin"] for r in placed.groupBy("range").agg(F.min("doc_id").alias("begin")).collect()]
+    cuts = np.array(sorted(c for c in begins if c > least), dtype=np.int64)
     with_null = n_ids < n_rows
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +151,10 @@ def edited_fingerprints(
                 "borrowed", pa.array(np.arange(len(take)) >= len(own))
             ).to_batches()
 
+    def ended(last: tuple | None) -> None:
+        if last:
+            raise ValueError(f"document {last[1]} ends range {last[0]}, and no row follows it")
+
     def print_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket, the borrowed ones last; each is printed once the row after it is known."""
         made: list[tuple] = []
@@ -174,8 +182,10 @@ def edited_fingerprints(
                         yield _batch(made)
                         made = []
                     last = None if borrowed else (bucket, name, text, kept)
-                elif not borrowed:
-                    last = bucket, name, text, winnow(text, k, window)[0]
+                    continue
+                ended(last)
+                last = None if borrowed else (bucket, name, text, winnow(text, k, window)[0])
+        ended(last)
         if made:
             yield _batch(made)
 

@@ -55,3 +55,10 @@ def test_topk_odd_vectors(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)]
     none = data.where("false")
     assert topk.top_scores(none, none).collect() == []
+
+
+def test_winnowing_of_ids_that_no_double_holds(spark):
+    ids = [(1 << 62) + 2 * i + 1 for i in range(300)]
+    docs = spark.createDataFrame([(i, f"text number {i} of some words") for i in ids], "doc_id long, text string")
+    got = winnowing.edited_fingerprints(docs.repartition(3), rows_each=20).collect()
+    assert sorted(r["doc_id"] for r in got) == ids
