@@ -181,9 +181,7 @@ def mix(rows: DataFrame, weighted: DataFrame | None = None, cap: int = 3, seed:
     )
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): the words of every text, written once; a null text has none."""
-    return materialize(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size")),
-        "sizes",
-    )
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns ``keep``: the words of every text, written once; a null text has none."""
+    names = F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source")
+    return materialize(docs.select(*names, words(text).alias("size"), *keep), "sizes")

@@ -1,6 +1,7 @@
 import pyarrow.parquet as pq
 
 import corpus_pipeline
+from beaconry.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,16 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert set(packed["doc_id"]) <= ids
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None if i < 20 else 7 if i < 40 else i, "word " * (i + 1), "ab"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = {r["source"]: r["target"] for r in mixing.mix(mixing.sized(docs)).select("source", "target").distinct().collect()}
+    got = corpus_pipeline._mix(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = got.toPandas()
+    assert got.groupby(["text"]).size().max() <= 3
+    for source, taken in got.groupby("source"):
+        assert abs(taken["text"].str.split().str.len().sum() - target[source]) <= 121
+    assert got["doc_id"].isna().any() and (got["doc_id"] == 7).any()
