@@ -33,6 +33,8 @@ DISTANCE = 3
 SEGMENTS = [((1 << 16) - 1) << (16 * i) for i in range(4)]
 # Fingerprints under one key from which on the key is refined.
 CROWD = 4096
+# Shingle hashes of one class that a task compares.
+CLASS_BYTES = 16 << 20
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -203,10 +205,8 @@ def near_links(prints: DataFrame) -> DataFrame:
     )
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """(prints, node, class) of the different lists of fingerprints: linked where any of them are near."""
-    nodes = prints.groupBy("prints").agg(F.min("doc_id").alias("least"))
-    nodes = materialize(nodes.withColumn("node", F.xxhash64("prints")), "prints")
+def _print_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes (node, prints) of which any fingerprints are near."""
     each = nodes.select("node", F.posexplode("prints").alias("number", "print"))
     # A fingerprint's node: the smallest of those that have it.
     heads = materialize(each.groupBy("number", "print").agg(F.min("node").alias("head")), "heads")
@@ -215,8 +215,14 @@ def _classes(prints: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         of = heads.select(F.col("number"), F.col("print").alias(end), F.col("head").alias(f"head_{end}"))
         near = near.join(of, ["number", end])
-    classes = components(same.union(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))))
-    return nodes.join(classes, "node").withColumnRenamed("component", "class")
+    return same.union(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """(prints, node, class) of the different lists of fingerprints: linked where any of them are near."""
+    nodes = prints.groupBy("prints").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("prints")), "prints")
+    return nodes.join(components(_print_links(nodes)), "node").withColumnRenamed("component", "class")
 
 
 def near_classes(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,6 +242,101 @@ def near_classes(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str =
     return prints.join(named, "prints").select("doc_id", F.element_at("prints", 1).alias("fingerprint"), "component_id")
 
 
+def _hashes(text: bytes, width: int, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles(text, width)], dtype="<u8")
+
+
+def _sketches(rows: DataFrame, width: int, seed: int, number: int) -> DataFrame:
+    """(digest, doc_id, prints) of the texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for digest, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = _hashes(text, width, seed)
+                if len(hashes):
+                    prints = np.array([fingerprint(_rehash(hashes, n)) for n in range(number)], dtype=np.uint64)
+                    made.append((digest, doc, prints.view(np.int64)))
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            columns = zip(*made) if made else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "doc_id", "prints"])
+
+    return rows.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, prints array<long>")
+
+
+def _grams(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(class, least, digest, grams): the different shingles' hashes, sorted, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.unique(_hashes(t.as_py(), width, seed)).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], ["class", "least", "digest", "grams"])
+
+    return rows.select("class", "least", "digest", "text").mapInArrow(run, "class long, least long, digest binary, grams binary")
+
+
+def alike(keeper: np.ndarray, grams: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of these sets of hashes (sorted, none empty) have a Jaccard similarity of at least ``similarity`` with the keeper's."""
+    sizes = np.array([len(g) for g in grams])
+    values = np.concatenate(grams)
+    at = np.minimum(np.searchsorted(keeper, values), len(keeper) - 1)
+    both = np.add.reduceat((keeper[at] == values).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+    return both >= similarity * (sizes + len(keeper) - both) - 1e-9
+
+
+def _least_first(similarity: float):
+    """Of a class the first text stays and what is like it goes; then the first of the rest, until none is left."""
+
+    def step(texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by([("least", "ascending"), ("digest", "ascending")])
+        ids, digests = texts["least"].to_pylist(), texts["digest"].to_pylist()
+        grams = [np.frombuffer(g, dtype="<u8") for g in texts["grams"].to_pylist()]
+        rest, gone, of = np.arange(len(ids)), [], []
+        while len(rest) > 1:
+            keeper, rest = rest[0], rest[1:]
+            copies = alike(grams[keeper], [grams[i] for i in rest], similarity)
+            gone += [digests[i] for i in rest[copies]]
+            of += [ids[keeper]] * int(copies.sum())
+            rest = rest[~copies]
+        return pa.table({"digest": pa.array(gone, pa.binary()), "of": pa.array(of, pa.int64())})
+
+    return step
+
+
+def _copies_of(members: DataFrame, similarity: float) -> DataFrame:
+    """(digest, of) of ``members`` (class, least, digest, grams): the texts that go, and the id of the text that they are like.
+
+    Classes of up to ``CLASS_BYTES`` are compared in a task each. Of larger ones a round finds what is like
+    the first text, spread over all tasks, until what is left is small enough.
+    """
+    found = []
+    order = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)), "digest")
+    while True:
+        sums = members.groupBy("class").agg(F.sum(F.octet_length("grams")).alias("bytes"), F.min_by(F.struct("least", "digest", "grams"), order).alias("first"))
+        sums = materialize(sums, "class-sizes")
+        small = members.join(sums.where(F.col("bytes") <= CLASS_BYTES).select("class"), "class", "left_semi")
+        found.append(materialize(small.groupBy("class").applyInArrow(_least_first(similarity), "digest binary, of long"), "copies"))
+        large = sums.where(F.col("bytes") > CLASS_BYTES)
+        if large.isEmpty():
+            break
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keepers, grams = batch.column("keeper").to_pylist(), batch.column("grams").to_pylist()
+                near = [bool(alike(np.frombuffer(k, "<u8"), [np.frombuffer(g, "<u8")], similarity)[0]) for k, g in zip(keepers, grams)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "least", "digest", "grams", "of")), pa.array(near)], ["class", "least", "digest", "grams", "of", "near"])
+
+        firsts = large.select("class", F.col("first.least").alias("of"), F.col("first.digest").alias("first"), F.col("first.grams").alias("keeper"))
+        pairs = members.join(firsts, "class").where("digest <> first").drop("first")
+        seen = materialize(pairs.mapInArrow(run, "class long, least long, digest binary, grams binary, of long, near boolean"), "compared")
+        found.append(seen.where("near").select("digest", "of"))
+        members = seen.where("not near").select("class", "least", "digest", "grams")
+    copies = found[0]
+    for more in found[1:]:
+        copies = copies.union(more)
+    return copies
+
+
 def near_copies(
     docs: DataFrame,
     width: int = 5,
@@ -245,27 +346,27 @@ def near_copies(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(doc_id, component_id): the rows whose texts are near-copies of that of their class's smallest id.
-
-    With one fingerprint, three differing bits find few near-copies of similarity 0.8: texts are
-    linked if any of ``number`` fingerprints are near. Of a class, those go whose
-    fingerprints together differ from the kept document's in no more bits than texts of
-    ``similarity`` do on average; the others stay, however they were linked. Texts without
-    words are no copies of each other, and a null id is never one. The rest as in ``near_classes``.
+    """(doc_id, component_id, digest): the rows whose texts are copies or near-copies of that of ``component_id``, a kept row.
+
+    Of equal texts only the smallest id can stay. With one fingerprint, three differing bits
+    find few near-copies of similarity 0.8: texts are linked if any of ``number``
+    fingerprints are near. Of a class the smallest id stays, and the texts go whose
+    shingles have a Jaccard similarity of at least ``similarity`` with its text's; then the same
+    with what is left, until no two that stay are so alike. Texts without words are no copies
+    of each other, and a null id is never one. ``digest`` (SHA-256 of the text) tells
+    rows with the same id apart. The rest as in ``near_classes``.
     """
-    prints = materialize(fingerprints(docs, width, seed, number, doc_id, text), "fingerprints")
-    named = materialize(_classes(prints.where(~F.forall("prints", lambda x: x == 0))), "classes")
-    least = named.groupBy("class").agg(
-        F.min("least").alias("component_id"), F.min_by("prints", "least").alias("kept_prints")
-    )
-    differing = F.aggregate(
-        F.zip_with("prints", "kept_prints", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x
-    )
-    close = differing <= F.lit(_bits_apart(similarity) * number * 64)
-    copies = named.join(least, "class").where(close).select("prints", "component_id")
-    return prints.join(copies, "prints").where("doc_id is not null and doc_id <> component_id").select("doc_id", "component_id")
-
-
-def _bits_apart(similarity: float) -> float:
-    """Share of the bits that differ between texts of this Jaccard similarity: the angle of their shingle counts by pi."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    sketches = materialize(_sketches(rows, width, seed, number), "sketches")
+    nodes = sketches.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("digest")), "texts")
+    classes = materialize(components(_print_links(nodes)), "classes")
+    crowds = classes.groupBy("component").count().where("count > 1").select("component")
+    named = classes.join(crowds, "component").select("node", F.col("component").alias("class"))
+    members = nodes.join(named, "node").select("class", "least", F.col("digest").alias("of_digest"))
+    chosen = rows.join(members, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    grams = materialize(_grams(chosen, width, seed).dropDuplicates(["digest"]), "grams")
+    texts = nodes.join(_copies_of(grams, similarity), "digest", "left").select("digest", "least", "of")
+    gone = sketches.join(texts, "digest").where("doc_id is not null and (of is not null or doc_id <> least)")
+    return gone.select("doc_id", F.coalesce("of", "least").alias("component_id"), "digest")
