@@ -33,6 +33,10 @@ DISTANCE = 3
 SEGMENTS = [((1 << 16) - 1) << (16 * i) for i in range(4)]
 # Fingerprints under one key from which on the key is refined.
 CROWD = 4096
+# Min-hashes that link texts beside the fingerprints.
+BANDS, IN_BAND = 14, 5
+_RANDOM = np.random.default_rng(7).integers(0, 1 << 64, (BANDS * IN_BAND, 2), dtype=np.uint64)
+_PERMUTATIONS = [(flip, odd | np.uint64(1)) for flip, odd in _RANDOM]
 # Shingle hashes of one class that a task compares.
 CLASS_BYTES = 16 << 20
 
@@ -246,8 +250,22 @@ def _hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles(text, width)], dtype="<u8")
 
 
+def min_hashes(hashes: np.ndarray) -> list[int]:
+    """``BANDS`` hashes of ``IN_BAND`` min-hashes each, as signed longs: texts of similarity s share one with 1 - (1 - s^IN_BAND)^BANDS."""
+    with np.errstate(over="ignore"):
+        least = np.array([((hashes ^ flip) * odd).min() for flip, odd in _PERMUTATIONS], dtype="<u8").reshape(BANDS, IN_BAND)
+    return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(least)]
+
+
+def _band_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes (node, bands) to the smallest one with the same band."""
+    each = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    heads = each.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return each.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+
 def _sketches(rows: DataFrame, width: int, seed: int, number: int) -> DataFrame:
-    """(digest, doc_id, prints) of the texts with words."""
+    """(digest, doc_id, prints, bands) of the texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,12 +274,12 @@ def _sketches(rows: DataFrame, width: int, seed: int, number: int) -> DataFrame:
                 hashes = _hashes(text, width, seed)
                 if len(hashes):
                     prints = np.array([fingerprint(_rehash(hashes, n)) for n in range(number)], dtype=np.uint64)
-                    made.append((digest, doc, prints.view(np.int64)))
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())]
+                    made.append((digest, doc, prints.view(np.int64), min_hashes(hashes)))
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = zip(*made) if made else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "doc_id", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "doc_id", "prints", "bands"])
 
-    return rows.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, prints array<long>")
+    return rows.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, prints array<long>, bands array<long>")
 
 
 def _grams(rows: DataFrame, width: int, seed: int) -> DataFrame:
@@ -348,9 +366,10 @@ def near_copies(
 ) -> DataFrame:
     """(doc_id, component_id, digest): the rows whose texts are copies or near-copies of that of ``component_id``, a kept row.
 
-    Of equal texts only the smallest id can stay. With one fingerprint, three differing bits
-    find few near-copies of similarity 0.8: texts are linked if any of ``number``
-    fingerprints are near. Of a class the smallest id stays, and the texts go whose
+    Of equal texts only the smallest id can stay. Three differing bits find few near-copies
+    of similarity 0.8, with eight fingerprints as well: texts are linked if any of ``number``
+    fingerprints are near, or if they share one of ``BANDS`` bands of min-hashes. Links are
+    candidates only. Of a class the smallest id stays, and the texts go whose
     shingles have a Jaccard similarity of at least ``similarity`` with its text's; then the same
     with what is left, until no two that stay are so alike. Texts without words are no copies
     of each other, and a null id is never one. ``digest`` (SHA-256 of the text) tells
@@ -359,9 +378,9 @@ def near_copies(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     sketches = materialize(_sketches(rows, width, seed, number), "sketches")
-    nodes = sketches.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
+    nodes = sketches.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("digest")), "texts")
-    classes = materialize(components(_print_links(nodes)), "classes")
+    classes = materialize(components(_print_links(nodes).union(_band_links(nodes))), "classes")
     crowds = classes.groupBy("component").count().where("count > 1").select("component")
     named = classes.join(crowds, "component").select("node", F.col("component").alias("class"))
     members = nodes.join(named, "node").select("class", "least", F.col("digest").alias("of_digest"))

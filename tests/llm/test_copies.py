@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from beaconry.llm import simhash
 
 
@@ -34,3 +35,26 @@ def test_copies_of_what_is_not_close_to_the_first(spark, class_bytes, monkeypatc
 def _all_linked(prints):
     first = prints.groupBy("number").agg({"print": "min"}).toDF("number", "a")
     return prints.join(first, "number").selectExpr("number", "a", "print as b")
+
+
+def test_scattered_and_block_edits(spark):
+    rng = np.random.default_rng(2)
+    rows, owed = [], 0
+    for n in range(100):
+        text = words(rng, 300)
+        if n % 2:
+            edited = list(text)
+            for at in rng.choice(300, 6, replace=False):
+                edited[at] = "other"
+        else:
+            edited = text[:275] + words(rng, 25)
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(edited))]
+        owed += jaccard(*(t for _, t in rows[-2:])) >= 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline._copies(spark, docs, "").collect()}
+    texts = dict(rows)
+    assert owed > 70
+    for n in range(100):
+        alike = jaccard(texts[2 * n], texts[2 * n + 1]) >= 0.8
+        assert 2 * n in kept and (alike or 2 * n + 1 in kept)
+    assert 200 - len(kept) >= 0.97 * owed
