@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from beaconry.llm.common import text_or_empty
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
+# Strings that the vocabulary has beside its ranks: they are cut out of a text before its words are.
+ADDED = {"<|endoftext|>": 50256}
 # A single blank between two other characters always begins a new word of the byte-level
 # pattern (" ?letters", " ?digits", " ?others"), so the words between such blanks are
 # tokenised one by one and most come out of a table.
@@ -70,7 +72,7 @@ def split_words(text: str) -> list[str]:
 
 
 def load_tokenizer(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Ids of a text by a byte-level vocabulary file with a rank per line; strings of special tokens are ordinary text."""
+    """Ids of a text by a byte-level vocabulary file with a rank per line; strings of added tokens are ordinary text here (see ``ids_of``)."""
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -78,6 +80,14 @@ def load_tokenizer(path: str, pattern: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def ids_of(text: str, table: WordTable, added: dict[str, int] = ADDED) -> bytes:
+    """Ids of a text as little-endian unsigned 32-bit numbers, those of added tokens included."""
+    if not any(token in text for token in added):
+        return b"".join(map(table.__getitem__, split_words(text)))
+    parts = re.split("(" + "|".join(map(re.escape, added)) + ")", text)
+    return b"".join(array("I", [added[p]]).tobytes() if p in added else ids_of(p, table, {}) for p in parts if p)
+
+
 def place(lengths: list[int], budget: Budget) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
     """Pieces (document, start, length, sequence, offset) of documents of these lengths, and the cost of each sequence."""
     capacity = budget.capacity
@@ -151,7 +161,7 @@ def pack(
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = body.as_py()
                 names.append(name)
-                tokens.append(b"".join(map(table.__getitem__, split_words(body))) + end if body else end)
+                tokens.append(ids_of(body, table) + end if body else end)
                 held += len(tokens[-1]) // 4
                 if held >= budget.round_tokens:
                     out, used = flush()

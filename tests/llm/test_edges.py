@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, clashing names and empty tables."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,13 @@ def test_winnowing_of_ids_that_no_double_holds(spark):
     docs = spark.createDataFrame([(i, f"text number {i} of some words") for i in ids], "doc_id long, text string")
     got = winnowing.edited_fingerprints(docs.repartition(3), rows_each=20).collect()
     assert sorted(r["doc_id"] for r in got) == ids
+
+
+def test_added_token_as_the_tokenizer_has_it(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y<|endoftext", "no such token"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(docs, *VOCABULARY).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
