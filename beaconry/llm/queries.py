@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
+from beaconry.llm import decontamination, mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
 from beaconry.llm.common import documents
 
 
@@ -83,6 +83,20 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contaminated_spans(documents(spark, sf_dir), items, F.col("doc_id").cast("string").cast("binary"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select(
+        F.col("id").cast("string").cast("long").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_passages": op2_passages,
@@ -94,6 +108,34 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_ngram_trie": op9_ngram_trie,
     "op10_winnowing": op10_winnowing,
+    "op11_decontamination": op11_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_decontamination": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+asked AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
+  FROM asked, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM phrases),
+windows AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM words, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS (SELECT doc_id, i, n, item_id FROM windows JOIN phrases USING (n, phrase)),
+hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT DISTINCT doc_id, i, n FROM found), unnest(range(i, i + n)) AS t(k) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+}
