@@ -16,7 +16,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(SQL))
 def test_query(spark, duck, name):
     assert compare(entry.queries()[name](spark, SF_DIR), duck, SQL[name]) is None
 
