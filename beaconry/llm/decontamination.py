@@ -23,7 +23,7 @@ from beaconry.llm.fm_index import FmIndex
 from beaconry.session import materialize
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 # Bytes of test phrases that are sent to all tasks at once.
 BLOCK_BYTES = 32 << 20
 # Occurrences that are located at once.

@@ -7,8 +7,9 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import decontamination, mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
+from beaconry.llm import conversation_repair, decontamination, mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
 from beaconry.llm.common import documents
+from beaconry.session import materialize
 
 
 def vocabulary() -> tuple[str, str]:
@@ -97,6 +98,38 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults by the crc32 of ``conv_id:turn``: dropped, emptied, cut, repeated, or given to the user."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fate, text = F.crc32(key) % 20, F.coalesce("text", F.lit(" "))
+    times = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), times)).alias("time"),
+    ).drop("time")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    edited = materialize(conversation_repair.edits(damaged(turns)), "edits")
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = turns.select("conv_id").distinct()
+    counts = conversation_repair.summary(edited).withColumnRenamed("conv", "of")
+    texts = conversation_repair.digests(conversation_repair.repaired(edited))
+    joined = every.join(counts, F.col("conv_id").eqNullSafe(F.col("of")), "left").join(
+        texts, F.col("conv_id").eqNullSafe(F.col("conv")), "left"
+    )
+    return joined.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in names),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_passages": op2_passages,
@@ -109,6 +142,7 @@ QUERIES = {
     "op9_ngram_trie": op9_ngram_trie,
     "op10_winnowing": op10_winnowing,
     "op11_decontamination": op11_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -137,5 +171,72 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+fated AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda r, j: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)),
+    4294967295), 4294967295) % 20 AS fate FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM damaged),
+known AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM known),
+inserts(a, b, edits, cost) AS (
+  VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 3), (0, 3, 'II', 6), (1, 2, 'I', 3),
+    (1, 3, 'II', 6), (2, 3, 'I', 3), (3, 2, 'I', 3)),
+choices(a, b, edit, cost, initial) AS (
+  VALUES (0, 0, 'D', 4, NULL), (1, 1, 'D', 4, NULL), (2, 2, 'D', 4, NULL), (3, 3, 'D', 4, NULL), (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'),
+    (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'), (0, 2, 'R', 3, NULL), (1, 2, 'R', 3, NULL), (3, 2, 'R', 3, NULL),
+    (2, 3, 'R', 3, NULL)),
+moves AS (
+  SELECT inserts.a AS a, choices.b AS b, edits || edit AS edits, edit, inserts.cost + choices.cost AS cost, initial
+  FROM inserts JOIN choices ON inserts.b = choices.a),
+best(conv_id, i, state, least) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'cost': 0, 'audit': ''} FROM (SELECT DISTINCT conv_id FROM faulty)
+  UNION ALL
+  SELECT best.conv_id, f.i, moves.b, min({'cost': best.least.cost + moves.cost
+      + CASE WHEN moves.edit <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END, 'audit': best.least.audit || moves.edits})
+  FROM best JOIN faulty AS f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1
+  JOIN moves ON moves.a = best.state AND (moves.initial IS NULL OR moves.initial = f.initial)
+    AND (moves.edit = 'D' OR coalesce(f.fault = 'truncated', TRUE))
+  GROUP BY best.conv_id, f.i, moves.b),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ended AS (
+  SELECT best.conv_id, min({'cost': least.cost + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END,
+    'audit': least.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS least
+  FROM best JOIN counted ON counted.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = n GROUP BY best.conv_id),
+letters AS (
+  SELECT conv_id, p, least.audit[p] AS letter FROM ended, unnest(range(1, len(least.audit) + 1)) AS t(p)),
+numbered AS (
+  SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER w AS o
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+kept AS (
+  SELECT n.conv_id, p, o, letter, f.role, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text,
+    max(CASE WHEN o = 1 AND letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS system
+  FROM numbered AS n LEFT JOIN faulty AS f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i WHERE letter <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || text, chr(10) ORDER BY p) AS text FROM kept GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.least.cost, 0) AS BIGINT) AS cost,
+  coalesce(e.least.audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN texts AS t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
 }
