@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import conversation_repair, decontamination, mixing, ngram_trie, packing, passages, sharding, simhash, suffixes, topk, toxicity, winnowing
+from beaconry.llm import conversation_repair, decontamination, mixing, ngram_trie, packing, passages, sharding, simhash, spelling, suffixes, topk, toxicity, winnowing
 from beaconry.llm.common import documents
 from beaconry.session import materialize
 
@@ -98,6 +98,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Turns with faults by the crc32 of ``conv_id:turn``: dropped, emptied, cut, repeated, or given to the user."""
     key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
@@ -142,6 +146,7 @@ QUERIES = {
     "op9_ngram_trie": op9_ngram_trie,
     "op10_winnowing": op10_winnowing,
     "op11_decontamination": op11_decontamination,
+    "op12_spelling": op12_spelling,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -172,6 +177,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
+    "op12_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\xC0-\xFF]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_transform(range(octet_length(encode(k))), lambda i:
+      CAST(('0x' || substr(hex(encode(k)), CAST(2 * i + 1 AS INTEGER), 2)) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda r, j: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)),
+    4294967295), 4294967295) AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM runs)),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM hashed),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+gaps AS (
+  SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps AS a JOIN gaps AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps AS a JOIN words AS b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps AS a JOIN words AS b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min({'n': -n, 'other': other}) AS top FROM near GROUP BY word),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 10 * words.n THEN top.other END AS form,
+    CASE WHEN -top.n >= 10 * words.n THEN -top.n END AS form_n FROM words LEFT JOIN best USING (word)),
+led(word, reached) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT led.word, formed.form FROM led JOIN formed ON formed.word = led.reached WHERE formed.form IS NOT NULL)
+SELECT formed.word, formed.n, formed.n_near, formed.form, formed.form_n, led.reached AS root
+FROM formed JOIN led USING (word) JOIN formed AS last ON last.word = led.reached AND last.form IS NULL
+""".replace("\\xC0-\\xFF", "\u00c0-\u00ff"),
     "op13_conversation_repair": r"""
 WITH RECURSIVE keyed AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
