@@ -16,13 +16,13 @@ SAMPLE = 16
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in their order, by doubling: only suffixes that still tie are sorted again.
 
-    The last symbol occurs once; so does one symbol at least in every repeated stretch's surroundings.
+    The last symbol occurs once, so that no two suffixes tie to the end.
     """
     n = len(symbols)
     if n == 0:
         return np.empty(0, np.int64)
     bits = max(1, int(symbols.max()).bit_length())
-    depth = max(1, min(4, 62 // bits))
+    depth = max(1, min(4, 62 // bits, n))
     key = np.zeros(n, dtype=np.int64)
     for j in range(depth):
         key <<= bits
