@@ -91,10 +91,14 @@ def event_counters(events: DataFrame) -> DataFrame:
 
     Errors are counted in total only. Unknown events are not counted.
     """
+    return counters_of(event_counts(events))
+
+
+def counters_of(counts: DataFrame) -> DataFrame:
+    """``event_counters`` from one row or more (``_rows``) per event and query type."""
     named = [name for name in COUNTERS if name != "errors"]
-    # The rollup runs over one row per event and query type.
     errors = F.when(F.grouping("query_type") == 1, _counters(("errors",))[0]).alias("errors")
-    return event_counts(events).rollup("query_type").agg(*_counters(tuple(named)), errors)
+    return counts.rollup("query_type").agg(*_counters(tuple(named)), errors)
 
 
 def run_summary(

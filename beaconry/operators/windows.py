@@ -144,19 +144,32 @@ def window_metrics_panes(events: DataFrame, size: str = SIZE, slide: str = SLIDE
     up to a few thousand latencies per window and within about 1e-4 in rank beyond.
     """
     width, step, pane = _panes(events, size, slide)
+    panes = events.groupBy(pane.alias("pane")).agg(*pane_columns())
+    return merged_document(_pane_to_windows(panes, width, step).groupBy("window").agg(*merged_columns()))
+
+
+def pane_columns() -> list[Column]:
+    """Aggregates of the events of a pane, which merge into those of a window."""
     latency = success_latency()
-    panes = events.groupBy(pane.alias("pane")).agg(
+    return [
         *[c.alias(name) for name, c in _counters().items()],
         F.sum(latency).alias("latency_sum"),
         F.count(latency).alias("latency_n"),
         F.kll_sketch_agg_double(latency, F.lit(SKETCH_K)).alias("sketch"),
-    )
-    windows = _pane_to_windows(panes, width, step).groupBy("window").agg(
+    ]
+
+
+def merged_columns() -> list[Column]:
+    return [
         *[F.sum(name).alias(name) for name in _counters()],
         F.sum("latency_sum").alias("latency_sum"),
         F.sum("latency_n").alias("latency_n"),
         F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"),
-    )
+    ]
+
+
+def merged_document(windows: DataFrame) -> DataFrame:
+    """The window document from merged panes."""
     some = F.col("latency_n") > 0
     points = F.array(*[F.lit(p) for p in PERCENTILE_POINTS.values()])
     values = F.when(some, F.kll_sketch_get_quantile_double("sketch", points))
@@ -168,3 +181,8 @@ def window_metrics_panes(events: DataFrame, size: str = SIZE, slide: str = SLIDE
             F.when(some, F.col("latency_sum") / F.col("latency_n")).alias("latency_avg"),
         )
     )
+
+
+def pane_length(spark: SparkSession, size: str, slide: str) -> str:
+    """The longest interval that window and slide are whole numbers of."""
+    return f"{math.gcd(*_micros(spark, size, slide))} microseconds"

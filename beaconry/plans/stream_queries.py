@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconry import sinks
-from beaconry.operators import events, windows
+from beaconry.operators import events, replay, requests, windows
 from beaconry.plans import inputs
 from beaconry.plans.shape import plain, rounded
 from beaconry.plans.window_queries import normalize_events
 from beaconry.session import scratch_path
+from beaconry.operators.events import SUCCESS_EVENTS
+from beaconry.plans.request_queries import _replay_input
 from beaconry.sources import messages
-from beaconry.streaming import jobs
+from beaconry.streaming import fills, jobs, live, panes, tails
+
+# Streams below are published in so many stretches of time, and read in as many micro-batches or more.
+SLICES = 4
+SPAN_US = inputs.END_US - inputs.BASE_US
+# Longer than a stretch, so that files of a stretch may come in any order.
+DELAY = "15 minutes"
+# Time at which a stream that has ended says so, long after its last row: what is open then closes.
+CLOSING_US = inputs.END_US + 24 * 3_600_000_000
 
 
 def publish_events(spark, sf_dir):
@@ -37,6 +47,102 @@ def stream_window_metrics(spark, sf_dir):
     return rounded(plain(jobs.window_table(spark, f"{folder}/table").latest()), latency_avg=9)
 
 
+def _publish(rows, at_us, until_us, folder):
+    """JSON messages in ``SLICES`` stretches of time, the last one open; the files of a stretch follow those of the one before."""
+    step = (until_us - inputs.BASE_US) // SLICES
+    stretch = F.least(F.greatest(F.floor((at_us - inputs.BASE_US) / step), F.lit(0)), F.lit(SLICES - 1))
+    for i in range(SLICES):
+        part = rows.where(stretch == i).select(F.to_json(F.struct("*")).alias("value"))
+        part.write.mode("append").text(folder)
+
+
+def _close(spark, folder, **row):
+    names = ", ".join(f"{name} {'string' if isinstance(value, str) else 'double' if isinstance(value, float) else 'long'}" for name, value in row.items())
+    last = spark.createDataFrame([tuple(row.values())], names)
+    last.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+
+
+def _by_stretch(spark, folder):
+    """The messages as a stream, about a stretch to a micro-batch."""
+    files = len(messages.read_folder_once(spark, folder).inputFiles())
+    return messages.read_folder(spark, folder, files_per_trigger=max(1, files // (SLICES + 1)))
+
+
+def _metric_messages(spark, sf_dir, folder):
+    rows = inputs.metric_events(spark, sf_dir, keep=("seq",)).drop("event_time")
+    _publish(rows, F.col("ts") * 1e6, inputs.END_US, folder)
+    return folder
+
+
+def stream_window_panes(spark, sf_dir):
+    """Events published in stretches of time, counted in panes and then in windows as a stream."""
+    folder = scratch_path(spark, "panes")
+    _metric_messages(spark, sf_dir, f"{folder}/messages")
+    _close(spark, f"{folder}/messages", ts=CLOSING_US / 1e6, event_type="end")
+    query = panes.start_pane_job(
+        _by_stretch(spark, f"{folder}/messages"),
+        f"{folder}/windows",
+        f"{folder}/checkpoint",
+        trigger=jobs.UNTIL_DONE,
+        partitions=spark.sparkContext.defaultParallelism,
+        watermark=DELAY,
+    )
+    query.awaitTermination()
+    return rounded(plain(panes.read_closed_windows(spark, f"{folder}/windows")), latency_avg=9)
+
+
+def stream_requests_to_fills(spark, sf_dir):
+    """Requests and computed answers as two streams, joined as they arrive."""
+    folder = scratch_path(spark, "fills")
+    asked, given = f"{folder}/requests", f"{folder}/fills"
+    wanted = _replay_input(spark, sf_dir).select("query_id", "key", "ttl_us", "created_us")
+    answers = replay.fills_of(requests.route_attempts(inputs.attempts(spark, sf_dir)))
+    last = wanted.agg(F.max("created_us")).first()[0] or inputs.BASE_US + SLICES
+    _publish(wanted, F.col("created_us"), last, asked)
+    _publish(answers, F.col("fill_us"), last, given)
+    _close(spark, asked, query_id=-1, key="end", ttl_us=1, created_us=last + CLOSING_US)
+    _close(spark, given, key="end", fill_us=last + CLOSING_US)
+    step = (last - inputs.BASE_US) // SLICES
+    query = fills.start_fills_job(
+        events.parse_json(_by_stretch(spark, asked), fills.REQUEST),
+        events.parse_json(_by_stretch(spark, given), fills.FILL),
+        f"{folder}/served",
+        f"{folder}/checkpoint",
+        trigger=jobs.UNTIL_DONE,
+        partitions=spark.sparkContext.defaultParallelism,
+        watermark=f"{2 * step // 1_000_000 + 60} seconds",
+    )
+    query.awaitTermination()
+    served = spark.read.schema(f"{fills.REQUEST}, fill_us long").parquet(f"{folder}/served")
+    age = F.col("created_us") - F.col("fill_us")
+    return served.select("query_id", "key", "created_us", "fill_us", age.alias("age_us"))
+
+
+def stream_last_n_per_class(spark, sf_dir):
+    """The newest answers of each class, kept as state while events arrive."""
+    folder = scratch_path(spark, "tails")
+    _metric_messages(spark, sf_dir, f"{folder}/messages")
+    row = "seq long, event_type string, query_type string, latency_ms double, status string"
+    arriving = events.parse_json(_by_stretch(spark, f"{folder}/messages"), row)
+    answered = arriving.where(F.col("event_type").isin(*SUCCESS_EVENTS)).drop("status")
+    query = tails.start_tail_job(
+        answered, 500, "event_type", f"{folder}/table", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE, partitions=spark.sparkContext.defaultParallelism
+    )
+    query.awaitTermination()
+    return tails.newest(spark, f"{folder}/table", 500, row).drop("status")
+
+
+def stream_event_counters(spark, sf_dir):
+    """Counters merged from what each micro-batch left."""
+    folder = scratch_path(spark, "live")
+    _metric_messages(spark, sf_dir, f"{folder}/messages")
+    arriving = events.decode_events(_by_stretch(spark, f"{folder}/messages"))
+    live.start_live_summary(arriving, f"{folder}/summary", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE).awaitTermination()
+    summary = live.LiveSummary(spark, f"{folder}/summary")
+    summary.fold(1)
+    return summary.event_counters()
+
+
 def upsert_latest(spark, sf_dir):
     """Documents of the first half of the time, compacted, then those the rest changes."""
     table = jobs.window_table(spark, scratch_path(spark, "documents"))
@@ -49,4 +155,15 @@ def upsert_latest(spark, sf_dir):
     return rounded(plain(table.latest()), latency_avg=9)
 
 
-QUERIES = {f.__name__: f for f in (publish_events, stream_window_metrics, upsert_latest)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        publish_events,
+        stream_window_metrics,
+        stream_window_panes,
+        stream_requests_to_fills,
+        stream_last_n_per_class,
+        stream_event_counters,
+        upsert_latest,
+    )
+}
