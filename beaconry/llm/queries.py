@@ -151,6 +151,41 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_suffixes": r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+strings AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS string FROM texts, unnest(range(0, n_bytes - 49)) AS t(s)),
+earliest AS (SELECT string, min(doc_id) AS earliest FROM strings GROUP BY string),
+repeats AS (SELECT doc_id, s FROM strings JOIN earliest USING (string) WHERE earliest < doc_id),
+marked AS (
+  SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 50, TRUE) AS begins FROM repeats),
+numbered AS (
+  SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(s) AS low, max(s) + 50 AS high FROM numbered GROUP BY doc_id, span),
+placed AS (SELECT *, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS earlier FROM spans),
+cut AS (
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last,
+    string_agg(substr(h, 2 * earlier + 1, 2 * (low - earlier)), '' ORDER BY low) AS kept
+  FROM placed JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+""",
+    "op8_topk": """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    max(CAST(list_sum(list_transform(range(1, len(v.ints) + 1), lambda i: q.ints[i] * v.ints[i])) AS BIGINT)) AS score
+  FROM vectors AS q JOIN vectors AS v ON q.vec_id <> v.vec_id AND len(q.ints) = len(v.ints)
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op11_decontamination": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -48,6 +48,22 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def best_ids(scores: np.ndarray, ids: pd.Series, query: int, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the ``k`` best different ids but the query's own; an id counts with its best score, ties go to the smaller id."""
+    n = k + 1
+    while True:
+        # The n best values with all ties of the last: enough if they hold k ids.
+        least = np.partition(scores, -n)[-n] if len(scores) > n else scores.min()
+        best: dict[int, int] = {}
+        for j in np.flatnonzero(scores >= least):
+            for i in ids.iat[j]:
+                if i != query:
+                    best[int(i)] = max(best.get(int(i), int(scores[j])), int(scores[j]))
+        if len(best) >= k or len(scores) <= n:
+            return sorted(best.items(), key=lambda item: (-item[1], item[0]))[:k]
+        n *= 4
+
+
 def top_scores(
     data: DataFrame, queries: DataFrame, k: int = 5, rows_each: int = 2048, queries_each: int = 512, seed: int = 42
 ) -> DataFrame:
@@ -100,7 +116,13 @@ def _search(
     spark = data.sparkSession
     chosen = data.orderBy(F.xxhash64("ints", F.lit(seed)), "ints").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
     pivots = _matrix([row["ints"] for row in chosen])
-    pivot_ids = [row["ids"] for row in chosen]
+    # Ids that no earlier pivot has: what a query's scores with the pivots bound are different ids.
+    known: set[int] = set()
+    pivot_ids = []
+    for row in chosen:
+        pivot_ids.append(set(row["ids"]) - known)
+        known.update(row["ids"])
+    n_ids = np.array([len(names) for names in pivot_ids], dtype=np.int64)
     real = pivots.astype(np.float64)
     lengths = (real**2).sum(axis=1)
 
@@ -134,8 +156,10 @@ def _search(
                 continue
             scores = products(vectors, pivots)
             own = np.array([[i in names for names in pivot_ids] for i in ids.tolist()])
-            ranked = np.sort(np.where(own, np.iinfo(np.int64).min, scores), axis=1)
-            floor = ranked[:, -k] if len(pivots) >= k else np.full(len(ids), np.iinfo(np.int64).min)
+            order = np.argsort(-scores, axis=1, kind="stable")
+            reached = np.cumsum(np.take_along_axis(n_ids[None, :] - own, order, axis=1), axis=1) >= k
+            last = np.take_along_axis(scores, np.take_along_axis(order, reached.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+            floor = np.where(reached[:, -1], last, np.iinfo(np.int64).min)
             norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
             reach = scores + norms[:, None] * radius[None, :]
             # A little room for rounding of the bound.
@@ -171,10 +195,7 @@ def _search(
         if len(asked) and len(rows):
             scores = products(_matrix(asked["ints"]), _matrix(rows["ints"]))
             for query, line in zip(asked["vec_id"], scores):
-                # The k + 1 best values and all ties of the last; the query's own id may be among them.
-                least = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k else line.min()
-                best = [(-int(line[j]), int(i)) for j in np.flatnonzero(line >= least) for i in rows["ids"].iat[j] if i != query]
-                found += [(query, i, -s) for s, i in sorted(best)[:k]]
+                found += [(query, i, s) for i, s in best_ids(line, rows["ids"], query, k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return (

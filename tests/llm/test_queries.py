@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from beaconry.llm import topk
 from beaconry.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -237,3 +238,23 @@ def test_small_groups_give_the_same(spark, monkeypatch):
     assert {name: rows(name) for name in names[1:]} == whole
     again = run(spark, names[0])
     assert len(found) and len(found ^ set(zip(again["doc_id"], again["class_id"]))) <= 0.1 * len(found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_scores_of_ids_with_several_vectors(spark, seed):
+    """Against all pairs: an id counts with its best vector, and a result has k different ids."""
+    draw = np.random.default_rng(seed)
+    rows = [(0, [9, 9, 9])] + [(1, draw.integers(0, 9, 3).tolist()) for _ in range(8)] + [(i, draw.integers(-9, 9, 3).tolist()) for i in range(2, 8)]
+    rows += [(int(draw.integers(8, 20)), draw.integers(-4, 5, 3).tolist()) for _ in range(150)]
+    data = spark.createDataFrame(rows, "vec_id long, ints array<long>")
+    asked = data.where("vec_id % 3 = 0")
+    best = {}
+    for query, q in rows:
+        for i, x in rows:
+            if query % 3 == 0 and i != query:
+                score = int(np.dot(q, x))
+                best.setdefault(query, {})[i] = max(best.get(query, {}).get(i, score), score)
+    want = {q: sorted(((-s, i) for i, s in found.items()))[:5] for q, found in best.items()}
+    got = topk.top_scores(data, asked, k=5, rows_each=20, queries_each=4).collect()
+    assert {q: sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == q) for q in want} == want
+    assert [r["rank"] for r in sorted(got) if r["query_id"] == 0] == [1, 2, 3, 4, 5]
