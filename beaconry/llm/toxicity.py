@@ -1,120 +1,176 @@
 """Toxicity from two Kneser-Ney language models, one of toxic and one of ordinary text.
 
-Both are interpolated bigram models over word buckets: discounted bigram counts of the
-class, then its discounted continuation counts (in how many contexts a word follows),
-then the continuation counts of both classes together. A count is discounted by a share of
-the sample and by a multiple of the other class's count; what that takes off goes to
-the next lower level. So expressions that are rare, or common in both classes, have about
-the same probability in both. A text's evidence is the difference of the
-log-likelihoods per word, of the whole models and of their lower level; a logistic
-curve, fitted on labelled rows the models have not seen, turns it into a score.
-
-The models are fitted on a bounded sample of labelled rows, equally many of each class and
-at most ``Settings.rows_each``, chosen by a hash of the id. Words and bigrams are
-counted in fixed numbers of buckets, so what is broadcast has a fixed size. Every row
-is scored, on its whole text.
+A text is a sequence of words, and a word is spelt: each letter (byte) is predicted from up to seven
+before it in the word. So a model knows words and word stems, whatever the language. Both classes have their own discounted
+counts of what follows a context, interpolated with one shared backoff: a Kneser-Ney model of both
+classes together, with continuation counts below its highest order. What is rare in both classes is thus about as likely in both.
+Discounts come from counts of counts (modified Kneser-Ney).
+
+A word's evidence is log P(word | toxic) - log P(word | ordinary). A text is judged by its mean over all words and by the means
+over its most telling words; a logistic curve, fitted on labelled rows that the models have not
+seen, turns them into a score.
+
+The models are fitted on a bounded sample of labelled rows, chosen by a hash of the id: at most ``Settings.rows_each`` toxic rows
+and twice as many ordinary ones, of at most ``Settings.longest_text`` letters each. Letters are counted in
+tasks; the different sequences of a sample are what comes to the driver. Every row is scored, on its whole text.
 """
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.llm.common import text_or_empty
 from beaconry.session import materialize
 
-_WORD = re.compile(r"\w+")
+ORDER = 8
+_END = 0x20
+# Letters and digits; A-Z do not come, as texts are lower-cased.
+_LETTERS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else _END for b in range(256))
+_BYTE = np.uint64(8)
+_MASKS = np.array([0, *((1 << 8 * k) - 1 for k in range(1, ORDER + 1))], dtype=np.uint64)
+TOPS = (1, 3, 8)
 
 
 @dataclass(frozen=True)
 class Settings:
-    rows_each: int = 20_000  # labelled rows of each class that are learnt from
+    rows_each: int = 3_000  # toxic rows that are learnt from, and half the ordinary ones
+    longest_text: int = 20_000  # rows with longer texts are not learnt from
     tune_share: int = 4  # one in so many of them fits the curve instead of the models
-    word_bits: int = 18
-    pair_bits: int = 20
-    # Counts taken off each bigram and each continuation count: this share of a class's rows, but at least so many.
-    discount_share: float = 0.05
-    least_discount: float = 3.0
-    shared_multiple: float = 2.0  # and this many times the other class's count
+    least_count: int = 2  # sequences that both classes together have less often are as good as unseen
+    farthest: float = 8.0  # a word's evidence counts up to here
     threshold: float = 0.3
 
-    def kept(self, counts: np.ndarray, others: np.ndarray, discount: float) -> np.ndarray:
-        return np.maximum(counts - discount - self.shared_multiple * others, 0)
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(_LETTERS).split()
+
+
+def spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, length): for every letter of the words, and the blank after each, the sequence that ends in it, from the blank before the
+    word on but at most ``ORDER`` long, packed into one number."""
+    symbols = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
+    n = len(symbols)
+    blank = np.maximum.accumulate(np.where(symbols == _END, np.arange(n), 0))
+    length = np.minimum(np.arange(n)[1:] - blank[:-1] + 1, ORDER)
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(min(ORDER, n)):
+        key[k:] |= symbols[: n - k].astype(np.uint64) << np.uint64(8 * k)
+    return key[1:] & _MASKS[length], length
+
+
+def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off a count of 0, 1, 2, 3 or more: modified Kneser-Ney, from counts of counts."""
+    n1, n2, n3, n4 = (max(1, int((counts == x).sum())) for x in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    each = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [1, 2, 3])
+    return np.r_[0, each]
+
+
+def interpolated(counts: np.ndarray, context: np.ndarray, n_contexts: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each sequence's last letter, what each context leaves to the lower order)."""
+    off = np.minimum(counts, discounts(counts)[np.minimum(counts, 3).astype(np.int64)])
+    total = np.bincount(context, weights=counts, minlength=n_contexts)
+    left = np.where(total > 0, np.bincount(context, weights=off, minlength=n_contexts) / np.maximum(total, 1), 1.0)
+    own = np.where(total[context] > 0, (counts - off) / np.maximum(total[context], 1), 0.0)
+    return own + left[context] * lower, left
 
 
 @dataclass
 class Model:
-    """Counts by class (ordinary, toxic) and bucket."""
+    """Evidence of sequences (log of the ratio of probabilities), and of contexts that a letter was never seen after."""
 
     settings: Settings
-    discount: float
-    pairs: np.ndarray  # discounted bigram counts
-    contexts: np.ndarray  # bigrams after a word
-    freed: np.ndarray  # what the discount took off them
-    continuations: np.ndarray  # different bigrams that end in a word
-    curve: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0]))
-
-    def prepare(self) -> "Model":
-        """Probabilities of the lower level and weights of the upper; the counts they come from are let go."""
-        shared = self.continuations.sum(axis=0, dtype=np.float64) + 1
-        shared /= shared.sum()
-        each = np.maximum(self.continuations.sum(axis=1, keepdims=True, dtype=np.float64), 1)
-        kept = self.settings.kept(self.continuations, self.continuations[::-1], self.discount) / each
-        self.words = (kept + (1 - kept.sum(axis=1, keepdims=True)) * shared).astype(np.float32)
-        self.after = np.maximum(self.contexts, 1).astype(np.float32)
-        self.left = np.where(self.contexts > 0, self.freed / self.after, 1).astype(np.float32)
-        self.contexts = self.freed = self.continuations = None
-        return self
-
-    def features(self, words: np.ndarray) -> tuple[float, float]:
-        """Means over the words of log P(word | toxic) - log P(word | ordinary), by both levels and by the lower, bent
-        so that a short text's extremes count little more than a long text's; 0 for none."""
-        if not len(words):
-            return 0.0, 0.0
-        before = np.r_[np.int64(0), words[:-1]]
-        pair = pair_buckets(before, words, self.settings)
-        whole, lower = [], []
-        for c in (0, 1):
-            word = self.words[c][words]
-            left = np.maximum(self.left[c][before], 0.01)
-            whole.append(np.log(self.pairs[c][pair] / self.after[c][before] + left * word))
-            lower.append(np.log(word))
-        means = (whole[1] - whole[0]).mean(), (lower[1] - lower[0]).mean()
-        return float(np.tanh(means[0] * 10)), float(np.tanh(means[1] * 10))
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    contexts: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    lefts: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    curve: np.ndarray = field(default_factory=lambda: np.r_[-4.0, np.zeros(len(TOPS) + 2)])
+
+    @classmethod
+    def of_counts(cls, settings: Settings, length: np.ndarray, key: np.ndarray, counts: np.ndarray) -> "Model":
+        """From all sequences up to ``ORDER``, with their counts in ordinary and toxic text (two rows)."""
+        below = np.empty(0, np.uint64), np.empty(0)
+        keys, values, contexts, lefts = [], [], [], []
+        orders = [np.flatnonzero(length == k) for k in range(1, ORDER + 1)]
+        for k, own in enumerate(orders, 1):
+            own = own[np.argsort(key[own])]
+            grams, both = key[own], counts[:, own]
+            # Below the highest order the shared model counts what a sequence follows; at the start of a word nothing precedes.
+            shared = both.sum(axis=0)
+            if k < ORDER:
+                longer = key[orders[k]] & _MASKS[k]
+                preceded = np.bincount(found_in(grams, longer)[0], minlength=len(grams)) if len(grams) else shared
+                starts = grams >> np.uint64(8 * (k - 1)) == _END
+                shared = np.where(starts & (k > 1), shared, preceded)
+            if k == 1:
+                below = grams, shared / max(1, shared.sum())
+                continue
+            context, of = np.unique(grams >> _BYTE, return_inverse=True)
+            lower = below[1][found_in(below[0], grams & _MASKS[k - 1])[0]] if len(grams) else np.empty(0)
+            (p, left_p), (q, left_q) = (interpolated(c, of, len(context), lower) for c in both)
+            kept = both.sum(axis=0) >= settings.least_count
+            keys.append(grams[kept])
+            values.append(np.log(q[kept] / p[kept]))
+            contexts.append(context)
+            lefts.append(np.log(np.maximum(left_q, 1e-3) / np.maximum(left_p, 1e-3)))
+            below = grams, interpolated(shared, of, len(context), lower)[0]
+        model = cls(settings)
+        for names, parts in ((("keys", "values"), (keys, values)), (("contexts", "lefts"), (contexts, lefts))):
+            at, evidence = (np.concatenate(p) for p in parts)
+            order = np.argsort(at)
+            setattr(model, names[0], at[order])
+            setattr(model, names[1], evidence[order].astype(np.float32))
+        return model
+
+    def evidence(self, words: list[bytes]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        key, _ = spelt(words)
+        at, known = found_in(self.keys, key)
+        begun, led = found_in(self.contexts, key >> _BYTE)
+        letters = np.where(known, self.values[at] if len(self.values) else 0, np.where(led, self.lefts[begun] if len(self.lefts) else 0, 0))
+        begin = np.r_[0, np.cumsum([len(w) + 1 for w in words])[:-1]]
+        return np.clip(np.add.reduceat(letters, begin), -self.settings.farthest, self.settings.farthest)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)
         return 1 / (1 + np.exp(-x))
 
 
-class Buckets(dict):
-    """Bucket of a word, from 1 (0 is the beginning of a text); at most ``limit`` words are kept."""
-
-    def __init__(self, bits: int, limit: int = 200_000):
-        super().__init__()
-        self.buckets, self.limit = (1 << bits) - 1, limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        bucket = self[word] = xxhash.xxh64_intdigest(word.encode()) % self.buckets + 1
-        return bucket
+class Reader:
+    """Features of texts; keeps the evidence of words it has seen, of so many at most."""
 
-    def of(self, text: str) -> np.ndarray:
-        found = _WORD.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+    def __init__(self, model: Model, limit: int = 300_000):
+        self.model, self.limit, self.known = model, limit, {}
 
-
-def pair_buckets(before: np.ndarray, words: np.ndarray, settings: Settings) -> np.ndarray:
-    mixed = (before.astype(np.uint64) << np.uint64(settings.word_bits)) ^ words.astype(np.uint64)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - settings.pair_bits)).astype(np.int64)
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: mean over its words, means over its most telling ones, log of their number."""
+        out = np.zeros((len(texts), len(TOPS) + 2))
+        for row, text in enumerate(texts):
+            words = words_of(text)
+            if not words:
+                continue
+            new = list(set(words).difference(self.known))
+            if len(self.known) + len(new) > self.limit:
+                self.known, new = {}, list(set(words))
+            if new:
+                self.known.update(zip(new, self.model.evidence(new).tolist()))
+            found = np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
+            most = np.sort(np.partition(found, -TOPS[-1])[-TOPS[-1] :] if len(found) > TOPS[-1] else found)[::-1]
+            out[row] = found.mean(), *(most[:n].mean() for n in TOPS), np.log(len(words))
+        return out
 
 
 def learning_rows(labels: DataFrame, learn: Column, settings: Settings, doc_id: str, label: str) -> tuple[DataFrame, dict]:
@@ -130,8 +186,10 @@ def learning_rows(labels: DataFrame, learn: Column, settings: Settings, doc_id:
         .where(learn)
     )
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    each = min(settings.rows_each, totals.get(0, 0), totals.get(1, 0))
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for c in (0, 1)]
+    toxic = min(settings.rows_each, totals.get(1, 0))
+    picked = [
+        known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, 2 * toxic), (1, toxic))
+    ]
     sample = picked[0].union(picked[1]).select(
         F.col("doc_id").alias("learn_id"),
         "toxic",
@@ -140,77 +198,44 @@ def learning_rows(labels: DataFrame, learn: Column, settings: Settings, doc_id:
     return materialize(sample, "sample"), totals
 
 
+def sequences(texts: DataFrame) -> DataFrame:
+    """(length, key, ordinary, toxic): counts of all sequences up to ``ORDER`` in the words of (toxic, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.asarray(batch.column(0))
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            for c in (0, 1):
+                mine = [w for label, ws in zip(labels, words) if label == c for w in ws]
+                if not mine:
+                    continue
+                key, length = spelt(mine)
+                for k in range(1, ORDER + 1):
+                    grams, n = np.unique(key[length >= k] & _MASKS[k], return_counts=True)
+                    zero = np.zeros(len(n), np.int64)
+                    columns = [np.full(len(n), k, np.int32), grams.view(np.int64), *((n, zero) if c == 0 else (zero, n))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["length", "key", "ordinary", "toxic"])
+
+    found = texts.mapInArrow(count, "length int, key long, ordinary long, toxic long")
+    return found.groupBy("length", "key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> Model:
     """The models of labelled rows for which ``learn`` (an expression on doc_id) holds.
 
-    Without labelled rows of both classes the score is the share of toxic labels.
+    Without labelled rows of both classes the score is the share of toxic labels. Labels of documents that are not in ``docs``,
+    null ids and labels other than 0 and 1 are left out; a text that is labelled many times counts once for its class.
     """
     sample, totals = learning_rows(labels, learn, settings, doc_id, label)
-    each = min(settings.rows_each, totals.get(0, 0), totals.get(1, 0))
-    discount = max(settings.least_discount, settings.discount_share * each * (1 - 1 / settings.tune_share))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    # At most 2 * rows_each rows of three small columns.
-    chosen = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("learn_id")).select("toxic", "tune", "text")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(settings.word_bits)
-        shift = np.int64(settings.word_bits + 1)
-        for batch in batches:
-            toxic, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            runs = [buckets.of(t) for t in texts]
-            keys = np.concatenate([(np.r_[np.int64(0), r[:-1]] << shift) | r if len(r) else r for r in runs])
-            of = np.repeat(toxic, [len(r) for r in runs])
-            different, at = np.unique(keys, return_inverse=True)
-            counts = [np.bincount(at, weights=of == c, minlength=len(different)).astype(np.int64) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(different), *map(pa.array, counts)], ["pair", "ordinary", "toxic"])
-
-    # A text that is labelled many times counts once for its class.
-    once = chosen.where("not tune").drop("tune").dropDuplicates(["toxic", "text"])
-    counted = (
-        once.mapInArrow(pairs, "pair long, ordinary long, toxic long")
-        .groupBy("pair")
-        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    )
-    size, pair_size, both = 1 << settings.word_bits, 1 << settings.pair_bits, range(2)
-    arrays = [np.zeros((2, n), np.float32) for n in (pair_size, size, size, size)]
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a partition by array and bucket."""
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            pair, *counts = (np.asarray(c) for c in batch.columns)
-            before, word = pair >> (settings.word_bits + 1), pair & ((2 << settings.word_bits) - 1)
-            bucket = pair_buckets(before, word, settings)
-            for c in both:
-                kept = settings.kept(counts[c], counts[1 - c], discount)
-                for kind, (at, weight, length) in enumerate(
-                    (
-                        (bucket, kept, pair_size),
-                        (before, counts[c], size),
-                        (before, counts[c] - kept, size),
-                        (word, counts[c] > 0, size),
-                    )
-                ):
-                    got = np.bincount(at, weights=weight, minlength=length)
-                    sums[kind, c] = sums[kind, c] + got if (kind, c) in sums else got
-        for (kind, c), got in sums.items():
-            at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), 2 * kind + c, np.int32)), pa.array(at), pa.array(got[at].astype(np.float64))],
-                ["array", "bucket", "n"],
-            )
-
-    summed = counted.coalesce(8).mapInArrow(add, "array int, bucket long, n double").groupBy("array", "bucket").agg(F.sum("n").alias("n"))
-    # At most two values for each bucket of the four arrays, whatever the input.
-    for batch in summed.toArrow().to_batches():
-        kind, bucket, n = (np.asarray(c) for c in batch.columns)
-        for k in range(4):
-            for c in both:
-                own = kind == 2 * k + c
-                arrays[k][c][bucket[own]] += n[own]
-    model = Model(settings, discount, *arrays).prepare()
+    # At most three times rows_each rows of three small columns.
+    chosen = texts.where(F.length("text") <= settings.longest_text).join(F.broadcast(sample), F.col("doc_id") == F.col("learn_id"))
+    chosen = materialize(chosen.select("toxic", "tune", "text").dropDuplicates(["toxic", "text"]), "learning-texts")
+    table = sequences(chosen.where("not tune").select("toxic", "text")).toArrow()
+    length, key, *counts = (np.asarray(table[c].combine_chunks()) for c in ("length", "key", "ordinary", "toxic"))
+    model = Model.of_counts(settings, length, key.view(np.uint64), np.array(counts, dtype=np.float64)) if len(key) else Model(settings)
     _tune(model, chosen.where("tune"), totals)
     return model
 
@@ -220,14 +245,12 @@ def _tune(model: Model, rows: DataFrame, totals: dict) -> None:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(model.settings.word_bits)
+        reader = Reader(shared.value)
         for batch in batches:
-            measured = np.array([shared.value.features(buckets.of(t)) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(measured[:, 0]), pa.array(measured[:, 1])], ["toxic", "whole", "lower"]
-            )
+            measured = reader.features(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(measured), pa.list_(pa.float64()))], ["toxic", "features"])
 
-    found = rows.select("toxic", "text").mapInArrow(measure, "toxic int, whole double, lower double").toPandas()
+    found = rows.select("toxic", "text").mapInArrow(measure, "toxic int, features array<double>").toPandas()
     shared.destroy()
     toxic = found["toxic"].to_numpy(dtype=float)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
@@ -235,10 +258,10 @@ def _tune(model: Model, rows: DataFrame, totals: dict) -> None:
     if len(set(toxic)) < 2:
         return
     weights = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-    x = found[["whole", "lower"]].to_numpy()
+    x = np.stack(found["features"].to_list())
     centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     design = np.c_[np.ones(len(x)), (x - centre) / spread]
-    beta, pull = np.zeros(3), np.diag([1e-6, 0.05, 0.05])
+    beta, pull = np.zeros(design.shape[1]), np.diag([1e-6] + [0.05] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weights * (toxic - p)) - pull @ beta
@@ -255,14 +278,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     A null or empty text has no evidence either way; repeated rows get the same score.
     Columns named score or predicted are replaced, all others stay. No rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    threshold, shared = model.settings.threshold, docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets = Buckets(model.settings.word_bits)
+        reader = Reader(shared.value)
         for series in texts:
-            measured = np.array([shared.value.features(buckets.of(t or "")) for t in series]).reshape(-1, 2)
-            yield pd.Series(shared.value.score(measured))
+            yield pd.Series(shared.value.score(reader.features(series.tolist())))
 
-    rows = docs.withColumn("score", scores(F.col(text)))
-    return rows.withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
+    rows = docs.withColumn("score", scores(F.col(f"`{text}`")))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
