@@ -372,10 +372,11 @@ def near_copies(
     candidates only. Of a class the smallest id stays, and the texts go whose
     shingles have a Jaccard similarity of at least ``similarity`` with its text's; then the same
     with what is left, until no two that stay are so alike. Texts without words are no copies
-    of each other, and a null id is never one. ``digest`` (SHA-256 of the text) tells
+    of each other. A null id comes after all others. ``digest`` (SHA-256 of the text) tells
     rows with the same id apart. The rest as in ``near_classes``.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+    last = F.lit((1 << 63) - 1)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), last).alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     sketches = materialize(_sketches(rows, width, seed, number), "sketches")
     nodes = sketches.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"), F.first("bands").alias("bands"))
@@ -387,5 +388,6 @@ def near_copies(
     chosen = rows.join(members, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
     grams = materialize(_grams(chosen, width, seed).dropDuplicates(["digest"]), "grams")
     texts = nodes.join(_copies_of(grams, similarity), "digest", "left").select("digest", "least", "of")
-    gone = sketches.join(texts, "digest").where("doc_id is not null and (of is not null or doc_id <> least)")
-    return gone.select("doc_id", F.coalesce("of", "least").alias("component_id"), "digest")
+    gone = sketches.join(texts, "digest").where("of is not null or doc_id <> least")
+    kept = F.coalesce("of", "least")
+    return gone.select(F.nullif("doc_id", last).alias("doc_id"), F.nullif(kept, last).alias("component_id"), "digest")
