@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import ratio
 from beaconry.operators.events import success_latency
+from beaconry.session import micros
 
 SIZE = "1 minute"
 SLIDE = "10 seconds"
@@ -93,18 +94,12 @@ def window_document(aggregated: DataFrame) -> DataFrame:
     )
 
 
-def _micros(spark: SparkSession, *intervals: str) -> list[int]:
-    """Microseconds of intervals as Spark reads them, such as ``1 minute 30 seconds``."""
-    epoch = "timestamp_micros(0)"
-    return list(spark.sql("SELECT " + ", ".join(f"unix_micros({epoch} + INTERVAL '{i}')" for i in intervals)).first())
-
-
 def _panes(events: DataFrame, size: str, slide: str) -> tuple[int, int, Column]:
     """Window width, slide, and the start of an event's pane: size and slide are whole numbers of panes."""
-    width, step = _micros(events.sparkSession, size, slide)
+    width, step = micros(events.sparkSession, size, slide)
     length = math.gcd(width, step)
-    micros = F.unix_micros("event_time")
-    return width, step, micros - F.pmod(micros, F.lit(length))
+    at = F.unix_micros("event_time")
+    return width, step, at - F.pmod(at, F.lit(length))
 
 
 def _pane_to_windows(panes: DataFrame, width: int, step: int) -> DataFrame:
@@ -185,4 +180,4 @@ def merged_document(windows: DataFrame) -> DataFrame:
 
 def pane_length(spark: SparkSession, size: str, slide: str) -> str:
     """The longest interval that window and slide are whole numbers of."""
-    return f"{math.gcd(*_micros(spark, size, slide))} microseconds"
+    return f"{math.gcd(*micros(spark, size, slide))} microseconds"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from beaconry import sinks
@@ -12,8 +14,9 @@ from beaconry.plans.window_queries import normalize_events
 from beaconry.session import scratch_path
 from beaconry.operators.events import SUCCESS_EVENTS
 from beaconry.plans.request_queries import _replay_input
-from beaconry.sources import messages
-from beaconry.streaming import fills, jobs, live, panes, tails
+from beaconry.sources import logs, messages
+from beaconry.streaming import fills, jobs, lag, live, panes, tails
+from beaconry.streaming import late as late_job
 
 # Streams below are published in so many stretches of time, and read in as many micro-batches or more.
 SLICES = 4
@@ -143,6 +146,109 @@ def stream_event_counters(spark, sf_dir):
     return summary.event_counters()
 
 
+# Messages of each partition that a micro-batch of the log query reads at most, as a share of an average partition.
+LOG_PARTITIONS, LOG_BATCHES = 3, 4
+
+
+def _event_log(spark, sf_dir, folder):
+    """The events as a message log, by user, and the messages of a partition that make a micro-batch."""
+    rows = inputs.table(spark, sf_dir, "events").select("user_id", F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    logs.append(rows, folder, LOG_PARTITIONS, key="user_id", place=F.col("user_id") % LOG_PARTITIONS)
+    total = sum(logs.end_offsets(folder).values())
+    return max(1, -(-total // (LOG_PARTITIONS * LOG_BATCHES)))
+
+
+def stream_log_messages(spark, sf_dir):
+    """Events appended to a message log and read as a stream that is stopped half way and started again."""
+    folder = scratch_path(spark, "log")
+    path = f"{folder}/events"
+    limit = str(_event_log(spark, sf_dir, path))
+    options = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": limit, "progress": f"{folder}/progress"}
+    for _ in range(2):
+        # A stream in this mode ends after one micro-batch of the limit.
+        _run_log(spark, path, folder, options, jobs.UNTIL_DONE)
+    _run_log(spark, path, folder, {**options, "maxOffsetsPerTrigger": str(1 << 62)}, jobs.UNTIL_DONE)
+    back = spark.read.schema("partition int, offset long, value string").parquet(f"{folder}/read")
+    event = F.from_json("value", "event_id long, user_id long")
+    return back.select(event.alias("event"), "offset").select("event.*", (F.col("offset") >= 0).alias("placed"))
+
+
+def _run_log(spark, path, folder, options, trigger):
+    arriving = logs.read_log_stream(spark, path, **options)
+    query = (
+        arriving.writeStream.format("parquet")
+        .option("path", f"{folder}/read")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**trigger)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def stream_consumer_lag(spark, sf_dir):
+    """Unread messages of a log after each micro-batch of the stream that reads it, from the stream's own progress."""
+    folder = scratch_path(spark, "lag")
+    path = f"{folder}/events"
+    limit = str(_event_log(spark, sf_dir, path))
+    name = f"reader-{folder[-12:]}"
+    listener = lag.LagListener(spark, f"{folder}/samples", {name: ("events", path)})
+    spark.streams.addListener(listener)
+    try:
+        arriving = logs.read_log_stream(spark, path, startingOffsets="earliest", maxOffsetsPerTrigger=limit, progress=f"{folder}/progress")
+        query = (
+            arriving.writeStream.format("noop")
+            .queryName(name)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(processingTime="0 seconds")
+            .start()
+        )
+        query.processAllAvailable()
+        batches = {p.batchId for p in query.recentProgress if p.numInputRows}
+        query.stop()
+        # Progress is told in its own time.
+        for _ in range(100):
+            samples = lag.lag_samples(spark, f"{folder}/samples")
+            if batches <= {r["batch_id"] for r in samples.select("batch_id").distinct().collect()}:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    return lag.lag_series(samples, ("events",)).select("batch_id", "topic", "backlog")
+
+
+def stream_late_rows(spark, sf_dir):
+    """Events that come out of order: those counted in tumbling windows, and those that were too late, by event."""
+    folder = scratch_path(spark, "late")
+    rows = inputs.metric_events(spark, sf_dir, keep=("seq",)).drop("event_time")
+    # Every seventh event comes a whole range of time late.
+    late = F.when(F.col("seq") % 7 == 0, F.lit(inputs.END_US)).otherwise(F.col("ts") * 1e6)
+    _publish(rows, late, inputs.END_US, f"{folder}/messages")
+    _close(spark, f"{folder}/messages", ts=CLOSING_US / 1e6, event_type="end")
+    size, arriving = "10 seconds", events.decode_events(_by_stretch(spark, f"{folder}/messages"))
+    # Windows close in the micro-batch after the one that ends the stream.
+    for _ in range(2):
+        counted = (
+            arriving.withWatermark("event_time", DELAY)
+            .groupBy(F.window("event_time", size), "event_type")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        with jobs.state_partitions(spark, spark.sparkContext.defaultParallelism), jobs.no_empty_batches(spark):
+            query = (
+                counted.writeStream.outputMode("append")
+                .format("parquet")
+                .option("path", f"{folder}/counted")
+                .option("checkpointLocation", f"{folder}/counted-checkpoint")
+                .trigger(**jobs.UNTIL_DONE)
+                .start()
+            )
+            query.awaitTermination()
+        _close(spark, f"{folder}/messages", ts=CLOSING_US / 1e6, event_type="end")
+    late_job.start_late_job(arriving, f"{folder}/side", f"{folder}/side-checkpoint", size, DELAY, jobs.UNTIL_DONE).awaitTermination()
+    kept = late_job.LateRows(spark, f"{folder}/side", arriving.schema, size, DELAY).read()
+    both = spark.read.parquet(f"{folder}/counted").select("event_type", "n").union(kept.select("event_type", F.lit(1).cast("long")))
+    return both.where("event_type <> 'end'").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
 def upsert_latest(spark, sf_dir):
     """Documents of the first half of the time, compacted, then those the rest changes."""
     table = jobs.window_table(spark, scratch_path(spark, "documents"))
@@ -164,6 +270,9 @@ QUERIES = {
         stream_requests_to_fills,
         stream_last_n_per_class,
         stream_event_counters,
+        stream_log_messages,
+        stream_consumer_lag,
+        stream_late_rows,
         upsert_latest,
     )
 }

@@ -61,3 +61,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def micros(spark: SparkSession, *intervals: str) -> list[int]:
+    """Microseconds of intervals as Spark reads them, such as ``1 minute 30 seconds``."""
+    epoch = "timestamp_micros(0)"
+    return list(spark.sql("SELECT " + ", ".join(f"unix_micros({epoch} + INTERVAL '{i}')" for i in intervals)).first())

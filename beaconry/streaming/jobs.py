@@ -37,6 +37,18 @@ def state_partitions(spark: SparkSession, count: int | None):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def no_empty_batches(spark: SparkSession):
+    """Queries started here move their watermark with data only, never in a micro-batch without rows."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def window_stream(
     messages: DataFrame,
     size: str = windows.SIZE,
