@@ -66,10 +66,15 @@ def _hundredths(size: Column) -> Column:
     return F.floor(size) * 100 + _once(size - F.floor(size), rounded)
 
 
+# Nearer to a tie than this, the shortest decimal of a number may round the other way.
+_NEAR_TIE = 1e-6
+
+
 def two_digits(value: Column) -> Column:
     """Text with two fraction digits: the exact binary value rounded, ties to even, up to 2^53.
 
-    ``format_string`` rounds the shortest decimal instead, and ties away from zero.
+    ``format_string`` rounds the shortest decimal instead, and ties away from zero. That
+    only matters beside a tie, and the long way is only taken there.
     """
     sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
 
@@ -77,8 +82,18 @@ def two_digits(value: Column) -> Column:
         digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(3)), F.lit("0"))
         return F.regexp_replace(digits, "(..)$", ".$1")
 
-    exact = F.concat(sign, _once(_hundredths(F.abs(value)), split))
-    return F.when(F.abs(value) < float(2**53), exact).otherwise(F.format_string("%.2f", value))
+    size = F.abs(value)
+    rest = (size - F.floor(size)) * 100
+    beside = (size < float(2**53)) & (F.abs(rest - F.floor(rest) - 0.5) < _NEAR_TIE)
+    exact = F.concat(sign, _once(_hundredths(size), split))
+    return F.when(beside, exact).otherwise(F.format_string("%.2f", value))
+
+
+def can_be_keyed(query_type: Column, params: dict[str, Column]) -> Column:
+    """Whether ``cache_key`` gives a key: the type is known and its zones are there."""
+    kind = F.upper(query_type)
+    zones = F.when(kind == "Q4", params["zone_a"].isNotNull() & params["zone_b"].isNotNull()).otherwise(params["zone_id"].isNotNull())
+    return F.coalesce(kind.isin(*TTL_SECONDS), F.lit(False)) & zones
 
 
 def cache_key(query_type: Column, params: dict[str, Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.functions import cache_key, ttl_seconds
+from beaconry.functions import cache_key, can_be_keyed, ttl_seconds
 from beaconry.operators.sizes import dimension
 from beaconry.schemas import REQUEST_PARAMS
 
@@ -23,10 +23,13 @@ def param(name: str) -> Column:
     return F.col(f"params.{name}")
 
 
+def _params() -> dict[str, Column]:
+    return {name: param(name) for name in REQUEST_PARAMS.fieldNames()}
+
+
 def with_cache_key(requests: DataFrame) -> DataFrame:
     """Adds ``cache_key``; null where the request cannot be keyed."""
-    params = {name: param(name) for name in REQUEST_PARAMS.fieldNames()}
-    return requests.withColumn("cache_key", cache_key(F.col("query_type"), params))
+    return requests.withColumn("cache_key", cache_key(F.col("query_type"), _params()))
 
 
 def validate_requests(requests: DataFrame, zones: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def route_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
     """
     keyed = with_cache_key(attempts)
     queued = F.col("mode") == "queue"
-    unkeyed = F.col("cache_key").isNull()
+    unkeyed = ~can_be_keyed(F.col("query_type"), _params())
     answered = F.col("cached") | ~F.col("failed")
     may_retry = F.col("retry_count") < max_retries
     route = (
@@ -111,12 +114,14 @@ def dead_letters(routed: DataFrame) -> DataFrame:
 
 
 def attempt_events(routed: DataFrame) -> DataFrame:
-    """The raw event each attempt reports."""
+    """The raw event each attempt reports; an answer tells how long the look-up took, a computed one the computing too."""
     return routed.where(F.col("event").isNotNull()).select(
         "event",
         F.upper("query_type").alias("query_type"),
         F.col("cache_key").alias("key"),
         "latency_ms",
+        F.when(F.col("route") == "done", F.col("lookup_ms")).alias("lookup_ms"),
+        F.when((F.col("route") == "done") & ~F.col("cached"), F.col("compute_ms")).alias("compute_ms"),
         "ttl",
         F.when(~F.col("route").isin("done"), F.col("error")).alias("error"),
         F.when(F.col("mode") == "queue", F.col("retry_count")).alias("retry_count"),

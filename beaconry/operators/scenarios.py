@@ -26,8 +26,8 @@ def _one_row_per_label(parts: list[DataFrame]) -> DataFrame:
     return merged.where(F.col(parts[0].columns[1]).isNotNull())
 
 
-def _span(events: DataFrame, runs: tuple[str, ...], counted: DataFrame) -> DataFrame:
-    """Per run, the time between the oldest and the newest of its last answers."""
+def _span(events: DataFrame, runs: tuple[str, ...], counted: DataFrame, as_of: float) -> DataFrame:
+    """Per run, the time between the oldest and the newest of its last answers, and how many of them are of the last ten seconds."""
     answered = F.col("event_type").isin(*SUCCESS_EVENTS)
     recent = last_n_per_class(
         events.where(answered).select("label", "seq", "ts"),
@@ -37,7 +37,9 @@ def _span(events: DataFrame, runs: tuple[str, ...], counted: DataFrame) -> DataF
         slices=counted.where(answered),
     )
     return recent.groupBy("label").agg(
-        (F.max_by("ts", "seq") - F.min_by("ts", "seq")).alias("span"), F.count(F.lit(1)).alias("sample")
+        (F.max_by("ts", "seq") - F.min_by("ts", "seq")).alias("span"),
+        F.count(F.lit(1)).alias("sample"),
+        F.count_if(F.col("ts") >= float(as_of) - 10).alias("last_10s"),
     )
 
 
@@ -59,9 +61,8 @@ def run_snapshots(
     class latencies, are small and written out first (eagerly).
     """
     elapsed = float(as_of) - float(since)
-    events = events.where(F.col("label").isin(*runs))
-    in_last_10s = F.col("event_type").isin(*SUCCESS_EVENTS) & F.col("ts").between(float(as_of) - 10, float(as_of))
-    counted = summary.activity(events, runs, last_10s=F.count_if(in_last_10s))
+    events = events.where(F.col("label").isin(*runs) & F.col("ts").between(float(since), float(as_of)))
+    counted = summary.activity(events, runs)
     classes = materialize(summary.class_latency(events, n, runs, counted), "classes")
     totals = summary.run_summary(events, runs, counted)
     latency = summary.summary_latency(events, n, runs, classes).groupBy("label").agg(
@@ -70,14 +71,13 @@ def run_snapshots(
             for c in (*SUCCESS_EVENTS, "all")
         ]
     )
-    recent = counted.groupBy("label").agg(F.sum("last_10s").alias("last_10s"))
     per_type = summary.by_query_summary(events, n, runs, counted)
     value = F.struct(*[f.name for f in SNAPSHOT["by_query"].dataType.valueType.fields])
     by_query = per_type.groupBy("label").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("query_type", value)))).alias("by_query")
     )
     efficiency = summary.cache_efficiency(events, n, runs, counted, classes)
-    parts = [totals, _span(events, runs, counted), latency, recent, efficiency, by_query]
+    parts = [totals, _span(events, runs, counted, as_of), latency, efficiency, by_query]
     parts += [frame for frame in (extras, lags, evictions) if frame is not None]
     joined = _one_row_per_label(parts)
     optional = {
@@ -90,9 +90,7 @@ def run_snapshots(
         if name not in joined.columns:
             joined = joined.withColumn(name, F.lit(None).cast(kind))
 
-    total = F.col("total_requests")
-    overall = total / elapsed if elapsed > 0 else F.lit(0.0)
-    processing = F.when(F.coalesce("sample", F.lit(0)) < 2, overall).when(F.col("span") > 0, total / F.col("span"))
+    _, overall, recent = summary.throughput_columns(elapsed)
     return joined.select(
         "label",
         F.lit(float(as_of)).alias("snapshot_ts"),
@@ -104,8 +102,8 @@ def run_snapshots(
         "recovery_rate",
         "dlq_rate",
         "backlog_size",
-        F.round(F.coalesce(processing, F.lit(0.0)), 2).alias("throughput_qps_total"),
-        F.round(F.coalesce("last_10s", F.lit(0)) / 10.0, 2).alias("throughput_qps_recent_10s"),
+        overall,
+        recent,
         *[f"latency_ms_{c}" for c in (*SUCCESS_EVENTS, "all")],
         "mean_t_cache_ms",
         "mean_t_db_ms",

@@ -176,17 +176,19 @@ def throughput(events: DataFrame, since: float, as_of: float, n: int = TIME_SAMP
         (F.max_by("ts", "seq") - F.min_by("ts", "seq")).alias("span"),
         F.count_if(F.col("ts") >= float(as_of) - 10).alias("last_10s"),
     )
-    overall = F.lit(0.0) if elapsed <= 0 else F.col("total_requests") / elapsed
-    processing = F.when(F.col("sample") < 2, overall).when(
-        F.col("span") > 0, F.col("total_requests") / F.col("span")
-    )
-    return spans.select(
-        "total_requests",
-        F.lit(round(elapsed, 2)).alias("elapsed_sec"),
+    return spans.select("total_requests", F.lit(round(elapsed, 2)).alias("elapsed_sec"), *throughput_columns(elapsed))
+
+
+def throughput_columns(elapsed: float) -> list[Column]:
+    """Rates from (total_requests, sample, span, last_10s), where the last three are of the newest answers."""
+    total = F.col("total_requests")
+    overall = F.lit(0.0) if elapsed <= 0 else total / elapsed
+    processing = F.when(F.coalesce("sample", F.lit(0)) < 2, overall).when(F.col("span") > 0, total / F.col("span"))
+    return [
         F.round(overall, 2).alias("throughput_qps_elapsed"),
         F.round(F.coalesce(processing, F.lit(0.0)), 2).alias("throughput_qps_total"),
-        F.round(F.col("last_10s") / 10.0, 2).alias("throughput_qps_recent_10s"),
-    )
+        F.round(F.coalesce("last_10s", F.lit(0)) / 10.0, 2).alias("throughput_qps_recent_10s"),
+    ]
 
 
 def cache_efficiency(

@@ -140,6 +140,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (order % 3 == 0).alias("cached"),
         "failed",
         F.when(F.col("failed"), "503 service unavailable").alias("error"),
+        ((order % 7) / F.lit(4.0)).alias("lookup_ms"),
+        (30.0 + order % 90).alias("compute_ms"),
     )
 
 
@@ -177,6 +179,32 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End and committed offsets of each run's topics."""
+    rows = table(spark, sf_dir, "events")
+    return rows.groupBy(
+        F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string")).alias("label"),
+        _pick(F.col("event_id") % 3, ("queries", "retry-queries", "dlq-queries")).alias("topic"),
+        (F.col("user_id") % 3).cast("int").alias("partition"),
+    ).agg(F.count(F.lit(1)).alias("end_offset"), F.count_if(F.col("value") < 40).alias("committed"))
+
+
+def run_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample per run and day; evicted keys so far = errors of the run up to the end of that day."""
+    from pyspark.sql import Window
+
+    days = raw_events(spark, sf_dir).groupBy("label", F.floor(F.col("hour") / 24).cast("long").alias("day")).agg(
+        F.count_if(F.col("event").isin("dlq", "error")).alias("errors")
+    )
+    # Runs over one row per run and calendar day, not over events.
+    so_far = Window.partitionBy("label").orderBy("day")
+    return days.select(
+        "label",
+        (F.lit(BASE_US) + (F.col("day") + 1) * 86_400_000_000).alias("sample_us"),
+        F.sum("errors").over(so_far).alias("evicted_keys"),
+    )
+
+
 def backlog_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backlog per run label and hour of the range."""
     rows = raw_events(spark, sf_dir)

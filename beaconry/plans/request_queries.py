@@ -73,17 +73,43 @@ def route_attempts(spark, sf_dir):
 
 def stream_route_attempts(spark, sf_dir):
     """Attempts written as messages, routed as a stream, read back from the routing log."""
+    folder = _routing(spark, sf_dir)
+    routed = requests.route_attempts(inputs.attempts(spark, sf_dir))
+    return _routed(spark.read.schema(routed.schema).parquet(f"{folder}/out/routed"))
+
+
+def _routing(spark, sf_dir, batches=3):
+    """Attempts routed as a stream of at least so many micro-batches; the folder of what it wrote."""
     folder = scratch_path(spark, "routing")
-    sinks.write_json_messages(inputs.attempts(spark, sf_dir), f"{folder}/attempts")
+    rows = inputs.attempts(spark, sf_dir).repartition(max(batches, spark.sparkContext.defaultParallelism))
+    sinks.write_json_messages(rows, f"{folder}/attempts")
+    files = len(messages.read_folder_once(spark, f"{folder}/attempts").inputFiles())
     query = jobs.start_routing_job(
-        messages.read_folder(spark, f"{folder}/attempts"),
+        messages.read_folder(spark, f"{folder}/attempts", files_per_trigger=max(1, files // batches)),
         f"{folder}/out",
         f"{folder}/checkpoint",
         trigger=jobs.UNTIL_DONE,
     )
     query.awaitTermination()
+    return folder
+
+
+def attempt_events(spark, sf_dir):
+    """The events that attempts report, with their timings."""
     routed = requests.route_attempts(inputs.attempts(spark, sf_dir))
-    return _routed(spark.read.schema(routed.schema).parquet(f"{folder}/out/routed"))
+    return requests.attempt_events(routed)
+
+
+def stream_routed_topics(spark, sf_dir):
+    """Retry and dead-letter messages of a routing stream, read back from their topics."""
+    folder = _routing(spark, sf_dir)
+    retry = "query_id long, query_type string, retry_count int, created_us long"
+    back = {}
+    for topic, schema in ((requests.RETRY_TOPIC, retry), (requests.DEAD_LETTER_TOPIC, f"{retry}, failed_us long, error string")):
+        rows = spark.read.schema("value string").text(f"{folder}/out/{topic}")
+        back[topic] = rows.select(F.from_json("value", schema).alias("m")).select(F.lit(topic).alias("topic"), "m.*")
+    again, dead = back[requests.RETRY_TOPIC], back[requests.DEAD_LETTER_TOPIC]
+    return again.unionByName(dead, allowMissingColumns=True)
 
 
 def _replay_input(spark, sf_dir):
@@ -112,6 +138,8 @@ QUERIES = {
         answer_requests,
         route_attempts,
         stream_route_attempts,
+        attempt_events,
+        stream_routed_topics,
         requests_to_fills,
         run_throughput,
     )

@@ -35,16 +35,17 @@ def publish_events(spark, sf_dir):
 
 
 def stream_window_metrics(spark, sf_dir):
-    """Events published as messages, aggregated as a stream, read from the keyed table."""
+    """Events published in stretches of time, aggregated as a stream, read from the keyed table."""
     folder = scratch_path(spark, "windows")
-    sinks.publish_events(normalize_events(spark, sf_dir), f"{folder}/messages")
+    _metric_messages(spark, sf_dir, f"{folder}/messages")
     query = jobs.start_window_job(
-        messages.read_folder(spark, f"{folder}/messages"),
+        _by_stretch(spark, f"{folder}/messages"),
         f"{folder}/table",
         f"{folder}/checkpoint",
         trigger=jobs.UNTIL_DONE,
         # The state is one row per window, whatever the traffic.
         partitions=spark.sparkContext.defaultParallelism,
+        watermark=DELAY,
     )
     query.awaitTermination()
     return rounded(plain(jobs.window_table(spark, f"{folder}/table").latest()), latency_avg=9)

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from beaconry.operators import dashboards, events, windows
 from beaconry.plans import inputs
 from beaconry.plans.shape import open_window, plain, rounded
+from beaconry.session import scratch_path
+from beaconry.sources import tables
 
 
 def normalize_events(spark, sf_dir):
     return events.normalize_events(inputs.raw_events(spark, sf_dir), as_of=inputs.END_SECONDS)
 
 
+def raw_event_intake(spark, sf_dir):
+    """Raw events written as JSON lines, taken in, and split from what has no event."""
+    folder = scratch_path(spark, "intake")
+    rows = inputs.raw_events(spark, sf_dir).select("event", "query_type", "key", "latency_ms", "retry_count", "ts")
+    unnamed = rows.select(F.lit(None).cast("string").alias("event"), *rows.columns[1:]).limit(5)
+    rows.union(unnamed).write.json(folder)
+    accepted, _ = events.accept_raw_events(tables.read_raw_events(spark, folder))
+    return accepted.select(*rows.columns)
+
+
 def decode_events(spark, sf_dir):
     return plain(events.decode_events(events.encode_events(normalize_events(spark, sf_dir))))
 
@@ -58,6 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_events,
+        raw_event_intake,
         decode_events,
         window_counts,
         window_counts_panes,

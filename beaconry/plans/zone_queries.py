@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from beaconry import sinks
 from beaconry.operators import zones
 from beaconry.plans import inputs
 from beaconry.plans.shape import rounded
+from beaconry.schemas import BUILDING
+from beaconry.session import scratch_path
+from beaconry.sources import tables
 
 
 def assign_zones(spark, sf_dir):
@@ -51,6 +55,23 @@ def q5_confidence_dist(spark, sf_dir):
     return zones.q5_confidence_dist(inputs.buildings(spark, sf_dir), inputs.zones(spark), inputs.BIN_COUNTS)
 
 
+def _csv(spark, sf_dir, compression):
+    folder = scratch_path(spark, "buildings")
+    columns = [f.name for f in BUILDING.fields]
+    sinks.write_buildings(inputs.buildings(spark, sf_dir).select(*columns), folder, compression)
+    return tables.read_buildings(spark, folder)
+
+
+def buildings_csv(spark, sf_dir):
+    """Buildings written as CSV files and read back."""
+    return _csv(spark, sf_dir, None)
+
+
+def buildings_gzip(spark, sf_dir):
+    """Buildings written as compressed CSV files and read back."""
+    return _csv(spark, sf_dir, "gzip")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +85,7 @@ QUERIES = {
         q2_area,
         q3_density,
         q5_confidence_dist,
+        buildings_csv,
+        buildings_gzip,
     )
 }

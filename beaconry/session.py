@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach: below ``spark.checkpoint.dir``, else below the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder every executor can reach, below ``spark.checkpoint.dir``.
+
+    Where all tasks run in the driver's process the warehouse does as well. On a cluster its default
+    is a folder of one machine, so there the setting must be made.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[.*\])?$", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -40,13 +40,16 @@ def write_json_messages(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_buildings(buildings: DataFrame, path: str) -> None:
-    """Buildings as CSV files, each with a header."""
-    buildings.write.mode("append").option("header", True).csv(path)
+def write_buildings(buildings: DataFrame, path: str, compression: str | None = None) -> None:
+    """Buildings as CSV files, each with a header; ``gzip`` compresses them."""
+    buildings.write.mode("append").option("header", True).csv(path, compression=compression)
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
-    """One folder ``file=<epoch>_<label>`` with one JSON document per snapshot."""
+    """One folder ``file=<epoch>_<label>`` with one JSON document per snapshot. ``extra_all`` (a variant), where it is
+    there, is written as ``extra``."""
+    if "extra_all" in snapshots.columns:
+        snapshots = snapshots.withColumn("extra", F.col("extra_all")).drop("extra_all")
     name = F.concat_ws("_", F.floor("snapshot_ts").cast("string"), safe_label(F.col("label")))
     named = snapshots.withColumn("file", name)
     named.repartition("file").write.mode("append").partitionBy("file").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.schemas import BUILDING, RAW_EVENT, SNAPSHOT
@@ -34,11 +34,13 @@ def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot documents below ``path``, one file each.
 
     A file holds the document itself or wraps it in ``summary``. Without a label
-    inside, the label comes from the file name ``snap_<label>.json``.
+    inside, the label comes from the file name ``snap_<label>.json``. ``extra`` has the settings
+    that are known, ``extra_all`` all there are, as a variant.
     """
     fields = [*SNAPSHOT.fields]
-    wrapped = SNAPSHOT.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", summary {wrapped}"
+    # The text of ``extra``, whatever its keys.
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'extra' else f.dataType.simpleString()}" for f in fields)
+    schema = f"{kinds}, summary struct<{kinds.replace('` ', '`: ')}>"
     files = (
         spark.read.schema(schema)
         .option("multiLine", True)
@@ -50,4 +52,12 @@ def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
     is_wrapped = F.col("summary").isNotNull()
     columns = {f.name: F.when(is_wrapped, F.col(f"summary.{f.name}")).otherwise(F.col(f.name)) for f in fields}
     columns["label"] = F.coalesce(columns["label"], named)
+    extra = columns["extra"]
+    columns["extra"] = F.from_json(extra, SNAPSHOT["extra"].dataType)
+    columns["extra_all"] = F.try_parse_json(extra)
     return files.select(*[column.alias(name) for name, column in columns.items()])
+
+
+def extra_value(name: str, kind: str) -> Column:
+    """A setting of a loaded snapshot, declared or not; null where it is absent or of another kind."""
+    return F.try_variant_get("extra_all", f"$.{name}", kind)

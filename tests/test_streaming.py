@@ -116,7 +116,7 @@ ATTEMPTS = [
 @pytest.fixture(scope="module")
 def attempts(spark):
     rows = [
-        (i, kind, (zone, None, None, 0.5, None), retries, 1_000_000 * i, 1_000_000 * i + 2_500, mode, cached, failed, "boom" if failed else None)
+        (i, kind, (zone, None, None, 0.5, None), retries, 1_000_000 * i, 1_000_000 * i + 2_500, mode, cached, failed, "boom" if failed else None, 0.5, 40.0)
         for (i, kind, zone, retries, mode, cached, failed), _ in ATTEMPTS
     ]
     return spark.createDataFrame(rows, ATTEMPT)
@@ -127,8 +127,10 @@ def test_routes(attempts):
     for (i, *_), want in ATTEMPTS:
         assert (got[i]["route"], got[i]["event"], got[i]["next_retry_count"]) == want
     assert got[1]["latency_ms"] == 2.5 and got[1]["ttl"] is None and got[4]["ttl"] == 300
-    events = Q.attempt_events(Q.route_attempts(attempts))
-    assert events.count() == 8
+    events = Q.attempt_events(Q.route_attempts(attempts)).collect()
+    assert len(events) == 8
+    timed = {(e["event"], e["lookup_ms"], e["compute_ms"]) for e in events}
+    assert {("hit", 0.5, None), ("miss", 0.5, 40.0), ("recovery", 0.5, 40.0), ("retry", None, None), ("dlq", None, None)} <= timed
 
 
 def test_routing_stream_writes_each_topic_and_survives_a_replay(spark, attempts, tmp_path):
