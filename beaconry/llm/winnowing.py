@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_id: str
 
 EDITED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, positions array<long>"
 )
 
 
@@ -111,7 +111,7 @@ def edited_fingerprints(
     text: str = "text",
     rows_each: int = 5000,
 ) -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document.
+    """Every document's fingerprint, with the positions of its hashes, beside that of its edited text and of the next document.
 
     The edited text has its last quarter (rounded down) replaced by the first as many
     code points of the next document in order of id, or all of them if it has fewer;
@@ -158,12 +158,12 @@ def edited_fingerprints(
     def print_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket, the borrowed ones last; each is printed once the row after it is known."""
         made: list[tuple] = []
-        last = None  # bucket, id, text, fingerprint of the row that waits
+        last = None  # bucket, id, text, hashes and positions of the row that waits
         for batch in batches:
             for name, text, bucket, borrowed in zip(*(c.to_pylist() for c in batch.columns)):
                 if last and last[0] == bucket:
-                    kept = winnow(text, k, window)[0]
-                    _, before_name, before, before_kept = last
+                    kept, places = winnow(text, k, window)
+                    _, before_name, before, before_kept, before_places = last
                     n = len(before)
                     edited = before[: n - n // 4] + text[: n // 4]
                     edited_kept = winnow(edited, k, window)[0]
@@ -176,28 +176,30 @@ def edited_fingerprints(
                             printed(edited_kept),
                             likeness(before_kept, edited_kept),
                             likeness(before_kept, kept),
+                            before_places,
                         )
                     )
                     if len(made) >= 1000:
                         yield _batch(made)
                         made = []
-                    last = None if borrowed else (bucket, name, text, kept)
+                    last = None if borrowed else (bucket, name, text, kept, places)
                     continue
                 ended(last)
-                last = None if borrowed else (bucket, name, text, winnow(text, k, window)[0])
+                last = None if borrowed else (bucket, name, text, *winnow(text, k, window))
         ended(last)
         if made:
             yield _batch(made)
 
     dealt = rows.mapInArrow(deal, "doc_id long, text string, bucket int, borrowed boolean")
     return (
-        dealt.repartition(ranges, "bucket")
+        # A range to a task: a hash of their numbers would leave tasks empty and give others several.
+        dealt.repartitionById(ranges, "bucket")
         .sortWithinPartitions("bucket", "borrowed", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(print_runs, EDITED)
     )
 
 
 def _batch(made: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
     names = [field.split()[0] for field in EDITED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], names)
