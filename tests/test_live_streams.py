@@ -13,7 +13,7 @@ from beaconry.operators import history, replay, summary
 from beaconry.operators import windows as W
 from beaconry.operators.events import decode_events, parse_json
 from beaconry.sources import messages
-from beaconry.streaming import fills, jobs, live, panes, tails
+from beaconry.streaming import fills, jobs, live, panes, state, tails
 from tests.test_streaming import event, put
 
 
@@ -52,6 +52,35 @@ def test_panes_over_batches_and_a_restart_equal_the_batch_windows(spark, tmp_pat
     assert got == want and 0 < early < len(want)
 
 
+def test_state_before_and_after_a_restart_is_the_open_windows(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def run():
+        query = jobs.start_window_job(
+            stream(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint", trigger=jobs.UNTIL_DONE, partitions=2
+        )
+        done(query)
+
+    def open_now(behind):
+        """Windows of all events so far that the watermark has not passed."""
+        whole = decode_events(messages.read_folder_once(spark, f"{folder}/in"))
+        counted = W.window_counts(whole).select("window.start", "window.end", "count_events")
+        return sorted(tuple(r) for r in counted.where(F.col("end") > F.timestamp_seconds(F.lit(behind))).collect())
+
+    put(f"{folder}/in", 0, [event(1000 + i, i) for i in range(100)])
+    run()
+    before = sorted(tuple(r) for r in state.open_windows(spark, f"{folder}/checkpoint").collect())
+    assert before == open_now(1099 - 30) and before
+    put(f"{folder}/in", 1, [event(1090 + i, i) for i in range(60)])
+    run()
+    after = sorted(tuple(r) for r in state.open_windows(spark, f"{folder}/checkpoint").collect())
+    assert after == open_now(1149 - 30) and after != before
+    last = state.state_operators(spark, f"{folder}/checkpoint").first()
+    assert (last["operatorName"], last["numPartitions"]) == ("stateStoreSave", 2)
+    # The state of an earlier micro-batch can still be read.
+    assert state.open_windows(spark, f"{folder}/checkpoint", batch_id=0).count() > 0
+
+
 def test_events_are_not_expanded(spark, tmp_path):
     folder = str(tmp_path)
     put(f"{folder}/in", 0, [event(1000 + i, i) for i in range(40)])
