@@ -66,8 +66,8 @@ def _hundredths(size: Column) -> Column:
     return F.floor(size) * 100 + _once(size - F.floor(size), rounded)
 
 
-# Nearer to a tie than this, the shortest decimal of a number may round the other way.
-_NEAR_TIE = 1e-6
+# Nearer to a tie than this, or than this share of the number, the shortest decimal of a number may round the other way.
+_NEAR_TIE, _NEAR_SHARE = 1e-6, 100 / 2**52
 
 
 def two_digits(value: Column) -> Column:
@@ -84,7 +84,7 @@ def two_digits(value: Column) -> Column:
 
     size = F.abs(value)
     rest = (size - F.floor(size)) * 100
-    beside = (size < float(2**53)) & (F.abs(rest - F.floor(rest) - 0.5) < _NEAR_TIE)
+    beside = (size < float(2**53)) & (F.abs(rest - F.floor(rest) - 0.5) < _NEAR_TIE + size * _NEAR_SHARE)
     exact = F.concat(sign, _once(_hundredths(size), split))
     return F.when(beside, exact).otherwise(F.format_string("%.2f", value))
 
