@@ -38,7 +38,7 @@ TOPS = (1, 3, 8)
 
 @dataclass(frozen=True)
 class Settings:
-    rows_each: int = 3_000  # toxic rows that are learnt from, and half the ordinary ones
+    rows_each: int = 1_500  # toxic rows that are learnt from, and half the ordinary ones
     longest_text: int = 20_000  # rows with longer texts are not learnt from
     tune_share: int = 4  # one in so many of them fits the curve instead of the models
     least_count: int = 2  # sequences that both classes together have less often are as good as unseen
@@ -233,8 +233,11 @@ def fit(
     # At most three times rows_each rows of three small columns.
     chosen = texts.where(F.length("text") <= settings.longest_text).join(F.broadcast(sample), F.col("doc_id") == F.col("learn_id"))
     chosen = materialize(chosen.select("toxic", "tune", "text").dropDuplicates(["toxic", "text"]), "learning-texts")
-    table = sequences(chosen.where("not tune").select("toxic", "text")).toArrow()
+    # Narrow columns: this is what the driver holds.
+    small = [F.col("length").cast("tinyint"), "key", F.col("ordinary").cast("int"), F.col("toxic").cast("int")]
+    table = sequences(chosen.where("not tune").select("toxic", "text")).select(*small).toArrow()
     length, key, *counts = (np.asarray(table[c].combine_chunks()) for c in ("length", "key", "ordinary", "toxic"))
+    del table
     model = Model.of_counts(settings, length, key.view(np.uint64), np.array(counts, dtype=np.float64)) if len(key) else Model(settings)
     _tune(model, chosen.where("tune"), totals)
     return model
