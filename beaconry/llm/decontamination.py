@@ -28,6 +28,8 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 # Occurrences that are located at once.
 _AT_ONCE = 1 << 18
+# Texts that are taken from a batch at once.
+_ROWS_AT_ONCE = 64
 # Words: digits, letters, and whatever is beyond ASCII; A-Z lower-cased.
 _WORD_RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _PLAIN = bytes(
@@ -68,7 +70,7 @@ def build(docs: DataFrame, key: Column, text: str = "text", shard_bytes: int = S
     def index(rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
         numbers: dict[str, int] = {}
         of = [numbers.setdefault(text, len(numbers)) for _, text in rows]
-        made = FmIndex([words_of(t) for t in numbers])
+        made = FmIndex(words_of(t) for t in numbers)
         ids = [{"id": key, "text": n} for (key, _), n in zip(rows, of)]
         kind = pa.list_(pa.struct([("id", pa.binary()), ("text", pa.int32())]))
         return pa.RecordBatch.from_arrays([pa.array([ids], kind), pa.array([made.dumps()], pa.binary())], ["rows", "index"])
@@ -76,13 +78,15 @@ def build(docs: DataFrame, key: Column, text: str = "text", shard_bytes: int = S
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and size + len(row[1]) > shard_bytes:
-                    yield index(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                # A row costs something even if its text is short.
-                size += len(row[1]) + 64
+            # Of a batch of long texts only some at a time become Python's.
+            for part in (batch.slice(at, _ROWS_AT_ONCE) for at in range(0, batch.num_rows, _ROWS_AT_ONCE)):
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if rows and size + len(row[1]) > shard_bytes:
+                        yield index(rows)
+                        rows, size = [], 0
+                    rows.append(row)
+                    # A row costs something even if its text is short.
+                    size += len(row[1]) + 64
         if rows:
             yield index(rows)
 

@@ -7,6 +7,8 @@ that no suffix runs on into the next sequence and copies are told apart by their
 from __future__ import annotations
 
 import pickle
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -28,8 +30,9 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         key <<= bits
         key[: n - j] |= symbols[j:]
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    first = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    del key
     rank = np.empty(n, dtype=np.int64)
     slots = np.arange(n)
     rank[order] = np.maximum.accumulate(np.where(first, slots, 0))
@@ -102,26 +105,32 @@ class WaveletTree:
 
 
 class FmIndex:
-    """Index of word sequences. Words are numbered in order of appearance; symbol 0 stands for every mark."""
+    """Index of word sequences. Words are numbered in order of appearance; symbol 0 stands for every mark.
 
-    def __init__(self, sequences: list[list[bytes]]):
+    The sequences are gone through once, and their words are not kept.
+    """
+
+    def __init__(self, sequences: Iterable[list[bytes]]):
         self.names: dict[bytes, int] = {}
-        names, marks = self.names, len(sequences)
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        words = np.fromiter(
-            (names.setdefault(w, len(names) + 1) for s in sequences for w in s), dtype=np.int64, count=int(lengths.sum())
-        )
+        names, numbers, lengths = self.names, array("i"), array("q")
+        for sequence in sequences:
+            numbers.extend([names.setdefault(w, len(names) + 1) for w in sequence])
+            lengths.append(len(sequence))
+        words, lengths, marks = np.array(numbers, dtype=np.int32), np.array(lengths, dtype=np.int64), len(lengths)
+        del numbers
         # A sequence's place in the text; its mark follows its words.
         self.begin = np.r_[0, np.cumsum(lengths + 1)]
-        symbols = np.empty(len(words) + marks, dtype=np.int64)
+        symbols = np.empty(len(words) + marks, dtype=np.int32)
         is_mark = np.zeros(len(symbols), dtype=bool)
         is_mark[self.begin[1:] - 1] = True
         symbols[~is_mark] = words + marks - 1
         symbols[is_mark] = np.arange(marks)
         order = suffix_order(symbols)
         size = len(names) + 1
-        plain = np.zeros(len(symbols), dtype=np.int64)
+        plain = symbols
+        plain[is_mark] = 0
         plain[~is_mark] = words
+        del words
         self.before = np.r_[0, np.cumsum(np.bincount(plain, minlength=size))]
         self.tree = WaveletTree(plain[order - 1] if len(order) else plain, size)
         sampled = order % SAMPLE == 0

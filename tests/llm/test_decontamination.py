@@ -1,6 +1,7 @@
 """Benchmark passages: the index against plain search, spans and items against brute force, odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,3 +112,14 @@ def test_passages_are_cut(spark):
     # A long text, with the passage at its end.
     long_docs = spark.createDataFrame([(1, "word " * 300_000 + "the quick brown fox", 1)], "number long, text string, spans int")
     assert len(d.without_items(long_docs, items).first()["text"]) == 1_500_000
+
+
+def test_index_goes_through_its_sequences_once_and_keeps_no_words():
+    texts = [[b"word%d" % (i * j % 997) for j in range(400)] for i in range(300)]
+    want = FmIndex(texts)
+    tracemalloc.start()
+    made = FmIndex([bytes(w) for w in t] for t in texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert made.dumps() == want.dumps()
+    assert peak < 80 * 300 * 400
