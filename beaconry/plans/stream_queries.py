@@ -11,7 +11,7 @@ from beaconry.operators import events, replay, requests, windows
 from beaconry.plans import inputs
 from beaconry.plans.shape import plain, rounded
 from beaconry.plans.window_queries import normalize_events
-from beaconry.session import scratch_path
+from beaconry.session import materialize, scratch_path
 from beaconry.operators.events import SUCCESS_EVENTS
 from beaconry.plans.request_queries import _replay_input
 from beaconry.sources import logs, messages
@@ -20,6 +20,8 @@ from beaconry.streaming import late as late_job
 
 # Streams below are published in so many stretches of time, and read in as many micro-batches or more.
 SLICES = 4
+# Requests that a stretch has at most, if they are evenly spread: a join keeps some three stretches as its state.
+STRETCH_ROWS = 500_000
 SPAN_US = inputs.END_US - inputs.BASE_US
 # Longer than a stretch, so that files of a stretch may come in any order.
 DELAY = "15 minutes"
@@ -51,13 +53,18 @@ def stream_window_metrics(spark, sf_dir):
     return rounded(plain(jobs.window_table(spark, f"{folder}/table").latest()), latency_avg=9)
 
 
-def _publish(rows, at_us, until_us, folder):
-    """JSON messages in ``SLICES`` stretches of time, the last one open; the files of a stretch follow those of the one before."""
-    step = (until_us - inputs.BASE_US) // SLICES
-    stretch = F.least(F.greatest(F.floor((at_us - inputs.BASE_US) / step), F.lit(0)), F.lit(SLICES - 1))
-    for i in range(SLICES):
-        part = rows.where(stretch == i).select(F.to_json(F.struct("*")).alias("value"))
-        part.write.mode("append").text(folder)
+def _publish(rows, at_us, until_us, folder, slices=SLICES):
+    """JSON messages in ``slices`` stretches of time, the last one open; the files of a stretch follow those of the one before.
+
+    The rows are computed once, into a folder for each stretch, which are then appended one after the other.
+    """
+    spark, step = rows.sparkSession, (until_us - inputs.BASE_US) // slices
+    stretch = F.least(F.greatest(F.floor((at_us - inputs.BASE_US) / step), F.lit(0)), F.lit(slices - 1))
+    staged = scratch_path(spark, "staged")
+    rows.select(F.to_json(F.struct("*")).alias("value"), stretch.cast("int").alias("stretch")).write.partitionBy("stretch").text(staged)
+    there = {r["stretch"] for r in spark.read.schema("value string, stretch int").text(staged).select("stretch").distinct().collect()}
+    for i in sorted(there):
+        spark.read.schema("value string").text(f"{staged}/stretch={i}").write.mode("append").text(folder)
 
 
 def _close(spark, folder, **row):
@@ -66,10 +73,10 @@ def _close(spark, folder, **row):
     last.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
 
 
-def _by_stretch(spark, folder):
+def _by_stretch(spark, folder, slices=SLICES):
     """The messages as a stream, about a stretch to a micro-batch."""
     files = len(messages.read_folder_once(spark, folder).inputFiles())
-    return messages.read_folder(spark, folder, files_per_trigger=max(1, files // (SLICES + 1)))
+    return messages.read_folder(spark, folder, files_per_trigger=max(1, files // (slices + 1)))
 
 
 def _metric_messages(spark, sf_dir, folder):
@@ -99,17 +106,19 @@ def stream_requests_to_fills(spark, sf_dir):
     """Requests and computed answers as two streams, joined as they arrive."""
     folder = scratch_path(spark, "fills")
     asked, given = f"{folder}/requests", f"{folder}/fills"
-    wanted = _replay_input(spark, sf_dir).select("query_id", "key", "ttl_us", "created_us")
+    wanted = materialize(_replay_input(spark, sf_dir).select("query_id", "key", "ttl_us", "created_us"), "wanted")
     answers = replay.fills_of(requests.route_attempts(inputs.attempts(spark, sf_dir)))
-    last = wanted.agg(F.max("created_us")).first()[0] or inputs.BASE_US + SLICES
-    _publish(wanted, F.col("created_us"), last, asked)
-    _publish(answers, F.col("fill_us"), last, given)
+    last, n = wanted.agg(F.max("created_us"), F.count(F.lit(1))).first()
+    slices = max(SLICES, -(-n // STRETCH_ROWS))
+    last = last or inputs.BASE_US + slices
+    _publish(wanted, F.col("created_us"), last, asked, slices)
+    _publish(answers, F.col("fill_us"), last, given, slices)
     _close(spark, asked, query_id=-1, key="end", ttl_us=1, created_us=last + CLOSING_US)
     _close(spark, given, key="end", fill_us=last + CLOSING_US)
-    step = (last - inputs.BASE_US) // SLICES
+    step = (last - inputs.BASE_US) // slices
     query = fills.start_fills_job(
-        events.parse_json(_by_stretch(spark, asked), fills.REQUEST),
-        events.parse_json(_by_stretch(spark, given), fills.FILL),
+        events.parse_json(_by_stretch(spark, asked, slices), fills.REQUEST),
+        events.parse_json(_by_stretch(spark, given, slices), fills.FILL),
         f"{folder}/served",
         f"{folder}/checkpoint",
         trigger=jobs.UNTIL_DONE,

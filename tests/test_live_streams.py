@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from beaconry.operators import history, replay, summary
 from beaconry.operators import windows as W
 from beaconry.operators.events import decode_events, parse_json
+from beaconry.plans import inputs, request_queries, stream_queries
 from beaconry.sources import messages
 from beaconry.streaming import fills, jobs, live, panes, state, tails
 from tests.test_streaming import event, put
@@ -208,3 +209,33 @@ def test_registered_streams_take_several_batches(spark, tmp_path):
     query = S._by_stretch(spark, folder).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     assert len(done(query)) >= S.SLICES
     assert json.loads(spark.read.text(folder).first()["value"])["ts"]
+
+
+def test_state_of_requests_beside_fills_is_bounded_where_there_are_many(spark, tmp_path, monkeypatch):
+    orders = spark.range(2400).selectExpr("7 * id AS o_orderkey", "id % 70 AS o_custkey")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    started, start = [], fills.start_fills_job
+    monkeypatch.setattr(stream_queries, "STRETCH_ROWS", 200)
+    monkeypatch.setattr(fills, "start_fills_job", lambda *a, **k: started.append(start(*a, **k)) or started[0])
+    got = stream_queries.stream_requests_to_fills(spark, str(tmp_path)).sort("query_id").collect()
+    assert got == request_queries.requests_to_fills(spark, str(tmp_path)).sort("query_id").collect()
+    assert {r["fill_us"] is None for r in got} == {True, False}
+    progress = started[0].recentProgress
+    held = max(s.numRowsTotal for p in progress for s in p.stateOperators if s.operatorName == "symmetricHashJoin")
+    assert held < 0.7 * sum(p.numInputRows for p in progress)
+
+
+def test_messages_are_computed_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).mapInArrow(count, "id long")
+    at = F.lit(inputs.BASE_US) + F.col("id") * 1000
+    stream_queries._publish(rows, at, inputs.BASE_US + 1_000_000, f"{tmp_path}/out")
+    back = messages.read_folder_once(spark, f"{tmp_path}/out").collect()
+    assert sorted(json.loads(r["value"])["id"] for r in back) == list(range(1000))
+    assert computed.value == 1000
