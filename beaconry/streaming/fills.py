@@ -31,14 +31,14 @@ def requests_to_fills_stream(
     """
     # An answer is valid in the stretch of its fill and in the next one at most.
     width = max(1, micros(requests.sparkSession, longest_ttl)[0])
-    first = F.floor(F.col("fill_us") / width).cast("long")
+    first = F.expr(f"fill_us div {width}")
     asked = requests.select(
         "query_id",
         "key",
         "ttl_us",
         "created_us",
         F.timestamp_micros("created_us").alias("asked_at"),
-        F.floor(F.col("created_us") / width).cast("long").alias("stretch"),
+        F.expr(f"created_us div {width}").alias("stretch"),
     ).where("asked_at is not null")
     given = fills.select(
         F.col("key").alias("fill_key"),
