@@ -1,8 +1,9 @@
-"""Monotone sequences in Elias-Fano form and a two-level n-gram trie of them, all flat numpy arrays."""
+"""Monotone sequences in Elias-Fano form and a two-level n-gram trie of them, all flat numpy arrays that may be mapped from files."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 
@@ -22,6 +23,22 @@ def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return place.astype(np.int64)
 
 
+def _mapped(levels, folder: str):
+    """The dataclass with its arrays, and those of its parts, written to ``folder`` and mapped from there, read only."""
+
+    def one(name: str, value):
+        path = os.path.join(folder, name)
+        if isinstance(value, Monotone):
+            os.mkdir(path)
+            return _mapped(value, path)
+        if not isinstance(value, np.ndarray):
+            return value
+        np.save(f"{path}.npy", value)
+        return np.load(f"{path}.npy", mmap_mode="r")
+
+    return replace(levels, **{f.name: one(f.name, getattr(levels, f.name)) for f in fields(levels)})
+
+
 @dataclass
 class Monotone:
     """Non-decreasing integers: low bits packed one after the other, high bits as gaps in unary."""
@@ -119,12 +136,12 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Trie:
-    """Contexts, pointers to their successors, successors relative to their context, and quantised probabilities."""
+    """Contexts, pointers to their successors, successors relative to those of the context before, and quantised probabilities."""
 
     contexts: Monotone  # hashes
     pointers: Monotone
     names: Monotone  # hashes of all successors
-    successors: Monotone  # context * number of names + name
+    successors: Monotone  # name, counted on from the last successor of the context before
     discounted: np.ndarray  # code of max(count - discount, 0) / tokens after the context
     left: np.ndarray  # code of the weight left to the lower order, for each context
 
@@ -135,15 +152,22 @@ class Trie:
         tokens = np.bincount(owner, weights=counts, minlength=len(contexts))
         kinds = np.bincount(owner, weights=counts > 0, minlength=len(contexts))
         after = np.maximum(tokens, 1)
+        last = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) if len(owner) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[-1, last])
+        base = np.r_[0, np.cumsum(name[last] + 1)[:-1]] if len(last) else last
         return cls(
             Monotone.of(contexts),
             Monotone.of(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(contexts)))]),
             Monotone.of(different),
-            Monotone.of(owner.astype(np.uint64) * U(max(1, len(different))) + name.astype(np.uint64)),
+            Monotone.of(np.repeat(base, sizes) + name),
             quantise(np.maximum(counts - discount, 0) / after[owner]) if len(owner) else np.empty(0, np.uint16),
             quantise(np.where(tokens > 0, discount * kinds / after, 1.0)),
         )
 
+    def mapped(self, folder: str) -> Trie:
+        """The same trie with every level in files of an empty folder, mapped from there: lookups read the pages they touch."""
+        return _mapped(self, folder)
+
     def weights(self, contexts: np.ndarray) -> np.ndarray:
         """Codes of the weight that contexts leave to the lower order; all of it for unknown ones."""
         at = self.contexts.find(contexts)
@@ -151,13 +175,17 @@ class Trie:
 
     def probabilities(self, contexts: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Codes of the discounted probabilities of names after contexts; zero where unseen."""
-        owner, name = self.contexts.find(contexts), self.names.find(names)
-        known = np.flatnonzero((owner >= 0) & (name >= 0))
+        head = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.empty(0, np.int64)
+        run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(contexts)]))
+        owner, name = self.contexts.find(contexts[head]), self.names.find(names)
         codes = np.full(len(contexts), ZERO, dtype=np.uint16)
+        known = np.flatnonzero((owner[run] >= 0) & (name >= 0))
         if len(known):
-            owner, name = owner[known], name[known]
-            at = self.successors.find(owner.astype(np.uint64) * U(max(1, self.names.n)) + name.astype(np.uint64))
-            # Within the context's own run of successors.
-            inside = (at >= self.pointers[owner].astype(np.int64)) & (at < self.pointers[owner + 1].astype(np.int64))
+            run, name, owner = run[known], name[known], np.maximum(owner, 0)
+            begin, end = self.pointers[owner].astype(np.int64), self.pointers[owner + 1].astype(np.int64)
+            base = np.where(begin > 0, self.successors[np.maximum(begin - 1, 0)] + U(1), U(0))
+            at = self.successors.find(base[run] + name.astype(np.uint64))
+            # Beyond the context's own run of successors begins that of the next one.
+            inside = (at >= begin[run]) & (at < end[run])
             codes[known[inside]] = self.discounted[at[inside]]
         return codes

@@ -2,12 +2,15 @@
 
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D * kinds(v) / c(v) * (c(w) + 1) / (N + V + 1):
 absolute discounting, what it takes off goes to add-one unigrams. All texts marked for
-learning are counted. A shard builds its trie from the counts all groups send,
-looks up in it what they ask, and answers with quantised probabilities, rounded down.
+learning are counted. A shard builds its trie from the counts all groups send, writes the levels
+to files of the executor's temp folder, looks up what the groups ask in the mapped files, and
+answers with quantised probabilities, rounded down. The files go when the shard has answered.
 """
 
 from __future__ import annotations
 
+from tempfile import TemporaryDirectory
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -98,16 +101,22 @@ def _answer(shard: int, rows: pa.Table) -> pa.Table:
     owner, name, weight = owner[order], name[order], weight[order]
     first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (name[1:] != name[:-1])]) if len(owner) else np.empty(0, int)
     summed = np.add.reduceat(weight.astype(np.int64), first) if len(first) else np.empty(0)
-    trie = Trie.of(contexts, owner[first], name[first], summed, DISCOUNT)
-    del order, owner, name, weight
+    built = Trie.of(contexts, owner[first], name[first], summed, DISCOUNT)
+    del order, owner, name, weight, first, summed
+    with TemporaryDirectory(prefix="trie-") as folder:
+        trie = built.mapped(folder)
+        del built
+        left = [trie.weights(w).tobytes() for w in words]
+        codes = [trie.probabilities(contexts[o], x).tobytes() for o, x in zip(owners, names)]
+        del trie
     tokens, kinds = int(totals.sum()), int((totals > 0).sum())
     return rows_of(
         {
             "g": (rows["g"].to_pylist(), pa.int32()),
             "shard": ([shard] * len(rows), pa.int32()),
             "counts": ([totals[at[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-            "left": ([trie.weights(w).tobytes() for w in words], pa.binary()),
-            "codes": ([trie.probabilities(contexts[o], x).tobytes() for o, x in zip(owners, names)], pa.binary()),
+            "left": (left, pa.binary()),
+            "codes": (codes, pa.binary()),
             "tokens": ([tokens] * len(rows), pa.int64()),
             "kinds": ([kinds] * len(rows), pa.int64()),
         }
