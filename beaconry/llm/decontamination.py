@@ -26,6 +26,9 @@ WINDOW = 10
 SHARD_BYTES = 4 << 20
 # Bytes of test phrases that are sent to all tasks at once.
 BLOCK_BYTES = 32 << 20
+# Bytes of a row group of written indexes. Parquet looks at the size of its buffers after a hundred rows only, unless told otherwise: of
+# rows of some megabytes it would hold all that a task writes, and a reader would hold all of it at once.
+ROW_GROUP_BYTES = 8 << 20
 # Occurrences that are located at once.
 _AT_ONCE = 1 << 18
 # Texts that are taken from a batch at once.
@@ -94,6 +97,12 @@ def build(docs: DataFrame, key: Column, text: str = "text", shard_bytes: int = S
     return rows.mapInArrow(shards, _INDEX).withColumn("shard", F.monotonically_increasing_id())
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """An index, written in row groups of bounded size."""
+    each = {"parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    return materialize(index, "fm-index", **each)
+
+
 class Phrases:
     """Different phrases of a block, each with its items."""
 
@@ -208,7 +217,7 @@ def contaminated_spans(
     asked = materialize(phrases(items, item_id, item_text, window), "phrases")
     total = asked.agg(F.sum(F.octet_length("phrase") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
     blocks = parts_for(total, block_bytes)
-    index = materialize(build(docs, key, text), "fm-index")
+    index = stored(build(docs, key, text))
     of = F.pmod(F.xxhash64("phrase", "item"), F.lit(blocks))
     found = [search(index, asked.where(of == block)) for block in range(blocks)]
     if blocks == 1:

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,18 @@ def test_small_shards_give_the_same(spark):
     assert (one, whole) == (1, parts) and many > 5
 
 
+def test_indexes_are_written_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(d, "ROW_GROUP_BYTES", 1 << 14)
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = d.build(docs, F.col("doc_id").cast("string").cast("binary"), shard_bytes=500)
+    written = d.stored(index)
+    (path,) = written.inputFiles()
+    file = pq.ParquetFile(path.removeprefix("file://"))
+    assert file.metadata.num_rows == written.count() > 30 and file.num_row_groups > 5
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
